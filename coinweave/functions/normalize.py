@@ -94,7 +94,7 @@ def normalize_label(c: Column) -> Field:
 
 def split_list(c: Column) -> Column:
     """JSON array text, or text separated by ``;`` or ``|`` whose blank parts are dropped."""
-    parts = F.filter(F.transform(F.split(c, "[;|]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, "[;|]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>")).otherwise(parts)
 
 

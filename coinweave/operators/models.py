@@ -119,7 +119,7 @@ def _linear_surrogate(scored: DataFrame, columns: list[str]) -> tuple[LogisticRe
     if total < 4 or len(counts) < 2:
         return None
     balanced = F.when(y == 1, F.lit(total / (2.0 * counts[1.0]))).otherwise(F.lit(total / (2.0 * counts[0.0])))
-    base = scored.withColumn("__y", y).withColumn("__w", balanced)
+    base = scored.select("tx_id", *columns, y.alias("__y"), balanced.alias("__w"))
     fit_rows, _ = _scaled(base, base.limit(0), columns)
     return LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=50, regParam=1e-3).fit(fit_rows), base
 

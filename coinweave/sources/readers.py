@@ -17,7 +17,7 @@ class MalformedInput(ValueError):
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV; all columns stay text so that large integers reach the exact parsers untouched."""
-    return spark.read.option("mode", "FAILFAST").csv(path, header=True, inferSchema=False)
+    return spark.read.csv(path, header=True, inferSchema=False, escape='"', mode="FAILFAST")
 
 
 def _exact_numbers(df: DataFrame) -> DataFrame:
