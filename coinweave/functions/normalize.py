@@ -6,6 +6,7 @@ so a bad cell never aborts the job under ANSI mode; validation decides what happ
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -47,7 +48,9 @@ FIRST_STEP_EPOCH = 1_724_889_600  # 2024-08-29T00:00:00Z
 DEFAULT_PORT = 8333
 SURROGATE_SALT = "coinweave"
 
-_NO_ERROR = F.lit(None).cast("string")
+
+def _no_error() -> Column:
+    return F.lit(None).cast("string")
 
 
 class Field(NamedTuple):
@@ -101,7 +104,7 @@ def split_list(c: Column) -> Column:
 def parse_list(c: Column, native: bool = False) -> Field:
     empty = F.array().cast("array<string>")
     if native:
-        return Field(F.coalesce(c, empty), _NO_ERROR)
+        return Field(F.coalesce(c, empty), _no_error())
     parsed = split_list(c)
     broken = c.isNotNull() & (F.trim(c) != "") & parsed.isNull()
     return Field(
@@ -155,54 +158,58 @@ def ipv4_to_long(c: Column) -> Column:
     return F.when(c.rlike(IPV4_PATTERN), value)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once: the expression tree grows by one copy, not by uses."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _canonical_ipv6(c: Column) -> Column:
     """RFC 5952 text of an IPv6 literal, null when it is not one. All built-in expressions."""
-    text = F.lower(c)
-    # A dotted tail stands for two hexadecimal groups.
-    tail = F.regexp_extract(text, r":([0-9.]*\.[0-9.]*)$", 1)
-    tail_long = ipv4_to_long(tail)
-    as_groups = F.concat_ws(
-        ":", F.lower(F.hex(F.shiftright(tail_long, 16))), F.lower(F.hex(tail_long.bitwiseAND(F.lit(65535))))
-    )
-    plain = F.when(
-        tail != "", F.when(tail_long.isNotNull(), F.concat(F.regexp_replace(text, r"[0-9.]*$", ""), as_groups))
-    ).otherwise(text)
-    halves = F.split(plain, "::")
-
-    def groups(i: int) -> Column:
-        half = F.coalesce(F.get(halves, F.lit(i)), F.lit(""))
-        return F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
-
-    head, rest = groups(0), groups(1)
-    used = F.size(head) + F.size(rest)
-    squeezed = F.size(halves) == 2
-    zeros = F.when(squeezed & (used < 8), F.array_repeat(F.lit("0"), 8 - used)).otherwise(
-        F.array().cast("array<string>")
-    )
-    full = F.concat(head, zeros, rest)
-    well_formed = (
-        F.forall(full, lambda g: g.rlike(f"^{_HEX}$"))
-        & (F.size(full) == 8)
-        & (F.size(halves) <= 2)
-        & (~squeezed | (used < 8))
-    )
-    short = F.concat(
-        F.lit(":"),
-        F.array_join(F.transform(full, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":"),
-        F.lit(":"),
-    )
-    # The longest run of zero groups (two or more, the first of equals) becomes "::".
-    packed = F.regexp_replace(short, "^:|:$", "")
-    for n in range(2, 9):
-        run = ":" + "0:" * n
-        at = F.instr(short, run)
-        joined = F.concat(
-            F.regexp_replace(F.substring(short, F.lit(2), at - 2), ":$", ""),
-            F.lit("::"),
-            F.regexp_replace(F.substring(short, at + len(run), F.length(short)), ":$", ""),
-        )
-        packed = F.when(at > 0, joined).otherwise(packed)
-    return F.when(well_formed, packed)
+    none = F.array().cast("array<string>")
+    words = lambda half: F.when(half == "", none).otherwise(F.split(half, ":"))
+
+    def dotted_tail(text: Column) -> Column:
+        """A dotted tail stands for two hexadecimal groups."""
+
+        def rewrite(tail: Column) -> Column:
+            high, low = F.shiftright(ipv4_to_long(tail), 16), ipv4_to_long(tail).bitwiseAND(F.lit(65535))
+            groups = F.concat_ws(":", F.lower(F.hex(high)), F.lower(F.hex(low)))
+            valid = tail.rlike(IPV4_PATTERN)
+            return F.when(tail == "", text).when(valid, F.concat(F.regexp_replace(text, "[0-9.]*$", ""), groups))
+
+        return let(F.regexp_extract(text, r":([0-9.]*[.][0-9.]*)$", 1), rewrite)
+
+    def expand(plain: Column) -> Column:
+        """Eight groups, "::" filled with zeros; null when the text has no such reading."""
+
+        def fill(halves: Column) -> Column:
+            head, rest = words(F.get(halves, F.lit(0))), words(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+            missing = 8 - F.size(head) - F.size(rest)
+            whole = F.when((F.size(halves) == 1) & (missing == 0), head).when(
+                (F.size(halves) == 2) & (missing > 0),
+                F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), rest),
+            )
+            return let(whole, lambda g: F.when(F.forall(g, lambda x: x.rlike(f"^{_HEX}$")), g))
+
+        return let(F.split(plain, "::"), fill)
+
+    def compress(short: Column) -> Column:
+        """The longest run of zero groups (two or more, the first of equals) becomes "::"."""
+        packed = F.regexp_replace(short, "^:|:$", "")
+        for n in range(2, 9):
+            run = ":" + "0:" * n
+            at = F.instr(short, run)
+            before = F.regexp_replace(F.substring(short, F.lit(2), F.greatest(at - 2, F.lit(0))), ":$", "")
+            after = F.regexp_replace(F.substring(short, at + len(run), F.length(short)), ":$", "")
+            packed = F.when(at > 0, F.concat(before, F.lit("::"), after)).otherwise(packed)
+        return packed
+
+    def shorten(groups: Column) -> Column:
+        bare = F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
+        framed = F.concat(F.lit(":"), F.array_join(bare, ":"), F.lit(":"))
+        return F.when(groups.isNotNull(), let(framed, compress))
+
+    return let(let(let(F.lower(c), dotted_tail), expand), shorten)
 
 
 def normalize_ip(c: Column, name: str = "ip") -> Field:
@@ -217,7 +224,7 @@ def _bounded_int(c: Column, name: str, low: int, high: int) -> Field:
     integral = number == F.floor(number)
     inside = number.between(low, high)
     error = (
-        F.when(c.isNull(), _NO_ERROR)
+        F.when(c.isNull(), _no_error())
         .when(number.isNull(), F.concat(F.lit(f"{name} is not numeric: "), c))
         .when(~F.coalesce(integral, F.lit(False)), F.concat(F.lit(f"{name} is not an integer: "), c))
         .when(~inside, F.concat(F.lit(f"{name} is outside {low}-{high}: "), c))

@@ -30,7 +30,9 @@ RAW_ROWS = with_(L.E, RAW, select='SELECT txId, class, inputs, outputs, input_sa
 def _csv_path(spark, d):
     def build():
         path = scratch_path(spark, "raw") + ".csv"
-        L.raw_events(spark, d).write.csv(path, header=True, quoteAll=True, escape='"')
+        L.raw_events(spark, d).write.csv(
+            path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        )
         return path
 
     return memo(spark, ("csv", d), build)
