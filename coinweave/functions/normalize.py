@@ -88,8 +88,7 @@ def normalize_label(c: Column) -> Field:
     value = F.lit(None).cast("string")
     for label, spellings in LABELS.items():
         value = F.when(text.isin(spellings), F.lit(label)).otherwise(value)
-    bad = c.isNotNull() & value.isNull()
-    return Field(value, F.when(bad, F.concat(F.lit("label is not recognised: "), c)))
+    return Field(value, unreadable(c, value, "label is not recognised: "))
 
 
 # ---------------------------------------------------------------- lists and amounts
@@ -212,11 +211,23 @@ def _canonical_ipv6(c: Column) -> Column:
     return let(let(let(F.lower(c), dotted_tail), expand), shorten)
 
 
-def normalize_ip(c: Column, name: str = "ip") -> Field:
+def ip_value(c: Column) -> Column:
     text = F.trim(c)
-    value = F.when(text.rlike(IPV4_PATTERN), text).when(text.contains(":"), _canonical_ipv6(text))
-    bad = c.isNotNull() & value.isNull()
-    return Field(value, F.when(bad, F.concat(F.lit(f"{name} is not an IP address: "), c)))
+    return F.when(text.rlike(IPV4_PATTERN), text).when(text.contains(":"), _canonical_ipv6(text))
+
+
+def unreadable(c: Column, value: Column, text: str) -> Column:
+    """Error text for a present cell without a value."""
+    return F.when(c.isNotNull() & value.isNull(), F.concat(F.lit(text), c))
+
+
+def ip_error(c: Column, value: Column, name: str) -> Column:
+    return unreadable(c, value, f"{name} is not an IP address: ")
+
+
+def normalize_ip(c: Column, name: str = "ip") -> Field:
+    value = ip_value(c)
+    return Field(value, ip_error(c, value, name))
 
 
 def _bounded_int(c: Column, name: str, low: int, high: int) -> Field:
@@ -255,8 +266,7 @@ def normalize_timestamp(c: Column) -> Field:
         .otherwise(F.concat(text, F.lit("Z")))
     )
     value = F.when(seconds.isNotNull(), from_epoch).when(dated, zoned.try_cast("timestamp"))
-    bad = c.isNotNull() & value.isNull()
-    return Field(value, F.when(bad, F.concat(F.lit("timestamp is not readable: "), c)))
+    return Field(value, unreadable(c, value, "timestamp is not readable: "))
 
 
 def timestamp_from_step(step: Column, offset_seconds: Column) -> Column:

@@ -31,34 +31,34 @@ def _carry(blocks: DataFrame, summary: list[Column], carried: list[Column]) -> D
     return F.broadcast(per_block.select(BLOCK, *carried))
 
 
-def running_sum(df: DataFrame, keys, value: Column, name: str, group: list[str] | None = None) -> DataFrame:
-    """Inclusive running sum of ``value`` in the order of ``keys``; with ``group`` (a prefix of the
-    order) the sum restarts for every group, still without gathering a group in one task."""
+def running_sums(df: DataFrame, keys, values: dict[str, Column], group: list[str] | None = None) -> DataFrame:
+    """Inclusive running sums (one column per name) in the order of ``keys``; with ``group`` (a prefix of
+    the order) the sums restart for every group, still without gathering a group in one task."""
     group = group or []
-    blocks = ordered_blocks(df.withColumn("__v", value), keys)
+    names = list(values)
+    v, o = {n: f"__v_{n}" for n in names}, {n: f"__o_{n}" for n in names}
+    blocks = ordered_blocks(df.withColumns({v[n]: values[n] for n in names}), keys)
+    totals = [F.sum(v[n]).alias(o[n]) for n in names]
     inside = Window.partitionBy(BLOCK, *group).orderBy(*_columns(keys)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
+    before = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = [F.coalesce(F.sum(o[n]).over(before), F.lit(0)).alias(o[n]) for n in names]
     if not group:
-        before = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = _carry(
-            blocks, [F.sum("__v").alias("__t")], [F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o")]
-        )
-        out = blocks.join(offsets, BLOCK)
+        out = blocks.join(_carry(blocks, totals, earlier), BLOCK)
     else:
-        # Only the last group of a block can continue in the next one, so one row per (block, border
-        # group) is enough: at most two rows per block.
-        parts = blocks.groupBy(BLOCK, *group).agg(F.sum("__v").alias("__t"))
+        # Only groups that cross a block border need an offset: at most two rows per block.
         spanning = blocks.groupBy(*group).agg(
             F.min(BLOCK).alias("__lo"), F.max(BLOCK).alias("__hi")
         ).filter("__lo < __hi").select(*group)
-        before = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = parts.join(F.broadcast(spanning), group, "left_semi").select(
-            BLOCK, *group, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o")
-        )
-        out = blocks.join(F.broadcast(offsets), [BLOCK, *group], "left")
-    total = F.sum("__v").over(inside) + F.coalesce(F.col("__o"), F.lit(0))
-    return out.withColumn(name, total).drop(BLOCK, "__v", "__o")
+        parts = blocks.groupBy(BLOCK, *group).agg(*totals).join(F.broadcast(spanning), group, "left_semi")
+        out = blocks.join(F.broadcast(parts.select(BLOCK, *group, *earlier)), [BLOCK, *group], "left")
+    sums = {n: F.sum(v[n]).over(inside) + F.coalesce(F.col(o[n]), F.lit(0)) for n in names}
+    return out.withColumns(sums).drop(BLOCK, *v.values(), *o.values())
+
+
+def running_sum(df: DataFrame, keys, value: Column, name: str, group: list[str] | None = None) -> DataFrame:
+    return running_sums(df, keys, {name: value}, group)
 
 
 def row_number(df: DataFrame, keys, name: str, group: list[str] | None = None) -> DataFrame:

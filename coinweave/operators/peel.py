@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 from coinweave.operators.heuristics import PEEL_DELTA_SECONDS, micros
 from coinweave.operators.ledger import Ledger, tx_children
-from coinweave.operators.ordering import running_sum
+from coinweave.operators.ordering import running_sums
 from coinweave.session import materialize
 
 TOLERANCE = 0.08
 ARRAY_LIMIT = 2_000
 MIN_CHAIN = 3
+DIGIT_BITS = 4
 
 
 def _median_of_sorted(a: Column) -> Column:
@@ -120,39 +121,42 @@ def _ring_labels(links: DataFrame, members: DataFrame) -> DataFrame:
 def order_statistics(values: DataFrame, queries: DataFrame, group: str) -> DataFrame:
     """Exact k-th smallest value among the rows of a group at or after a position.
 
-    ``values`` (group, pos, value >= 0), ``queries`` (group, from_pos, k, qid). A bitwise descent from the
-    highest value bit: each level needs one running count over rows ordered by (group, node, pos), which is
-    computed in blocks, so the groups may be of any size. Returns the queries with ``answer``."""
-    spread = values.agg(F.max("value").alias("m")).head()["m"]
-    bits = max(1, int(spread or 0).bit_length())
-    points = values.select(group, F.col("pos"), "value", F.lit(0).cast("bigint").alias("node"))
+    ``values`` (group, pos, value >= 0), ``queries`` (group, from_pos, k, qid). A descent by value digits,
+    ``DIGIT_BITS`` at a time from the top: each level needs running digit counts over rows ordered by
+    (group, node, pos), which are computed in blocks, so the groups may be of any size. Returns the
+    queries with ``answer``."""
+    largest = values.agg(F.max("value").alias("m")).head()["m"]
+    levels = max(1, -(-int(largest or 0).bit_length() // DIGIT_BITS))
+    size = 1 << DIGIT_BITS
+    nothing = F.lit(None)
+    points = values.select(group, "pos", "value", F.lit(0).cast("bigint").alias("node"))
     asks = queries.withColumn("node", F.lit(0).cast("bigint"))
-    for bit in range(bits - 1, -1, -1):
-        mask = 1 << bit
-        is_zero = (F.col("value").bitwiseAND(F.lit(mask)) == 0).cast("bigint")
+    for level in range(levels - 1, -1, -1):
+        digit = F.shiftright("value", level * DIGIT_BITS).bitwiseAND(F.lit(size - 1)).cast("int")
+        # Descending positions: the running counts at a query cover the points at or after it.
         rows = points.select(
-            group, "node", (-F.col("pos")).alias("rank"), F.lit(0).alias("kind"), is_zero.alias("zero"),
-            F.lit(None).cast("bigint").alias("k"), F.lit("").alias("qid"),
+            group, "node", (-F.col("pos")).alias("rank"), F.lit(0).alias("kind"), digit.alias("digit"),
+            nothing.cast("bigint").alias("k"), F.lit("").alias("qid"),
         ).unionAll(
             asks.select(
-                group, "node", (-F.col("from_pos")).alias("rank"), F.lit(1).alias("kind"),
-                F.lit(0).cast("bigint").alias("zero"), "k", "qid",
+                group, "node", (-F.col("from_pos")).alias("rank"), F.lit(1).alias("kind"), nothing.cast("int").alias("digit"), "k", "qid"
             )
         )
-        # Descending positions: the running count at a query covers the points at or after it.
-        counted = running_sum(
-            rows, [group, "node", "rank", "kind", "qid"], F.col("zero"), "zeros", [group, "node"]
-        ).filter("kind = 1")
-        right = F.col("k") > F.col("zeros")
+        upto = {f"c{d}": F.when(F.col("digit") <= d, 1).otherwise(0).cast("bigint") for d in range(size - 1)}
+        counted = running_sums(rows, [group, "node", "rank", "kind", "qid"], upto, [group, "node"]).filter("kind = 1")
+        found, below = F.lit(size - 1), F.col(f"c{size - 2}")
+        for d in range(size - 2, -1, -1):
+            here = F.col("k") <= F.col(f"c{d}")
+            found = F.when(here, F.lit(d)).otherwise(found)
+            below = F.when(here, F.col(f"c{d - 1}") if d else F.lit(0)).otherwise(below)
         asks = materialize(
             counted.select(
-                group, (-F.col("rank")).alias("from_pos"), "qid",
-                F.when(right, F.col("k") - F.col("zeros")).otherwise(F.col("k")).alias("k"),
-                (F.col("node") * 2 + right.cast("bigint")).alias("node"),
+                group, (-F.col("rank")).alias("from_pos"), "qid", (F.col("k") - below).alias("k"),
+                (F.col("node") * size + found).alias("node"),
             ),
             "descent",
         )
-        points = points.withColumn("node", F.col("node") * 2 + (1 - is_zero))
+        points = points.withColumn("node", F.col("node") * size + digit)
     return asks.select(group, "from_pos", "qid", F.col("node").alias("answer"))
 
 

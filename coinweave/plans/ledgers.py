@@ -19,6 +19,7 @@ from coinweave.operators.neighbours import incidence, neighbour_illicit_ratio
 from coinweave.operators.ordering import neighbour_in_order
 from coinweave.operators.peel import peel_chains
 from coinweave.operators.scoring import feature_vector, rule_score
+from coinweave.plans.pipeline import graph_size
 from coinweave.session import materialize, memo
 
 # The event ledger is sparse in time, so its chains are followed over six hours.
@@ -332,17 +333,6 @@ def event_peel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def graph_size(ledger: Ledger) -> int:
-    """Number of nodes of the evidence graph, without building it."""
-    parts = [ledger.tx.select(F.col("tx_id").alias("id"))]
-    parts += [t.select(F.col("address").alias("id")) for t in (ledger.spends, ledger.receipts)]
-    parts += [ledger.tx.select(F.col(c).alias("id")).filter(F.col(c).isNotNull()) for c in ("src_ip", "asn")]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
-    return every.distinct().count()
-
-
 def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         ledger, latest = event_ledger(spark, sf_dir), event_latest(spark, sf_dir)

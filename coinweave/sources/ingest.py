@@ -60,7 +60,7 @@ def normalize_transactions(raw: DataFrame, index: str | None = None) -> DataFram
         for f in ("input_addresses", "output_addresses", "parent_tx_ids", "exchange_addresses")
     }
     amounts = {f: N.parse_amounts(F.col(f"raw_{f}"), native(f)) for f in ("input_amounts", "output_amounts")}
-    ips = {f: N.normalize_ip(F.col(f"raw_{f}"), f) for f in ("src_ip", "dst_ip")}
+    ips = ("src_ip", "dst_ip")
     ports = {f: N.normalize_port(F.col(f"raw_{f}"), f) for f in ("src_port", "dst_port")}
     when = N.normalize_timestamp(F.col("raw_timestamp"))
     network = F.lit(True)
@@ -72,7 +72,9 @@ def normalize_transactions(raw: DataFrame, index: str | None = None) -> DataFram
         tx_id.alias("tx_id"),
         label.value.alias("label"),
         F.when(F.col("raw_time_step").isNull(), N.default_time_step(i)).otherwise(step.value).alias("time_step"),
-        *[f.value.alias(n) for n, f in {**lists, **amounts, **ips}.items()],
+        *[f.value.alias(n) for n, f in {**lists, **amounts}.items()],
+        *[N.ip_value(F.col(f"raw_{f}")).alias(f) for f in ips],
+        *[f"raw_{f}" for f in ips],
         F.when(F.col("raw_src_port").isNull(), N.DEFAULT_PORT + F.pmod(i, F.lit(200)).cast("int"))
         .otherwise(ports["src_port"].value).alias("src_port"),
         F.when(F.col("raw_dst_port").isNull(), F.lit(N.DEFAULT_PORT))
@@ -83,7 +85,7 @@ def normalize_transactions(raw: DataFrame, index: str | None = None) -> DataFram
         F.array(
             step.error, label.error, *[f.error for f in lists.values()], *[f.error for f in amounts.values()]
         ).alias("__before"),
-        F.array(*[f.error for f in {**ips, **ports}.values()], when.error).alias("__after"),
+        F.array(*[f.error for f in ports.values()], when.error).alias("__after"),
     )
     has_sides = (F.size("input_addresses") > 0) & (F.size("output_addresses") > 0)
     given = (F.size("input_amounts") > 0) & (F.size("output_amounts") > 0)
@@ -107,6 +109,8 @@ def normalize_transactions(raw: DataFrame, index: str | None = None) -> DataFram
         F.when(F.size("output_addresses") == 0, F.lit("no output addresses")),
         mismatch("input"), mismatch("output"), F.when(has_sides, paid),
     )
+    # Errors of the addresses follow from the parsed columns, so the parser appears once per column.
+    addresses = F.array(*[N.ip_error(F.col(f"raw_{f}"), F.col(f), f) for f in ips])
     fallback_ts = N.timestamp_from_step(F.col("time_step"), F.pmod(i, F.lit(20)))
     return filled.select(
         "row_index", "tx_id", "label", F.coalesce("__ts", fallback_ts).alias("ts"), "time_step",
@@ -116,7 +120,7 @@ def normalize_transactions(raw: DataFrame, index: str | None = None) -> DataFram
         "parent_tx_ids", "exchange_addresses",
         "ext_feature_count", "ext_feature_mean", "ext_feature_std",
         provenance(F.col("__given"), F.col("__network")).alias("provenance"),
-        F.filter(F.concat("__before", structural, "__after"), lambda e: e.isNotNull()).alias("errors"),
+        F.filter(F.concat("__before", structural, addresses, "__after"), lambda e: e.isNotNull()).alias("errors"),
     )
 
 

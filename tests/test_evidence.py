@@ -5,10 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from coinweave.operators import evidence, graph, ledger, links, metrics, models, neighbours, ordering, scoring, training_tables
-from coinweave.operators.audit import audit_evidence, audit_graph, audit_summary
-from coinweave.operators.heuristics import fan_patterns
-from coinweave.operators.peel import peel_chains
+from coinweave.operators import evidence, graph, links, metrics, models, ordering, scoring, training_tables
+from coinweave.operators.audit import audit_evidence, audit_graph
+from coinweave.plans import pipeline
 from helpers import column, frame, tx
 from test_heuristics import COIN, peel_rows
 
@@ -58,24 +57,13 @@ def test_feature_texts(spark):
 
 
 def case(spark, rows, hops=4):
-    """Scored ledger with every transaction treated as an alert."""
-    led = ledger.from_transactions(frame(spark, rows))
-    latest = ledger.latest_receipt(led.receipts)
-    inc = neighbours.incidence(led.spends, led.receipts)
-    peel = peel_chains(led, latest)
-    nodes, edges = graph.build_nodes(led, None, peel), graph.build_edges(led)
-    features = scoring.feature_vector(
-        led, latest, neighbours.neighbour_illicit_ratio(inc, led.tx), peel, fan_patterns(led, latest), nodes.count()
-    )
-    scored = scoring.rule_score(features)
-    alerts = scoring.alerts(scored, 0)
-    nodes = links.annotate_nodes(nodes, alerts)
-    reached = graph.n_hop(nodes, edges, alerts, hops)
-    return dict(
-        led=led, scored=scored, alerts=alerts, nodes=nodes, edges=edges, reached=reached, inc=inc,
-        payload=graph.subgraph_payload(nodes, edges, reached),
-        pn=graph.subgraph_nodes(nodes, reached), pe=graph.subgraph_edges(edges, reached),
-    )
+    """A pipeline run with every transaction treated as an alert."""
+    found = pipeline.detect(frame(spark, rows))
+    found["alerts"] = scoring.alerts(found["scored"], 0)
+    out = pipeline.investigate(found, hops=hops)
+    return dict(found=found, case=out, led=found["ledger"], pn=out["page_nodes"], pe=out["page_edges"], **{
+        k: v for k, v in {**found, **out}.items() if k != "ledger"
+    })
 
 
 def chain_rows():
@@ -126,14 +114,12 @@ def test_minimal_subgraph_keeps_root_and_its_network(spark):
 
 def test_evidence_and_audit(spark):
     c = case(spark, chain_rows())
-    explained = evidence.explain(c["scored"])
-    hashes = evidence.custody_hash(c["payload"], c["alerts"])
-    rows = evidence.evidence(explained, hashes)
+    hashes, rows = c["hashes"], c["evidence"]
     totals = dict(column(metrics.contribution_total(rows), "tx_id", "total"))
     assert totals == {r.tx_id: float(r.threat_score) for r in c["alerts"].collect()}
     failures = audit_graph(c["alerts"], c["pn"], c["pe"]), audit_evidence(c["alerts"], rows, hashes)
     assert [f.collect() for f in failures] == [[], []]
-    summary = audit_summary(c["led"].tx, c["alerts"], *failures).head()
+    summary = pipeline.audit(c["found"], c["case"]).head()
     assert tuple(summary) == ("success", 3, 3, 0)
     broken = rows.withColumn("overall_threat_score", F.col("overall_threat_score") + 1).filter("tx_id <> 'peel_3'")
     found = column(audit_evidence(c["alerts"], broken.withColumn("chain_of_custody_hash", F.lit("ff")), hashes), "tx_id", "failure")
@@ -145,6 +131,16 @@ def test_evidence_and_audit(spark):
     assert files.n_nodes == len(files.selected_nodes) and files.attribution[0].startswith("- ")
 
 
+def test_run_writes_its_tables(spark, tmp_path):
+    rows = [r[:8] + ("AS1", "Tor Transit") + r[10:] for r in chain_rows()]
+    out = pipeline.run_pipeline(frame(spark, rows), str(tmp_path))
+    stored = spark.read.parquet(str(tmp_path / "alerts"))
+    assert column(stored, "tx_id") == ["peel_1", "peel_2", "peel_3"]
+    assert column(stored, "primary_anomaly")[0] == "Peel Chain to Exchange"
+    evidence_rows = spark.read.parquet(str(tmp_path / "evidence"))
+    assert evidence_rows.count() == 3 and out["payload"].count() == spark.read.parquet(str(tmp_path / "payload")).count()
+
+
 def test_unflagged_is_known_without_evidence(spark):
     c = case(spark, chain_rows())
     some = c["alerts"].filter("tx_id = 'peel_1'")

@@ -75,33 +75,40 @@ def test_missing_output_amounts_are_balanced(spark, tmp_path):
     assert row.provenance.ledger_layer == "synthetic" and row.provenance.semi_synthetic
 
 
-@pytest.mark.parametrize(
-    "cells,message",
-    [
-        ({"input_amounts": "100"}, "2 input addresses but 1 input amounts"),
-        ({"output_amounts": "101"}, "outputs exceed inputs"),
-        ({"class": "nonsense"}, "label is not recognised"),
-        ({"time_step": "0"}, "time_step is outside"),
-        ({"time_step": "50"}, "time_step is outside"),
-        ({"time_step": "2.5"}, "time_step is not an integer"),
-        ({"time_step": "soon"}, "time_step is not numeric"),
-        ({"src_ip": "999.1.1.1"}, "src_ip is not an IP address"),
-        ({"dst_ip": "host"}, "dst_ip is not an IP address"),
-        ({"src_port": "70000"}, "src_port is outside"),
-        ({"dst_port": "8333.5"}, "dst_port is not an integer"),
-        ({"input_amounts": "60;100.5"}, "amount is not an integer"),
-        ({"input_amounts": "-1;100"}, "amount is negative"),
-        ({"output_amounts": "lots"}, "amount is not numeric"),
-        ({"input_addresses": ""}, "no input addresses"),
-    ],
-)
-def test_bad_rows_fail_or_are_quarantined(spark, tmp_path, cells, message):
-    path = write(tmp_path, [GOOD, changed(tx_id="t2", **cells)])
-    with pytest.raises(readers.MalformedInput, match="Row 2: .*" + message):
-        ingest.validate(load(spark, path))
+BAD_CELLS = [
+    ({"input_amounts": "100"}, "2 input addresses but 1 input amounts"),
+    ({"output_amounts": "101"}, "outputs exceed inputs"),
+    ({"class": "nonsense"}, "label is not recognised"),
+    ({"time_step": "0"}, "time_step is outside"),
+    ({"time_step": "50"}, "time_step is outside"),
+    ({"time_step": "2.5"}, "time_step is not an integer"),
+    ({"time_step": "soon"}, "time_step is not numeric"),
+    ({"src_ip": "999.1.1.1"}, "src_ip is not an IP address"),
+    ({"dst_ip": "host"}, "dst_ip is not an IP address"),
+    ({"src_port": "70000"}, "src_port is outside"),
+    ({"dst_port": "8333.5"}, "dst_port is not an integer"),
+    ({"input_amounts": "60;100.5"}, "amount is not an integer"),
+    ({"input_amounts": "-1;100"}, "amount is negative"),
+    ({"output_amounts": "lots"}, "amount is not numeric"),
+    ({"input_addresses": ""}, "no input addresses"),
+]
+
+
+def test_bad_rows_are_quarantined_with_reasons(spark, tmp_path):
+    path = write(tmp_path, [GOOD, *[changed(tx_id=f"bad{i:02d}", **cells) for i, (cells, _) in enumerate(BAD_CELLS)]])
     good, bad = ingest.validate(load(spark, path), "quarantine")
     assert column(good, "tx_id") == ["t1"]
-    assert any(message in e for e in bad.head().errors)
+    reasons = dict(column(bad, "tx_id", "errors"))
+    assert len(reasons) == len(BAD_CELLS)
+    for i, (_, message) in enumerate(BAD_CELLS):
+        assert any(message in e for e in reasons[f"bad{i:02d}"]), message
+
+
+@pytest.mark.parametrize("cells,message", BAD_CELLS[:2])
+def test_first_bad_row_fails_fast(spark, tmp_path, cells, message):
+    path = write(tmp_path, [GOOD, changed(tx_id="t2", **cells), changed(tx_id="t3", time_step="0")])
+    with pytest.raises(readers.MalformedInput, match="Row 2: .*" + message):
+        ingest.validate(load(spark, path))
 
 
 def test_duplicate_ids(spark, tmp_path):
