@@ -120,17 +120,20 @@ def parse_amounts(c: Column, native: bool = False) -> Field:
     """Exact satoshi amounts: every item integral, non-negative and within 64 bits."""
     items, list_error = parse_list(c, native)
 
-    def first_failing(test, text: str) -> Column:
-        bad = F.filter(items, test)
-        return F.when(F.size(bad) > 0, F.concat(F.lit(text), F.coalesce(F.get(bad, F.lit(0)), F.lit("null"))))
-
-    error = F.coalesce(
-        list_error,
-        first_failing(lambda x: _exact(x).isNull(), "amount is not numeric: "),
-        first_failing(lambda x: _exact(x) != F.floor(_exact(x)), "amount is not an integer: "),
-        first_failing(lambda x: _exact(x) < 0, "amount is negative: "),
-        first_failing(lambda x: _exact(x).try_cast("bigint").isNull(), "amount is too large: "),
-    )
+    def check(rows: Column) -> Column:
+        def first_failing(test, text: str) -> Column:
+            bad = F.filter(rows, test)
+            return F.when(F.size(bad) > 0, F.concat(F.lit(text), F.coalesce(F.get(bad, F.lit(0))["t"], F.lit("null"))))
+
+        return F.coalesce(
+            first_failing(lambda x: x["d"].isNull(), "amount is not numeric: "),
+            first_failing(lambda x: x["d"] != F.floor(x["d"]), "amount is not an integer: "),
+            first_failing(lambda x: x["d"] < 0, "amount is negative: "),
+            first_failing(lambda x: x["d"].try_cast("bigint").isNull(), "amount is too large: "),
+        )
+
+    decimals = F.transform(items, lambda x: F.struct(x.alias("t"), _exact(x).alias("d")))
+    error = F.coalesce(list_error, let(decimals, check))
     return Field(F.transform(items, lambda x: _exact(x).try_cast("bigint")), error)
 
 

@@ -3,8 +3,8 @@
 For a transaction with wallets W the neighbours are the union of the wallets' transaction sets, minus
 itself. Sums over that union are computed in two exact parts:
 
-* light wallets (at most ``heavy_degree`` transactions): explicit distinct pairs, whose number is at
-  most ``heavy_degree`` times the number of incidences;
+* light wallets (at most ``heavy_degree`` transactions): pairs within a wallet, at most ``heavy_degree``
+  times the number of incidences, each counted at one wallet only and summed inside the join's task;
 * heavy wallets: transactions with the same set of heavy wallets form one *unit*. For units with at
   most ``MAX_SUBSET`` heavy wallets the union is an inclusion-exclusion over subset sums, one aggregated
   row per subset and no pairs. Wider units are rare and are paired explicitly, unit by unit.
@@ -14,6 +14,8 @@ A light pair that also shares a heavy wallet is dropped from the first part, so
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from coinweave.session import materialize
 
 HEAVY_DEGREE = 64
 MAX_SUBSET = 8
+MAX_LIGHT_SET = 32
 
 
 def incidence(spends: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -49,100 +52,141 @@ def _subsets(wallets: Column) -> Column:
     )
 
 
-def _unit_sums(unit_wallets: DataFrame, stats: DataFrame, sums: list[str]) -> DataFrame:
+class Links(NamedTuple):
+    """What the sums need to know about an incidence table, independent of the summed values."""
+
+    light: DataFrame
+    sets: DataFrame
+    unit_wallets: DataFrame | None
+    unit_pairs: DataFrame | None
+    has_long: bool
+
+
+def prepare_links(inc: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> Links:
+    # A wallet seen once links nobody. The degree table has one row per wallet, so a busy wallet is
+    # large on one side of this join only.
+    inc = materialize(inc, "incidence")
+    degrees = inc.groupBy("address").agg(F.count("*").alias("degree")).filter("degree > 1")
+    linked = materialize(
+        inc.join(degrees, "address").select("tx_id", "address", (F.col("degree") > heavy_degree).alias("heavy")),
+        "linked",
+    )
+    sizes = linked.groupBy("tx_id").agg(
+        F.sum((~F.col("heavy")).cast("int")).alias("n_light"), F.sum(F.col("heavy").cast("int")).alias("n_heavy")
+    )
+    most = sizes.agg(F.max("n_light").alias("light"), F.max("n_heavy").alias("heavy")).head()
+    has_long, has_wide = (most["light"] or 0) > MAX_LIGHT_SET, (most["heavy"] or 0) > MAX_SUBSET
+    sets = materialize(_tx_sets(linked, sizes, has_long or has_wide), "sets")
+    light = linked.filter("not heavy").select("tx_id", "address")
+    if not most["heavy"]:
+        return Links(light, sets, None, None, has_long)
+    narrow = sets.filter("unit is not null and not wide").groupBy("unit").agg(F.any_value("heavy_set").alias("wallets"))
+    unit_wallets = materialize(narrow, "units")
+    unit_pairs = None
+    if has_wide:
+        wide_tx = sets.filter("wide").select("tx_id", "unit")
+        one = linked.filter("heavy").join(wide_tx, "tx_id").select("unit", "address")
+        every = one.unionAll(unit_wallets.select("unit", F.explode("wallets").alias("address")))
+        forward = one.join(every.withColumnRenamed("unit", "unit_b"), "address").select("unit", "unit_b")
+        unit_pairs = materialize(forward.unionAll(forward.select(F.col("unit_b"), F.col("unit"))).distinct(), "unit_pairs")
+    return Links(light, sets, unit_wallets, unit_pairs, has_long)
+
+
+def _tx_sets(linked: DataFrame, sizes: DataFrame, bounded: bool) -> DataFrame:
+    """One row per linked transaction with its short wallet sets and the unit it belongs to.
+
+    ``light_set`` is null beyond ``MAX_LIGHT_SET`` light wallets, ``heavy_set`` beyond ``MAX_SUBSET`` heavy
+    ones (``wide``). Where longer lists exist (``bounded``) their rows are dropped before anything is
+    gathered."""
+    rows = linked
+    if bounded:
+        short = (F.col("heavy") & (F.col("n_heavy") <= MAX_SUBSET)) | (~F.col("heavy") & (F.col("n_light") <= MAX_LIGHT_SET))
+        rows = linked.join(sizes, "tx_id").filter(short)
+    sets = rows.groupBy("tx_id").agg(
+        F.array_sort(F.collect_list(F.when(~F.col("heavy"), F.col("address")))).alias("light_set"),
+        F.array_sort(F.collect_list(F.when(F.col("heavy"), F.col("address")))).alias("heavy_set"),
+    )
+    if bounded:
+        empty = F.array().cast("array<string>")
+        kept = lambda name, n, most: F.when(F.col(n) <= most, F.coalesce(F.col(name), empty)).alias(name)
+        sets = sizes.join(sets, "tx_id", "left").select(
+            "tx_id", "n_heavy", kept("light_set", "n_light", MAX_LIGHT_SET), kept("heavy_set", "n_heavy", MAX_SUBSET)
+        )
+    else:
+        sets = sets.withColumn("n_heavy", F.size("heavy_set"))
+    # Length-prefixed names, so that different sets never share one.
+    name = F.concat(
+        F.lit("set:"), F.array_join(F.transform("heavy_set", lambda w: F.concat(F.length(w), F.lit(":"), w)), ",")
+    )
+    wide = F.col("heavy_set").isNull()
+    unit = F.when(F.col("n_heavy") > 0, F.when(wide, F.concat(F.lit("tx:"), "tx_id")).otherwise(name))
+    return sets.select("tx_id", "light_set", "heavy_set", wide.alias("wide"), unit.alias("unit"))
+
+
+def _unit_sums(links: Links, stats: DataFrame, sums: list[str]) -> DataFrame:
     """Per unit the sums over all units that share a heavy wallet with it (itself included)."""
-    narrow = stats.filter("not wide").select("unit", "wallets", *sums)
+    narrow = links.unit_wallets.join(stats, "unit")
     exploded = narrow.select("unit", *sums, F.explode(_subsets(F.col("wallets"))).alias("subset"))
     per_subset = exploded.groupBy("subset").agg(*[F.sum(c).alias(c) for c in sums])
     sign = F.when(F.pmod(F.size("subset"), F.lit(2)) == 1, F.lit(1)).otherwise(F.lit(-1))
+    total = [F.sum(c).alias(c) for c in sums]
     by_subset = exploded.select("unit", "subset").join(per_subset, "subset").groupBy("unit").agg(
         *[F.sum(sign * F.col(c)).alias(c) for c in sums]
     )
-    # Pairs with at least one wide unit.
-    wide = unit_wallets.filter("wide").select(F.col("unit").alias("a"), "address")
-    pairs = wide.join(unit_wallets.select(F.col("unit").alias("b"), "address", F.col("wide").alias("b_wide")), "address")
-    pairs = pairs.select("a", "b", "b_wide").distinct()
-    both = pairs.select("a", "b").unionAll(pairs.filter("not b_wide").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    explicit = both.join(stats.select(F.col("unit").alias("b"), *sums), "b").groupBy(F.col("a").alias("unit")).agg(
-        *[F.sum(c).alias(c) for c in sums]
+    if links.unit_pairs is None:
+        return by_subset
+    explicit = links.unit_pairs.join(stats.withColumnRenamed("unit", "unit_b"), "unit_b").groupBy("unit").agg(*total)
+    return by_subset.unionAll(explicit).groupBy("unit").agg(*total)
+
+
+def _light_sums(links: Links, vals: DataFrame, sums: list[str]) -> DataFrame:
+    """Sums over transactions that share a light wallet but no heavy one.
+
+    Every pair is counted at its smallest common light wallet: a row carries its own smaller wallets, and
+    a pair counts unless one of them occurs on the other side. So pairs need no deduplicating shuffle and
+    collapse into per-transaction sums inside the join's task. Only pairs with a long wallet list are
+    deduplicated explicitly."""
+    sets = links.sets.select("tx_id", "light_set", "heavy_set", "unit")
+    rows = links.light.join(sets, "tx_id")
+    earlier = F.filter("light_set", lambda w: w < F.col("address"))
+    mine = rows.withColumn("earlier", earlier).drop("light_set")
+    theirs = links.light.join(sets.join(vals, "tx_id"), "tx_id").select(
+        F.col("tx_id").alias("other"), "address", F.col("light_set").alias("light_b"), F.col("heavy_set").alias("heavy_b"),
+        F.col("unit").alias("unit_b"), *sums,
     )
-    return by_subset.unionAll(explicit).groupBy("unit").agg(*[F.sum(c).alias(c) for c in sums])
+    apart = lambda x, y: ~F.coalesce(F.arrays_overlap(x, y), F.lit(False))
+    pairs = mine.join(theirs, "address").filter("tx_id <> other").filter(apart("heavy_set", "heavy_b"))
+    known = F.col("earlier").isNotNull() & F.col("light_b").isNotNull()
+    cols = ["tx_id", "unit", "unit_b", *sums]
+    counted = pairs.filter(known & apart("earlier", "light_b")).select(*cols)
+    if links.has_long:
+        rest = pairs.filter(~known).groupBy("tx_id", "other").agg(*[F.any_value(c).alias(c) for c in cols[1:]])
+        counted = counted.unionByName(rest.select(*cols))
+    if links.unit_pairs is not None:
+        # Units of which at least one is wide are compared by name.
+        counted = counted.join(links.unit_pairs, ["unit", "unit_b"], "left_anti")
+    return counted.groupBy("tx_id").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def neighbour_sums(
-    inc: DataFrame, values: DataFrame, columns: list[str], heavy_degree: int = HEAVY_DEGREE
+    inc: DataFrame | None, values: DataFrame, columns: list[str], heavy_degree: int = HEAVY_DEGREE, links: Links | None = None
 ) -> DataFrame:
     """Per transaction ``n_neighbours`` and the sum of each value column over its distinct neighbours.
 
-    ``values`` has one row per transaction; the result has one row per transaction of ``values``."""
+    ``values`` has one row per transaction; the result has one row per transaction of ``values``. Pass
+    ``links`` to reuse a prepared incidence."""
+    links = links or prepare_links(inc, heavy_degree)
     sums = ["n_neighbours", *columns]
     vals = values.select("tx_id", F.lit(1).cast("bigint").alias("n_neighbours"), *columns)
-    degrees = inc.groupBy("address").agg(F.count("*").alias("degree")).filter("degree > 1")
-    # A wallet seen once links nobody. The degree table has one row per wallet, so a busy wallet is
-    # large on one side of this join only.
-    linked = materialize(
-        inc.join(degrees, "address").select("address", "tx_id", (F.col("degree") > heavy_degree).alias("heavy")),
-        "incidence",
-    )
-    heavy = linked.filter("heavy").select("address", "tx_id")
-    has_heavy = not heavy.isEmpty()
-
-    light = linked.filter("not heavy").select("address", "tx_id")
-    pairs = light.join(light.select("address", F.col("tx_id").alias("other")), "address").filter("tx_id <> other")
-    pairs = pairs.select("tx_id", "other").distinct()
-    if not has_heavy:
-        near = pairs.join(vals.withColumnRenamed("tx_id", "other"), "other").groupBy("tx_id").agg(
-            *[F.sum(c).alias(c) for c in sums]
-        )
+    near = _light_sums(links, vals, sums)
+    if links.unit_wallets is None:
         return _complete(values, near, sums)
-
-    counts = heavy.groupBy("tx_id").agg(F.count("*").alias("n"))
-    wide_ids = counts.filter(F.col("n") > MAX_SUBSET).select("tx_id", F.lit(True).alias("wide"))
-    marked = heavy.join(wide_ids, "tx_id", "left")
-    # Arrays only for transactions with at most MAX_SUBSET heavy wallets.
-    narrow_tx = marked.filter("wide is null").groupBy("tx_id").agg(
-        F.array_sort(F.collect_list("address")).alias("wallets")
-    )
-    # Length-prefixed, so that different sets never share a name.
-    name = F.concat(
-        F.lit("set:"), F.array_join(F.transform("wallets", lambda w: F.concat(F.length(w), F.lit(":"), w)), ",")
-    )
-    units = narrow_tx.select("tx_id", name.alias("unit"), "wallets", F.lit(False).alias("wide")).unionByName(
-        wide_ids.select(
-            "tx_id", F.concat(F.lit("tx:"), "tx_id").alias("unit"),
-            F.lit(None).cast("array<string>").alias("wallets"), "wide",
-        )
-    )
-    units = materialize(units, "units")
-    stats = materialize(
-        units.join(vals, "tx_id").groupBy("unit", "wide").agg(
-            F.any_value("wallets").alias("wallets"), *[F.sum(c).alias(c) for c in sums]
-        ),
-        "unit_stats",
-    )
-    unit_wallets = stats.filter("not wide").select("unit", "wide", F.explode("wallets").alias("address")).unionByName(
-        marked.filter("wide").select(F.concat(F.lit("tx:"), "tx_id").alias("unit"), "wide", "address")
-    )
-    shared = _unit_sums(unit_wallets, stats, sums)
-
-    # Light pairs that share no heavy wallet. Both ends must have heavy wallets to share one.
-    own = units.select("tx_id", "unit", "wallets", "wide")
-    far = own.toDF("other", "unit_b", "wallets_b", "wide_b")
-    tagged = pairs.join(own, "tx_id", "left").join(far, "other", "left")
-    narrow_overlap = F.coalesce(F.arrays_overlap("wallets", "wallets_b"), F.lit(False))
-    kept = tagged.filter(~narrow_overlap)
-    wide = unit_wallets.filter("wide").select(F.col("unit").alias("unit"), "address")
-    wide_pairs = wide.join(unit_wallets.select(F.col("unit").alias("unit_b"), "address"), "address").select(
-        "unit", "unit_b"
-    ).distinct()
-    wide_pairs = wide_pairs.unionAll(wide_pairs.select(F.col("unit_b"), F.col("unit"))).distinct()
-    kept = kept.join(wide_pairs, ["unit", "unit_b"], "left_anti")
-    near = kept.select("tx_id", "other").join(vals.withColumnRenamed("tx_id", "other"), "other").groupBy("tx_id").agg(
-        *[F.sum(c).alias(c) for c in sums]
-    )
+    owners = links.sets.filter("unit is not null").select("tx_id", "unit").join(vals, "tx_id")
+    stats = materialize(owners.groupBy("unit").agg(*[F.sum(c).alias(c) for c in sums]), "unit_stats")
+    shared = _unit_sums(links, stats, sums)
     # The unit's sums include the transaction itself once.
-    around = units.select("tx_id", "unit").join(shared, "unit").select("tx_id", *sums)
-    itself = units.select("tx_id").join(vals, "tx_id").select("tx_id", *[(-F.col(c)).alias(c) for c in sums])
+    around = owners.select("tx_id", "unit").join(shared, "unit").select("tx_id", *sums)
+    itself = owners.select("tx_id", *[(-F.col(c)).alias(c) for c in sums])
     merged = near.unionByName(around).unionByName(itself).groupBy("tx_id").agg(*[F.sum(c).alias(c) for c in sums])
     return _complete(values, merged, sums)
 
@@ -176,13 +220,14 @@ def gcn_propagate(
     x_i' = sum_j x_j / sqrt(d_i d_j) over neighbours and i itself, d counting the self loop. Per hop one
     ``neighbour_sums`` of x_j / sqrt(d_j); the pair list itself is never needed."""
     base = nodes.select("tx_id", *[F.col(c).cast("double").alias(c) for c in columns])
-    degree = neighbour_sums(inc, base, [], heavy_degree).select(
+    links = prepare_links(inc, heavy_degree)
+    degree = neighbour_sums(None, base, [], links=links).select(
         "tx_id", (F.col("n_neighbours") + 1).cast("double").alias("__d")
     )
     current = materialize(base.join(degree, "tx_id"), "propagated")
     for _ in range(hops):
         scaled = current.select("tx_id", *[(F.col(c) / F.sqrt("__d")).alias(c) for c in columns])
-        around = neighbour_sums(inc, scaled, columns, heavy_degree).drop("n_neighbours")
+        around = neighbour_sums(None, scaled, columns, links=links).drop("n_neighbours")
         around = around.select("tx_id", *[F.col(c).alias(f"__n_{c}") for c in columns])
         current = materialize(
             current.join(around, "tx_id").select(
