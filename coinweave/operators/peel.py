@@ -15,13 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coinweave.functions.normalize import let
 from coinweave.operators.heuristics import PEEL_DELTA_SECONDS, micros
 from coinweave.operators.ledger import Ledger, tx_children
 from coinweave.operators.ordering import running_sums
 from coinweave.session import materialize
 
 TOLERANCE = 0.08
-ARRAY_LIMIT = 2_000
+ARRAY_LIMIT = 256
 MIN_CHAIN = 3
 DIGIT_BITS = 4
 
@@ -41,8 +42,12 @@ def close_to_median(low: Column, high: Column, median: Column, tol: float) -> Co
 
 def repeated_small_amount(amounts: Column, tol: float = TOLERANCE) -> Column:
     """At least two amounts, all within ``tol`` of their median."""
-    s = F.array_sort(amounts)
-    return (F.size(s) >= 2) & close_to_median(F.get(s, F.lit(0)), F.element_at(s, -1), _median_of_sorted(s), tol)
+
+    def test(ordered: Column) -> Column:
+        ends = F.get(ordered, F.lit(0)), F.element_at(ordered, -1)
+        return let(_median_of_sorted(ordered), lambda median: close_to_median(*ends, median, tol))
+
+    return let(F.array_sort(amounts), lambda ordered: F.when(F.size(ordered) >= 2, test(ordered)).otherwise(F.lit(False)))
 
 
 def chain_links(ledger: Ledger, latest: DataFrame, delta_s: int = PEEL_DELTA_SECONDS) -> DataFrame:
@@ -169,13 +174,11 @@ def _short_path_starts(rows: DataFrame, tol: float) -> DataFrame:
     starts = F.sequence(F.lit(0), n - MIN_CHAIN)
 
     def qualifies(i: Column) -> Column:
-        tail = F.slice(F.col("ms"), i + 1, n - i)
-        doubled = F.concat(
-            F.slice(tail, 1, 1),
-            F.flatten(F.transform(F.slice(tail, F.lit(2), F.size(tail) - 2), lambda x: F.array(x, x))),
-            F.slice(tail, -1, 1),
-        )
-        return repeated_small_amount(doubled, tol)
+        def doubled(tail: Column) -> Column:
+            inner = F.slice(tail, F.lit(2), F.size(tail) - 2)
+            return F.concat(F.slice(tail, 1, 1), inner, inner, F.slice(tail, -1, 1))
+
+        return repeated_small_amount(let(F.slice(F.col("ms"), i + 1, n - i), doubled), tol)
 
     good = F.filter(starts, qualifies)
     return paths.filter(n >= MIN_CHAIN).select("head", F.get(good, F.lit(0)).cast("bigint").alias("start")).filter(
