@@ -324,28 +324,27 @@ def event_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_peel_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peel_chains(event_ledger(spark, sf_dir), event_latest(spark, sf_dir), CHAIN_SECONDS)
+
+
 def event_peel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memo(
-        spark, ("event_peel", sf_dir),
-        lambda: materialize(
-            peel_chains(event_ledger(spark, sf_dir), event_latest(spark, sf_dir), CHAIN_SECONDS), "peel"
-        ),
+    return memo(spark, ("event_peel", sf_dir), lambda: materialize(event_peel_plan(spark, sf_dir), "peel"))
+
+
+def event_feature_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger, latest = event_ledger(spark, sf_dir), event_latest(spark, sf_dir)
+    inc = incidence(ledger.spends, ledger.receipts)
+    return feature_vector(
+        ledger, latest, neighbour_illicit_ratio(inc, ledger.tx), event_peel(spark, sf_dir),
+        fan_patterns(ledger, latest), graph_size(ledger),
     )
 
 
 def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build() -> DataFrame:
-        ledger, latest = event_ledger(spark, sf_dir), event_latest(spark, sf_dir)
-        inc = incidence(ledger.spends, ledger.receipts)
-        return materialize(
-            feature_vector(
-                ledger, latest, neighbour_illicit_ratio(inc, ledger.tx), event_peel(spark, sf_dir),
-                fan_patterns(ledger, latest), graph_size(ledger),
-            ),
-            "features",
-        )
-
-    return memo(spark, ("event_features", sf_dir), build)
+    return memo(
+        spark, ("event_features", sf_dir), lambda: materialize(event_feature_plan(spark, sf_dir), "features")
+    )
 
 
 def event_scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def _order_latest(spark, d):
 
 @query("j2_latest_receipt", with_(L.O, L.LATEST, select="SELECT address, parent_tx, parent_amount, parent_us FROM lr"))
 def _(spark, d):
-    return _order_latest(spark, d).select("address", "parent_tx", "parent_amount", us("parent_ts").alias("parent_us"))
+    return ledger.latest_receipt(L.order_ledger(spark, d).receipts).select("address", "parent_tx", "parent_amount", us("parent_ts").alias("parent_us"))
 
 
 @query("j3_spenders", with_(L.O, select="SELECT address, count(*) AS n_spends, min(tx_id) AS first_tx, max(tx_id) AS last_tx FROM sp GROUP BY 1"))
@@ -176,7 +176,8 @@ def _order_entities(spark, d):
 
 @query("g3_entities", with_(L.O, L.INCIDENCE, SIDES_O, ENTITIES_O, select="SELECT address, root FROM cc"))
 def _(spark, d):
-    return _order_entities(spark, d).select("address", "root")
+    o = L.order_ledger(spark, d)
+    return components.entities(o.spends, o.receipts).select("address", "root")
 
 
 @query("g4_entity_id", with_(L.O, L.INCIDENCE, SIDES_O, ENTITIES_O, select="SELECT 'entity_' || sha256(root) AS entity_id, count(*) AS n_wallets FROM cc GROUP BY 1"))
@@ -232,7 +233,7 @@ def _(spark, d):
 
 @query("g13_peel_chains", with_(L.E, L.E_LONG, L.LATEST, L.CHILDREN, L.PEEL_E, select="SELECT tx_id FROM pl"))
 def _(spark, d):
-    return L.event_peel(spark, d)
+    return L.event_peel_plan(spark, d)
 
 
 @query(
@@ -275,7 +276,7 @@ def _(spark, d):
       0.0::DOUBLE AS fan_out, 0.0::DOUBLE AS fan_in, 0.0::DOUBLE AS change_reuse, CAST(CAST(pays_exchange AS INT) AS DOUBLE) AS terminal_exchange FROM fe"""),
 )
 def _(spark, d):
-    f = L.event_features(spark, d)
+    f = L.event_feature_plan(spark, d)
     digits = {"fee_ratio": 9, "neighbor_illicit_ratio": 9, "degree_centrality": 12}
     return f.select(
         "tx_id", *[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in scoring.FEATURE_ORDER[:13]]
@@ -390,12 +391,12 @@ cx AS (SELECT *, row_number() OVER (PARTITION BY tx_id ORDER BY points DESC, i)
 LABEL_SQL = "CASE feature " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in evidence.FEATURE_LABELS.items()) + " END"
 
 
-def explained(spark, d):
-    def build():
-        scored = L.event_scored(spark, d).filter(F.col("threat_score") >= scoring.ALERT_THRESHOLD)
-        return materialize(evidence.explain(scored), "explained")
+def explained_plan(spark, d):
+    return evidence.explain(L.event_scored(spark, d).filter(F.col("threat_score") >= scoring.ALERT_THRESHOLD))
 
-    return memo(spark, ("explained", d), build)
+
+def explained(spark, d):
+    return memo(spark, ("explained", d), lambda: materialize(explained_plan(spark, d), "explained"))
 
 
 @query("e1_local_attribution", with_(*L.ALERTS_E, TERMS_SQL, select="SELECT tx_id, feature, round(raw, 6) AS raw FROM tr WHERE raw > 0"))
@@ -406,7 +407,7 @@ def _(spark, d):
 
 @query("e2_contributions", with_(*L.ALERTS_E, TERMS_SQL, select="SELECT tx_id, feature, points FROM cx"))
 def _(spark, d):
-    return explained(spark, d).select("tx_id", F.inline("points"))
+    return explained_plan(spark, d).select("tx_id", F.inline("points"))
 
 
 @query("w3_largest_remainder", with_(*L.ALERTS_E, TERMS_SQL, select="SELECT tx_id, threat_score, CAST(sum(points) AS INT) AS total, count(*) AS n_features FROM cx GROUP BY 1, 2"))
@@ -460,13 +461,13 @@ GRAPH_EDGES = """ge AS (SELECT address AS source, tx_id AS target, 'SPENT' AS re
 
 @query("g1_build_nodes", with_(L.E, L.E_LONG, CHANGE_E, GRAPH_NODES, select="SELECT id, label, type, info FROM gn"))
 def _(spark, d):
-    nodes, _ = L.event_graph(spark, d)
+    nodes = graph.build_nodes(L.event_ledger(spark, d), None, L.event_peel(spark, d))
     return nodes.select("id", "label", "type", F.coalesce("country", "description").alias("info"))
 
 
 @query("g2_build_edges", with_(L.E, L.E_LONG, GRAPH_EDGES, select="SELECT source, target, relationship, amount_sats, us AS ts_us, src_port, dst_ip, dst_port FROM ge"))
 def _(spark, d):
-    _, edges = L.event_graph(spark, d)
+    edges = graph.build_edges(L.event_ledger(spark, d))
     return edges.select("source", "target", "relationship", "amount_sats", us("ts").alias("ts_us"), "src_port", "dst_ip", "dst_port")
 
 
@@ -483,14 +484,14 @@ pe AS (SELECT a.root, ge.* FROM ge JOIN rr a ON a.id = ge.source JOIN rr b ON b.
 HOPS = (*L.ALERTS_E, CHANGE_E, GRAPH_NODES, GRAPH_EDGES, HOPS_SQL)
 
 
-def reached(spark, d):
+def reached_plan(spark, d):
     """Two hops around the first page of alerts."""
+    nodes, edges = L.event_graph(spark, d)
+    return graph.n_hop(nodes, edges, scoring.rank_alerts(alerts(spark, d)), QUERY_HOPS)
 
-    def build():
-        nodes, edges = L.event_graph(spark, d)
-        return materialize(graph.n_hop(nodes, edges, scoring.rank_alerts(alerts(spark, d)), QUERY_HOPS), "reached")
 
-    return memo(spark, ("reached", d), build)
+def reached(spark, d):
+    return memo(spark, ("reached", d), lambda: materialize(reached_plan(spark, d), "reached"))
 
 
 def page_nodes(spark, d):
@@ -508,17 +509,18 @@ def page_edges(spark, d):
     )
 
 
-def payload(spark, d):
-    def build():
-        nodes, edges = L.event_graph(spark, d)
-        return materialize(graph.subgraph_payload(links.annotate_nodes(nodes, alerts(spark, d)), edges, reached(spark, d)), "payload")
+def payload_plan(spark, d):
+    nodes, edges = L.event_graph(spark, d)
+    return graph.subgraph_payload(links.annotate_nodes(nodes, alerts(spark, d)), edges, reached(spark, d))
+
 
-    return memo(spark, ("payload", d), build)
+def payload(spark, d):
+    return memo(spark, ("payload", d), lambda: materialize(payload_plan(spark, d), "payload"))
 
 
 @query("g18_n_hop", with_(*HOPS, select="SELECT root, id, depth FROM rr"))
 def _(spark, d):
-    return reached(spark, d)
+    return reached_plan(spark, d)
 
 
 ISO_SQL = "strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%fZ')"
@@ -545,7 +547,7 @@ ELEMENTS_SQL = (
 
 @query("g19_subgraph_payload", with_(*HOPS, ELEMENTS_SQL, select="SELECT root, element FROM pa0"))
 def _(spark, d):
-    return payload(spark, d).select("root", "element")
+    return payload_plan(spark, d).select("root", "element")
 
 
 HASH_SQL = """hl AS (SELECT root, sha256(sha256(element) || 'x' || count(*)) AS h FROM pa0 GROUP BY root, element),
@@ -583,22 +585,23 @@ im0 AS (SELECT root, src, dst FROM ew QUALIFY row_number() OVER (PARTITION BY ro
 im AS (SELECT root, src, dst FROM im0 WHERE src <> dst UNION SELECT root, dst, src FROM im0 WHERE src <> dst)"""
 
 
-def important(spark, d):
+def important_plan(spark, d):
     from coinweave.operators.models import edge_attributions
 
-    def build():
-        e = L.event_ledger(spark, d)
-        weights = edge_attributions(
-            neighbours.incidence(e.spends, e.receipts), L.event_features(spark, d), EDGE_WEIGHTS, scoring.rank_alerts(alerts(spark, d))
-        )
-        return materialize(graph.important_edges(weights), "important")
+    e = L.event_ledger(spark, d)
+    weights = edge_attributions(
+        neighbours.incidence(e.spends, e.receipts), L.event_features(spark, d), EDGE_WEIGHTS, scoring.rank_alerts(alerts(spark, d))
+    )
+    return graph.important_edges(weights)
 
-    return memo(spark, ("important", d), build)
+
+def important(spark, d):
+    return memo(spark, ("important", d), lambda: materialize(important_plan(spark, d), "important"))
 
 
 @query("g21_important_edges", with_(*HOPS, WEIGHTS_SQL, select="SELECT root, src, dst FROM im"))
 def _(spark, d):
-    return important(spark, d)
+    return important_plan(spark, d)
 
 
 EXPLAINED_SQL = """sh AS (SELECT r.root, r.source AS parent, r.target AS wallet, s.target AS child FROM pe r JOIN im ON im.root = r.root AND im.src = r.source

@@ -289,7 +289,7 @@ ERRORS_SQL = """er AS (SELECT tx_id, event_id, in_amt, pay_amt, time_step, list_
   WHERE len(list_filter(errors, lambda x: x <> 'outputs exceed inputs')) > 0 OR event_id % 107 = 6"""))
 def _(spark, d):
     """Quarantined rows and every reason except the balance rule, which has its own query."""
-    _, bad = ingest.validate(_typed(spark, d), "quarantine")
+    _, bad = ingest.validate(ingest.normalize_transactions(_raw(spark, d), "event_id"), "quarantine")
     return bad.select("tx_id", F.array_join(F.filter("errors", lambda e: e != "outputs exceed inputs"), "; ").alias("errors"))
 
 
@@ -478,9 +478,13 @@ def _(spark, d):
 # ---------------------------------------------------------------- clusters
 
 
-def labels(spark, d):
+def labels_plan(spark, d):
     nodes, edges = L.order_graph(spark, d)
-    return memo(spark, ("labels", d), lambda: materialize(components.communities(nodes, edges, L.COMMUNITY_ROUNDS), "labels"))
+    return components.communities(nodes, edges, L.COMMUNITY_ROUNDS)
+
+
+def labels(spark, d):
+    return memo(spark, ("labels", d), lambda: labels_plan(spark, d))  # already a durable table
 
 
 def clusters(spark, d):
@@ -496,7 +500,8 @@ def flagged_edges(spark, d):
 
 @query("g23_communities", with_(L.V, L.COMMUNITIES, select="SELECT txId, time_step, label, cioh_cluster_id FROM cl"))
 def _(spark, d):
-    return labels(spark, d).join(clusters(spark, d).select("txId", "cioh_cluster_id"), "txId")
+    found = labels_plan(spark, d)
+    return found.join(components.community_ids(found).select("txId", "cioh_cluster_id"), "txId")
 
 
 @query("g24_hub_clusters", with_(L.V, L.COMMUNITIES, L.HUBS, select="SELECT cioh_cluster_id, size, is_vasp_excluded_cluster FROM hb"))
@@ -506,7 +511,7 @@ def _(spark, d):
 
 @query("g25_edge_change_flag", with_(L.V, L.COMMUNITIES, L.CHANGES_V, select="SELECT source, target, amount_sats, is_change_output FROM vf"))
 def _(spark, d):
-    return flagged_edges(spark, d)
+    return training_tables.edge_change_flag(L.order_graph(spark, d)[1], clusters(spark, d))
 
 
 @query("g26_any_change_received", with_(L.V, L.COMMUNITIES, L.CHANGES_V, select="SELECT txId, CAST(coalesce(max(is_change_output), 0) AS INT) AS any_change_received FROM vn LEFT JOIN vf ON vf.target = vn.txId GROUP BY 1"))
