@@ -430,13 +430,14 @@ def _(spark, d):
     return links.drop_existing_pairs(candidates, edges)
 
 
-EGO_SQL = """eg AS (SELECT txId AS root FROM vn WHERE class = 1 AND time_step = 49),
+EGO_SQL = """eg AS (SELECT txId AS root FROM vn WHERE class = 1),
 ei AS (SELECT root, root AS txId FROM eg UNION SELECT root, target FROM eg JOIN ve ON source = root UNION SELECT root, source FROM eg JOIN ve ON target = root)"""
 
 
 def _ego(spark, d):
+    """Neighbourhoods of all illicit nodes."""
     nodes, edges = L.order_graph(spark, d)
-    return links.ego_node_ids(edges, nodes.filter("class = 1 and time_step = 49"))
+    return links.ego_node_ids(edges, nodes.filter("class = 1"))
 
 
 @query("j11_ego_node_ids", with_(L.V, EGO_SQL, select="SELECT root, txId FROM ei"))
