@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import atexit
+import shutil
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +20,29 @@ BATCH_BYTES = 2_000_000
 ID_LIMIT = (1 << 63) - 1
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once an application, so that Python tasks can import them
+    wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        folder = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, folder, True)
+        root = Path(__file__).resolve().parents[1]
+        with zipfile.ZipFile(f"{folder}/coinweave.zip", "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(f"{folder}/coinweave.zip")
+        _SHIPPED.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

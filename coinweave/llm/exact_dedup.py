@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coinweave.llm.common import mix, without_white_space
+from coinweave.llm.common import mix, ship, without_white_space
 from coinweave.session import materialize
 
 #: Digests a filter holds on average; a filter is about 1.2 bytes a digest.
@@ -112,6 +112,7 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column, digest=F.xxhash64, shard_k
     stays, of identical rows one. Null text counts as empty; an empty table gives no rows. ``origin`` says
     where the bucket lives: snapshot, both or batch. A group of any size is aggregated before the shuffle
     and joined back as the skewed side of a join that has one row per group."""
+    ship(docs.sparkSession)
     base = docs.select(
         F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"), F.coalesce(in_snapshot, F.lit(False)).alias("snap")
     ).withColumn("norm", without_white_space(F.col("t")))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coinweave.llm.common import map_arrow
+
 # The element classes of the HTML standard that matter for visible text.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = set("head script style template datalist area audio video canvas iframe object math svg noembed noframes".split())
@@ -385,6 +387,5 @@ def extract_text(pages: DataFrame) -> DataFrame:
                     schema=schema,
                 )
 
-    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(
-        run, "page_id long, text string, n_chars long, n_lines long, text_sha256 string"
+    return map_arrow(pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")), run, "page_id long, text string, n_chars long, n_lines long, text_sha256 string"
     )

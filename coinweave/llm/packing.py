@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coinweave.llm.common import slices
+from coinweave.llm.common import map_arrow, slices
 from coinweave.llm.tokens import vocabulary, word_encoder
 from coinweave.session import materialize
 
@@ -149,7 +149,7 @@ def pack(docs: DataFrame, vocabulary_path: str | None = None, window: int = WIND
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PIECES)], schema=PIECES)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, tier_index long"
-    pieces = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), "pieces")
+    pieces = materialize(map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema), "pieces")
     part = F.shiftright("sequence_id", 32).alias("part")
     counts = pieces.groupBy("window", part).agg((F.max("tier_index") + 1).alias("n"))
     before = Window.partitionBy("window").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coinweave.llm.common import slices
+from coinweave.llm.common import map_arrow, slices
 from coinweave.llm.tokens import vocabulary
 
 _ENCODINGS: dict[str, tuple] = {}
@@ -100,4 +100,4 @@ def section_tokens(docs: DataFrame, vocabulary_path: str | None = None) -> DataF
                 )
 
     schema = "doc_id long, section long, start long, end long, n_tokens long, n_crossing long, doc_tokens long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
