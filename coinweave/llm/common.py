@@ -94,7 +94,7 @@ _POWERS: dict[int, np.ndarray] = {}
 _R = 0x9E3779B97F4A7C15 | 1
 
 
-def _powers(n: int, base: int) -> np.ndarray:
+def powers(n: int, base: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
@@ -123,8 +123,8 @@ def word_hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     with np.errstate(over="ignore"):
         # Scrambled byte values keep short words apart.
         values = _BYTES[data]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers(len(data), base))])
-        own = (total[ends] - total[starts]) * _powers(len(data) + 1, inverse)[starts]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(len(data), base))])
+        own = (total[ends] - total[starts]) * powers(len(data) + 1, inverse)[starts]
         return mix(own + (ends - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
