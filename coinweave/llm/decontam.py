@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from coinweave.llm.common import map_arrow, ship
 from coinweave.session import materialize
 
-#: Words of a passage (a window of an item or of a document) and their steps.
-PASSAGE, ITEM_STEP, STEP = 32, 16, 8
+#: Words of a passage (a window of an item or of a document). Items of fewer words are met by shorter windows.
+#: Windows of an item move by half, those of a document by a quarter of their length.
+PASSAGE, SIZES = 32, (8, 16, 32)
 #: Benchmark passages of one block: a block's vocabulary and latent vectors are what is broadcast, at most
 #: BLOCK * PASSAGE terms of RANK floats. Larger benchmarks are searched block by block.
 BLOCK, RANK, EXTRA = 2048, 256, 8
@@ -30,8 +31,10 @@ _SENTENCE = re.compile(rb"[.!?\n]+\s*")
 
 
 def normal_words(text: bytes | None) -> list[bytes]:
-    """Words in lower case (A-Z) without ASCII punctuation."""
-    return text.lower().translate(_PUNCTUATION).split() if text else []
+    """Words in lower case without ASCII punctuation."""
+    if not text:
+        return []
+    return (text.lower() if text.isascii() else text.decode().lower().encode()).translate(_PUNCTUATION).split()
 
 
 def passage_starts(n: int, size: int, step: int) -> list[int]:
@@ -41,6 +44,10 @@ def passage_starts(n: int, size: int, step: int) -> list[int]:
     return [*range(0, n - size, step), n - size]
 
 
+def item_passages(words: list[bytes]) -> list[int]:
+    return passage_starts(len(words), PASSAGE, PASSAGE // 2)
+
+
 def answer_of(text: bytes) -> list[bytes]:
     """Words of the last sentence or line of an item."""
     parts = [w for s in _SENTENCE.split(text) if (w := normal_words(s))]
@@ -71,7 +78,10 @@ class Items:
     def __init__(self, texts: dict[int, bytes]):
         self.words = {k: normal_words(t) for k, t in texts.items()}
         self.answers = {k: answer_of(t) for k, t in texts.items()}
-        self.passages = [(k, s) for k, w in self.words.items() for s in passage_starts(len(w), PASSAGE, ITEM_STEP)]
+        sized = [(next((c for c in SIZES if len(w) <= c), PASSAGE), k, s) for k, w in self.words.items() for s in item_passages(w)]
+        #: Window length of each passage, in order, and the passage's item and first word.
+        self.sizes = np.array([c for c, _, _ in sorted(sized)], np.int64)
+        self.passages = [(k, s) for _, k, s in sorted(sized)]
         self.vocabulary = {w: i for i, w in enumerate(sorted(set().union(*map(set, self.words.values())) if self.words else set()))}
         self.idf = self.foreign = self.terms = self.queries = None
 
@@ -79,7 +89,7 @@ class Items:
         """(share of the item's words found in order, answer found, contaminated) where a window at ``start`` of a
         document's words looks like the item's passage at ``offset``."""
         own = self.words[item]
-        slack = STEP + 4 + len(own) // 4
+        slack = PASSAGE // 4 + 4 + len(own) // 4
         span = words[max(0, start - offset - slack) : start - offset + len(own) + slack]
         share = common_subsequence(own, span) / len(own)
         answer = self.answers[item]
@@ -96,18 +106,22 @@ class Items:
         weight = np.where(ids >= 0, self.idf[ids], self.foreign)
         mass = np.concatenate([[0.0], np.cumsum(weight * weight)])
         own = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, weight * weight, 0.0))])
-        starts = np.array(passage_starts(n, PASSAGE, STEP))
-        ends = np.minimum(starts + PASSAGE, n)
-        total, inside = mass[ends] - mass[starts], own[ends] - own[starts]
-        for w in np.flatnonzero(inside > (COSINE * COSINE / 2) * total):
-            s, e = int(starts[w]), int(ends[w])
-            known, counts = np.unique(ids[s:e][ids[s:e] >= 0], return_counts=True)
-            x = counts * self.idf[known]
-            norm = np.sqrt(x @ x + max(0.0, total[w] - inside[w]))
-            if norm > 0:
-                cosine = self.queries @ (x @ self.terms[known]) / norm
-                for p in np.flatnonzero(cosine >= COSINE):
-                    yield *self.passages[p], s, float(cosine[p])
+        for size in SIZES:
+            first, last = np.searchsorted(self.sizes, [size, size + 1])
+            if first == last:
+                continue
+            starts = np.array(passage_starts(n, size, size // 4))
+            ends = np.minimum(starts + size, n)
+            total, inside = mass[ends] - mass[starts], own[ends] - own[starts]
+            for w in np.flatnonzero(inside > (COSINE * COSINE / 2) * total):
+                s, e = int(starts[w]), int(ends[w])
+                known, counts = np.unique(ids[s:e][ids[s:e] >= 0], return_counts=True)
+                x = counts * self.idf[known]
+                norm = np.sqrt(x @ x + max(0.0, total[w] - inside[w]))
+                if norm > 0:
+                    cosine = self.queries[first:last] @ (x @ self.terms[known]) / norm
+                    for p in np.flatnonzero(cosine >= COSINE):
+                        yield *self.passages[first + p], s, float(cosine[p])
 
 
 def _vectors_of(frame: pd.DataFrame, name: str) -> np.ndarray:
@@ -231,7 +245,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, cosine, share, answer_found,
     start (word of the window). ``docs`` has doc_id and text, ``benchmark`` item_id and text, both any others.
 
-    Windows of 32 words of every whole text are compared with the benchmark's passages in a latent space: a
+    Windows of 8, 16 or 32 words (as the items have) of every whole text are compared with the benchmark's passages in a latent space: a
     randomised SVD of the passages' TF-IDF matrix, document frequencies from all of ``docs``. Candidates of
     enough cosine are checked against the item's words: the longest common subsequence with the span where
     the item would lie, and the item's last sentence as its answer. Texts or items that are null or have no
@@ -264,7 +278,7 @@ def _blocks(items: DataFrame) -> Iterator[dict[int, bytes]]:
         text = r["text"].encode()
         if not normal_words(text):
             continue
-        n = len(passage_starts(len(normal_words(text)), PASSAGE, ITEM_STEP))
+        n = len(item_passages(normal_words(text)))
         if block and size + n > BLOCK and r["item_id"] not in block:
             yield block
             block, size = {}, 0
