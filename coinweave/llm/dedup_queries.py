@@ -1,4 +1,4 @@
-"""Queries: exact dedup, substring dedup."""
+"""Queries: exact, line and substring dedup."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coinweave.llm.common import crc_mod, documents
 from coinweave.llm.exact_dedup import exact_dedup
+from coinweave.llm.line_dedup import remove_common_lines
 from coinweave.llm.substring_dedup import remove_repeats
 
 
@@ -26,10 +27,15 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line blocks of all documents that an earlier document has, deleted."""
+    return remove_common_lines(documents(spark, sf_dir), with_text=False)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words inside spans of 50 words that an earlier document has, over all documents."""
     return remove_repeats(documents(spark, sf_dir), with_text=False)
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op6_substring_dedup": op6_substring_dedup}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_line_dedup": op4_line_dedup, "op6_substring_dedup": op6_substring_dedup}
 ORACLES = {"op2_exact_dedup": EXACT_SQL.strip()}
