@@ -13,7 +13,7 @@ from coinweave.llm.substring_dedup import remove_repeats
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of all documents, by id, as the snapshot and the other half as the batch; every row is judged."""
-    return exact_dedup(documents(spark, sf_dir), crc_mod(F.col("doc_id"), 2) == 0).drop("origin")
+    return exact_dedup(documents(spark, sf_dir), crc_mod(F.col("doc_id"), 2) == 0).drop("origin", "text_hash")
 
 
 EXACT_SQL = r"""

@@ -100,7 +100,7 @@ def screen(digests: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, in_snapshot: Column, digest=F.xxhash64, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, any others): doc_id, keep_id, group_size, kept,
-    text_sha256, origin.
+    text_sha256, origin, text_hash (of the original text; with the id it names the row).
 
     Rows with ``in_snapshot`` form the immutable snapshot, the others the incoming batch. The snapshot's
     digests become binary-fuse filters; the batch's distinct digests are screened by them. Positives are
@@ -116,7 +116,7 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column, digest=F.xxhash64, shard_k
     base = docs.select(
         F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"), F.coalesce(in_snapshot, F.lit(False)).alias("snap")
     ).withColumn("norm", without_white_space(F.col("t")))
-    keyed = base.select("doc_id", "snap", "norm", digest("norm").cast("bigint").alias("h"), F.sha2("norm", 256).alias("sha"), F.char_length("t").alias("chars"))
+    keyed = base.select("doc_id", "snap", "norm", digest("norm").cast("bigint").alias("h"), F.xxhash64("t").alias("text_hash"), F.sha2("norm", 256).alias("sha"), F.char_length("t").alias("chars"))
     same = Window.partitionBy("doc_id", "sha", "chars").orderBy("snap")
     slim = materialize(keyed.drop("norm").withColumn("copy", F.row_number().over(same)), "digests")
 
@@ -144,5 +144,5 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column, digest=F.xxhash64, shard_k
     )
     return slim.join(groups, ["h", "sha"]).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == F.col("keep_copy"))).alias("kept"),
-        F.col("sha").alias("text_sha256"), "origin",
+        F.col("sha").alias("text_sha256"), "origin", "text_hash",
     )

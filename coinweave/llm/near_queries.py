@@ -11,7 +11,7 @@ from coinweave.llm.ngram_join import jaccard_components
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose shingle sets overlap by 85 percent."""
-    return jaccard_components(documents(spark, sf_dir))
+    return jaccard_components(documents(spark, sf_dir)).drop("text_hash")
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

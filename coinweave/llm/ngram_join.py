@@ -186,7 +186,8 @@ def _components(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, any others): doc_id, n_shingles, component_id.
+    """One row per row of ``docs`` (doc_id, text, any others): doc_id, n_shingles, component_id,
+    text_hash (with the id it names the row).
 
     Sets of distinct shingles of ``width`` lower-case words; two link when 100 * intersection >=
     ``percent`` * union; component_id is the smallest doc_id reachable by links. Null, empty or blank
@@ -201,7 +202,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     grow; lists whose sets are all in one component are done, so a large group of near copies costs a few
     comparisons a member and not all pairs. When few pairs across components are left, or after ROUNDS
     rounds, all of those are compared, so no link is lost."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(ID_LIMIT)).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("text").cast("string").alias("text"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(ID_LIMIT)).alias("d"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"), F.col("text").cast("string").alias("text"))
     met = materialize(map_arrow(keyed.select("text"), _statistics(width), "token long, size long, n long"), "met")
     sizes = {r["size"]: r["n"] for r in met.filter("size > 0").groupBy("size").agg(F.sum("n").alias("n")).collect()}
     boundary = choose_boundary(sizes, percent)
@@ -284,6 +285,6 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     named = classes.join(comps, "c", "left").select("c", "d", F.coalesce("comp", "c").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("d").alias("low"))
     component = named.join(smallest, "comp").select("c", "low")
-    return rows.select("d", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(component, "c", "left").select(
-        F.nullif("d", F.lit(ID_LIMIT)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("low", "d"), F.lit(ID_LIMIT)).alias("component_id")
+    return rows.select("d", "t", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(component, "c", "left").select(
+        F.nullif("d", F.lit(ID_LIMIT)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("low", "d"), F.lit(ID_LIMIT)).alias("component_id"), F.col("t").alias("text_hash")
     )
