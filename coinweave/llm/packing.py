@@ -160,5 +160,5 @@ def pack(docs: DataFrame, vocabulary_path: str | None = None, window: int = WIND
         pieces.withColumn("part", part)
         .join(offsets, ["window", "part"])
         .withColumn("step_group", F.concat_ws("-", F.col("window").cast("string"), group.cast("string")))
-        .drop("part", "tier_index")
+        .drop("part", "earlier", "tier_index")
     )
