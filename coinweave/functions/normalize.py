@@ -48,6 +48,11 @@ FIRST_STEP_EPOCH = 1_724_889_600  # 2024-08-29T00:00:00Z
 DEFAULT_PORT = 8333
 SURROGATE_SALT = "coinweave"
 
+# The amount rule for rows without amounts, in satoshis.
+INPUT_BASE, INPUT_STEP, INPUT_STEPS = 120_000_000, 2_000_000, 500
+PAYMENT_BASE, PAYMENT_STEP, PAYMENT_STEPS = 8_000_000, 50_000, 3
+FEE, SINGLE_FEE = 15_000, 10_000
+
 
 def _no_error() -> Column:
     return F.lit(None).cast("string")
@@ -112,8 +117,20 @@ def parse_list(c: Column, native: bool = False) -> Field:
     )
 
 
-def _exact(item: Column) -> Column:
-    return F.trim(item).try_cast("decimal(38,10)")
+def _whole(item: Column) -> Column:
+    """The integer a cell stands for; null where it has another fraction than zeros, or is too large."""
+    text = F.trim(item)
+    plain = F.regexp_extract(text, r"^([+-]?\d+)(?:\.0*)?$", 1)
+    # An exponent moves the point; such a number is exact as a decimal if nothing is left behind the point.
+    moved = F.when(text.rlike("[eE]"), text.try_cast("decimal(38,18)"))
+    exact = F.when(moved == F.floor(moved), moved.try_cast("decimal(38,0)"))
+    return F.when(plain != "", plain.try_cast("decimal(38,0)")).otherwise(exact).try_cast("bigint")
+
+
+def _fraction(item: Column) -> Column:
+    text = F.trim(item)
+    moved = text.try_cast("decimal(38,18)")
+    return F.when(text.rlike("[eE]"), F.coalesce(moved != F.floor(moved), F.lit(False))).otherwise(text.rlike(r"\.0*[1-9]"))
 
 
 def parse_amounts(c: Column, native: bool = False) -> Field:
@@ -126,15 +143,16 @@ def parse_amounts(c: Column, native: bool = False) -> Field:
             return F.when(F.size(bad) > 0, F.concat(F.lit(text), F.coalesce(F.get(bad, F.lit(0))["t"], F.lit("null"))))
 
         return F.coalesce(
-            first_failing(lambda x: x["d"].isNull(), "amount is not numeric: "),
-            first_failing(lambda x: x["d"] != F.floor(x["d"]), "amount is not an integer: "),
+            first_failing(lambda x: F.coalesce(F.isnan(x["d"]) | (F.abs(x["d"]) == float("inf")), F.lit(True)), "amount is not numeric: "),
+            first_failing(lambda x: x["f"], "amount is not an integer: "),
             first_failing(lambda x: x["d"] < 0, "amount is negative: "),
-            first_failing(lambda x: x["d"].try_cast("bigint").isNull(), "amount is too large: "),
+            first_failing(lambda x: x["w"].isNull(), "amount is too large: "),
         )
 
-    decimals = F.transform(items, lambda x: F.struct(x.alias("t"), _exact(x).alias("d")))
-    error = F.coalesce(list_error, let(decimals, check))
-    return Field(F.transform(items, lambda x: _exact(x).try_cast("bigint")), error)
+    read = F.transform(items, lambda x: F.struct(x.alias("t"), F.trim(x).try_cast("double").alias("d"), _fraction(x).alias("f"), _whole(x).alias("w")))
+    error = F.coalesce(list_error, let(read, check))
+    # Values of cells with an error are only for the reader of the report.
+    return Field(F.transform(items, lambda x: F.coalesce(_whole(x), F.trim(x).try_cast("decimal(38,10)").try_cast("bigint"))), error)
 
 
 def sats_to_btc(c: Column) -> Column:
@@ -142,7 +160,8 @@ def sats_to_btc(c: Column) -> Column:
 
 
 def total(amounts: Column) -> Column:
-    return F.aggregate(amounts, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    """Sum of amounts; null where it leaves 64 bits."""
+    return F.aggregate(amounts, F.lit(0).cast("bigint"), lambda acc, x: F.try_add(acc, x))
 
 
 # ---------------------------------------------------------------- network fields
@@ -258,9 +277,13 @@ def normalize_time_step(c: Column) -> Field:
 
 
 def normalize_timestamp(c: Column) -> Field:
-    """Epoch seconds or ISO-8601; a missing zone means UTC, whatever the session time zone is."""
+    """Epoch seconds or ISO-8601 (basic or extended, to the hour at least or a date); a missing zone means UTC,
+    whatever the session time zone is."""
     text = F.trim(c)
     seconds = text.try_cast("double")
+    text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})[T ](\d{2})(?:(\d{2})(\d{2})?)?", "$1-$2-$3T$4:$5:$6")
+    text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2})[T ](\d{2})(?::{1,2}(?!\d)|(?=Z|[+-]|$))", "$1T$2:00:00")
+    text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(?::(?!\d)|(?=Z|[+-]|$))", "$1T$2:00")
     from_epoch = F.timestamp_micros(F.round(seconds * 1_000_000).try_cast("bigint"))
     dated = text.rlike(r"^\d{4}-\d{2}-\d{2}")
     zoned = (
@@ -343,7 +366,7 @@ def _div(a: Column, b: Column) -> Column:
 
 def impute_inputs(amounts: Column, addresses: Column, index: Column) -> Column:
     """Missing input amounts: an index-dependent total split evenly over the addresses."""
-    whole = F.lit(120_000_000).cast("bigint") + F.pmod(index, F.lit(500)) * 2_000_000
+    whole = F.lit(INPUT_BASE).cast("bigint") + F.pmod(index, F.lit(INPUT_STEPS)) * INPUT_STEP
     n = F.size(addresses)
     share = _div(whole, F.greatest(n, F.lit(1)))
     return F.when((F.size(amounts) == 0) & (n > 0), F.array_repeat(share, n)).otherwise(amounts)
@@ -356,11 +379,11 @@ def impute_outputs(amounts: Column, addresses: Column, inputs: Column, index: Co
     one = F.lit(1).cast("bigint")
     payments = n - 1
     payment = F.least(
-        F.lit(8_000_000).cast("bigint") + F.pmod(index, F.lit(3)) * 50_000,
-        F.greatest(_div(available - 15_000, F.greatest(n, F.lit(1))), one),
+        F.lit(PAYMENT_BASE).cast("bigint") + F.pmod(index, F.lit(PAYMENT_STEPS)) * PAYMENT_STEP,
+        F.greatest(_div(available - FEE, F.greatest(n, F.lit(1))), one),
     )
-    change = F.greatest(available - payment * payments - 15_000, one)
-    single = F.array(F.greatest(available - 10_000, one))
+    change = F.greatest(available - payment * payments - FEE, one)
+    single = F.array(F.greatest(available - SINGLE_FEE, one))
     several = F.concat(F.array_repeat(payment, F.greatest(payments, F.lit(0))), F.array(change))
     filled = F.when(n == 1, single).otherwise(several)
     return F.when((F.size(amounts) == 0) & (n > 0), filled).otherwise(amounts)

@@ -120,35 +120,27 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def tx_degree(ledger: Ledger) -> DataFrame:
-    """Degree of the transaction nodes alone, straight from the sides: no edge table, no shuffle."""
+    """Degree of the transaction nodes alone, straight from the sides: no edge table, one join of the two transaction tables."""
     broadcast = F.col("src_ip").isNotNull().cast("int")
     return ledger.sides.join(ledger.tx.select("tx_id", broadcast.alias("__b")), "tx_id").select(
         "tx_id", (F.col("n_in") + F.col("n_out") - F.col("pair_overlap") + F.col("__b")).alias("degree")
     )
 
 
-def n_hop(
-    nodes: DataFrame, edges: DataFrame, roots: DataFrame, hops: int = DEFAULT_HOPS, max_degree: int | None = None
-) -> DataFrame:
+def n_hop(nodes: DataFrame, edges: DataFrame, roots: DataFrame, hops: int = DEFAULT_HOPS) -> DataFrame:
     """(root, id, depth): nodes within ``hops`` undirected steps of each root, plus exchange wallets paid
     by any reached transaction (depth ``hops + 1`` when not reached otherwise).
 
-    A frontier per root moves through the distinct links; visited pairs are removed by an anti join.
-    ``max_degree`` is opt-in: nodes with more distinct links are reached but not expanded."""
+    A frontier per root moves through the distinct links; visited pairs are removed by an anti join."""
     links = edges.select("source", "target").unionAll(edges.select(F.col("target"), F.col("source"))).distinct()
     links = materialize(links.filter("source <> target"), "links")
-    if max_degree is not None:
-        small = links.groupBy("source").agg(F.count("*").alias("n")).filter(F.col("n") <= max_degree)
-        expandable = links.join(small.select("source"), "source", "left_semi")
-    else:
-        expandable = links
     known = roots.select(F.col("tx_id").alias("root")).distinct()
     frontier = known.join(nodes.select(F.col("id").alias("root")).distinct(), "root", "left_semi").select(
         "root", F.col("root").alias("id"), F.lit(0).alias("depth")
     )
     reached = frontier = materialize(frontier, "frontier")
     for depth in range(1, hops + 1):
-        step = frontier.join(expandable, F.col("id") == F.col("source")).select("root", F.col("target").alias("id"))
+        step = frontier.join(links, F.col("id") == F.col("source")).select("root", F.col("target").alias("id"))
         fresh = step.distinct().join(reached.select("root", "id"), ["root", "id"], "left_anti")
         frontier = materialize(fresh.withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
@@ -276,7 +268,7 @@ def important_edges(weights: DataFrame) -> DataFrame:
 
 def explained_subgraph(reached_edges: DataFrame, payload_nodes: DataFrame, important: DataFrame) -> DataFrame:
     """Links through wallets shared by an important (parent, child) pair, plus the root's broadcast and
-    its system links; a root without any falls back to the minimal subgraph. ``method`` tells which."""
+    its system links; a root without an important pair has the minimal subgraph. ``method`` tells which."""
     received = reached_edges.filter("relationship = 'RECEIVED'").select(
         "root", F.col("source").alias("parent"), F.col("target").alias("wallet")
     ).distinct()
@@ -293,9 +285,9 @@ def explained_subgraph(reached_edges: DataFrame, payload_nodes: DataFrame, impor
     own = reached_edges.filter((F.col("relationship") == "BROADCAST_FROM") & (F.col("source") == F.col("root")))
     hosts = own.select("root", F.col("target").alias("source")).distinct()
     system = reached_edges.filter("relationship = 'BELONGS_TO'").join(hosts, ["root", "source"], "left_semi")
-    found = money.unionByName(own).unionByName(system).withColumn("method", F.lit("edge_weights"))
-    done = found.select("root").distinct()
-    rest = reached_edges.join(done, "root", "left_anti")
+    weighed = important.select("root").distinct()
+    found = money.unionByName(own).unionByName(system).join(weighed, "root", "left_semi").withColumn("method", F.lit("edge_weights"))
+    rest = reached_edges.join(weighed, "root", "left_anti")
     fallback = minimal_subgraph(rest.select("root", *reached_edges.columns[1:]), payload_nodes).withColumn(
         "method", F.lit("heuristic_fallback")
     )

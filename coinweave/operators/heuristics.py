@@ -26,12 +26,17 @@ def parent_time_delta(children: DataFrame) -> DataFrame:
     )
 
 
+def _bucket(width: int):
+    """Number of the time bucket; buckets of no width hold one microsecond."""
+    return F.floor(micros(F.col("ts")) / F.lit(float(max(1, width)))).cast("bigint")
+
+
 def spend_buckets(spends: DataFrame, width: int) -> DataFrame:
     """One row per (address, time bucket) that summarises the spends in it and in its two neighbours.
 
     Each spend bucket is reduced to its extremes before it is copied to the neighbouring buckets, so
     a wallet with any number of spends costs at most three rows per bucket."""
-    bucket = F.floor(micros(F.col("ts")) / F.lit(float(width))).cast("bigint")
+    bucket = _bucket(width)
     reduced = spends.groupBy("address", bucket.alias("b")).agg(
         F.min(micros(F.col("ts"))).alias("lo"),
         F.max(micros(F.col("ts"))).alias("hi"),
@@ -71,8 +76,10 @@ def rapid_context(
     )
     outputs = ledger.receipts.join(ids, "tx_id", "left_semi").select("address", "tx_id", "ts").distinct()
     now = micros(F.col("ts"))
-    outputs = outputs.withColumn("bucket", F.floor(now / F.lit(float(width))).cast("bigint"))
-    anyone = ledger.spends.groupBy("address").agg(F.min("tx_id").alias("any_lo"), F.max("tx_id").alias("any_hi"))
+    outputs = outputs.withColumn("bucket", _bucket(width))
+    # Only spends of wallets that a candidate paid matter below.
+    spends = ledger.spends.join(outputs.select("address").distinct(), "address", "left_semi")
+    anyone = spends.groupBy("address").agg(F.min("tx_id").alias("any_lo"), F.max("tx_id").alias("any_hi"))
     other = lambda lo, hi: F.coalesce((F.col(lo) != own) | (F.col(hi) != own), F.lit(False))
     near = (
         F.coalesce(now - F.col("before_hi") <= width, F.lit(False))
@@ -83,7 +90,7 @@ def rapid_context(
     downstream = (
         outputs.join(anyone, "address")
         .filter(other("any_lo", "any_hi"))
-        .join(spend_buckets(ledger.spends, width), ["address", "bucket"], "left")
+        .join(spend_buckets(spends, width), ["address", "bucket"], "left")
         .select("tx_id", F.lit(True).alias("related"), near.alias("near"))
     )
     seen = upstream.unionAll(downstream).groupBy("tx_id").agg(F.max("near").alias("near"))

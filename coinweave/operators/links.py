@@ -23,7 +23,7 @@ def prefix_table(df: DataFrame) -> DataFrame:
 
 
 def match_prefixes(ips: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Longest matching prefix per distinct ``ip``.
+    """Country and system of each distinct ``ip``, each from its longest matching prefix that has one.
 
     An address is masked to every prefix length (at most 33 candidates), which turns the range join
     into an equality join: no address meets a prefix that does not contain it."""
@@ -35,13 +35,14 @@ def match_prefixes(ips: DataFrame, prefixes: DataFrame) -> DataFrame:
     span = F.call_function("shiftleft", F.lit(1).cast("bigint"), 32 - F.col("prefix_length"))
     keyed = candidates.select("ip", "prefix_length", (F.col("value") - F.pmod("value", span)).alias("network"))
     unique = prefixes.groupBy("network", "prefix_length").agg(
-        F.max(F.struct("asn", "asn_description", "country")).alias("hit")
+        F.max(F.when(F.col("asn").isNotNull(), F.struct("asn", "asn_description"))).alias("system"), F.max("country").alias("country")
     )
+    length = lambda c: F.when(F.col(c).isNotNull(), F.col("prefix_length"))
     return (
         keyed.join(broadcast_if_small(unique), ["network", "prefix_length"])
         .groupBy("ip")
-        .agg(F.max_by("hit", "prefix_length").alias("hit"))
-        .select("ip", "hit.*")
+        .agg(F.max_by("system", length("system")).alias("system"), F.max_by("country", length("country")).alias("country"))
+        .select("ip", "system.asn", "system.asn_description", "country")
     )
 
 
@@ -138,22 +139,24 @@ def annotate_nodes(nodes: DataFrame, alerts: DataFrame) -> DataFrame:
     return kept.join(marks, "id", "left").withColumn("risk", F.coalesce(F.lower("risk_level"), F.col("risk")))
 
 
-def latest_feedback(feedback: DataFrame) -> DataFrame:
-    return feedback.groupBy("tx_id").agg(
+def latest_feedback(feedback: DataFrame, by: str = "tx_id") -> DataFrame:
+    return feedback.groupBy(by).agg(
         F.max_by("human_label", F.struct("timestamp", "human_label")).alias("human_label")
     )
 
 
 def apply_feedback(nodes: DataFrame, feedback: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(patched, unknown)``: the last label per node wins and puts the node into the training set."""
-    last = latest_feedback(feedback).select(F.col("tx_id").try_cast("bigint").alias("txId"), "tx_id", "human_label")
+    # "7" and "07" are reviews of one node, so ids are cast before they are grouped.
+    typed = feedback.withColumn("txId", F.col("tx_id").try_cast("bigint"))
+    last = latest_feedback(typed.filter("txId is not null"), "txId")
     patched = (
-        nodes.join(last.select("txId", "human_label").filter("txId is not null"), "txId", "left")
+        nodes.join(last, "txId", "left")
         .withColumn("class", F.coalesce("human_label", "class"))
         .withColumn("is_train", F.coalesce("is_train", F.lit(False)) | F.col("human_label").isNotNull())
         .drop("human_label")
     )
-    unknown = last.join(nodes.select("txId"), "txId", "left_anti").select("tx_id", "human_label")
+    unknown = latest_feedback(typed.join(nodes.select("txId").distinct(), "txId", "left_anti"))
     return patched, unknown
 
 

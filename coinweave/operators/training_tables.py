@@ -16,7 +16,6 @@ from coinweave.operators.ordering import exact_quantile, neighbour_in_order, wit
 HUB_QUANTILE = 0.995
 ROUND_SATS = 1_000_000
 MIN_REUSE_CLUSTER = 3
-MAX_CATEGORIES = 1_000
 
 
 def hub_clusters(clusters: DataFrame, q: float = HUB_QUANTILE) -> DataFrame:
@@ -73,12 +72,10 @@ def all_edges(original: DataFrame, reuse: DataFrame) -> DataFrame:
 
 
 def one_hot(df: DataFrame, column: str, prefix: str, categories: Iterable[str] | None = None) -> DataFrame:
-    """One 0/1 column per category. Categories are looked up when not given, at most ``MAX_CATEGORIES``."""
+    """One 0/1 column per category. Categories are looked up when not given; they become columns of the plan,
+    so all of them come to the driver."""
     if categories is None:
-        rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()
-        if len(rows) > MAX_CATEGORIES:
-            raise ValueError(f"{column} has more than {MAX_CATEGORIES} categories")
-        categories = sorted(r[0] for r in rows)
+        categories = sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().toLocalIterator())
     return df.withColumns(
         {f"{prefix}_{c}": F.coalesce((F.col(column) == F.lit(c)).cast("int"), F.lit(0)) for c in categories}
     ).drop(column)

@@ -48,7 +48,7 @@ def detect(
 
 
 def investigate(
-    found: dict, roots: DataFrame | None = None, hops: int = graph.DEFAULT_HOPS, max_degree: int | None = None
+    found: dict, roots: DataFrame | None = None, hops: int = graph.DEFAULT_HOPS
 ) -> dict:
     """Evidence graph, subgraphs, custody hashes, evidence rows and audit for ``roots`` (default: all alerts)."""
     led, alerts = found["ledger"], found["alerts"]
@@ -57,7 +57,7 @@ def investigate(
     entities = materialize(components.entities(led.spends, led.receipts), "entities")
     nodes = materialize(links.annotate_nodes(graph.build_nodes(led, entities, found["peel"]), alerts), "nodes")
     edges = materialize(graph.build_edges(led), "edges")
-    reached = materialize(graph.n_hop(nodes, edges, chosen, hops, max_degree), "reached")
+    reached = materialize(graph.n_hop(nodes, edges, chosen, hops), "reached")
     payload = materialize(graph.subgraph_payload(nodes, edges, reached), "payload")
     hashes = materialize(evidence.custody_hash(payload, chosen), "hashes")
     explained = evidence.explain(found["scored"].join(chosen.select("tx_id"), "tx_id", "left_semi"))
@@ -82,7 +82,7 @@ def audit(found: dict, case: dict) -> DataFrame:
 def run_pipeline(tx: DataFrame, out_dir: str, **options) -> dict:
     """Run everything and replace the stored tables ``alerts``, ``evidence``, ``payload``, ``transactions``."""
     found = detect(tx, **{k: options[k] for k in ("peel_seconds", "fan_seconds", "label_bonus") if k in options})
-    case = investigate(found, **{k: options[k] for k in ("roots", "hops", "max_degree") if k in options})
+    case = investigate(found, **{k: options[k] for k in ("roots", "hops") if k in options})
     replace_table(found["scored"], f"{out_dir}/transactions")
     replace_table(found["alerts"], f"{out_dir}/alerts")
     replace_table(case["evidence"], f"{out_dir}/evidence")

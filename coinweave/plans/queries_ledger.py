@@ -606,12 +606,13 @@ def _(spark, d):
 
 EXPLAINED_SQL = """sh AS (SELECT r.root, r.source AS parent, r.target AS wallet, s.target AS child FROM pe r JOIN im ON im.root = r.root AND im.src = r.source
     JOIN pe s ON s.root = r.root AND s.source = r.target AND s.target = im.dst WHERE r.relationship = 'RECEIVED' AND s.relationship = 'SPENT'),
-ex AS (SELECT root, source, target, relationship, 'edge_weights' AS method FROM pe WHERE (relationship = 'RECEIVED' AND (root, source, target) IN (SELECT (root, parent, wallet) FROM sh))
+ex AS (SELECT root, source, target, relationship, 'edge_weights' AS method FROM pe WHERE root IN (SELECT root FROM im) AND ((relationship = 'RECEIVED' AND (root, source, target) IN (SELECT (root, parent, wallet) FROM sh))
     OR (relationship = 'SPENT' AND (root, source, target) IN (SELECT (root, wallet, child) FROM sh)) OR (relationship = 'BROADCAST_FROM' AND source = root)
-    OR (relationship = 'BELONGS_TO' AND (root, source) IN (SELECT (root, target) FROM pe WHERE relationship = 'BROADCAST_FROM' AND source = root)))"""
+    OR (relationship = 'BELONGS_TO' AND (root, source) IN (SELECT (root, target) FROM pe WHERE relationship = 'BROADCAST_FROM' AND source = root)))
+  UNION ALL SELECT root, source, target, relationship, 'heuristic_fallback' FROM mn WHERE root NOT IN (SELECT root FROM im))"""
 
 
-@query("g22_explained_subgraph", with_(*HOPS, WEIGHTS_SQL, EXPLAINED_SQL, select="SELECT root, source, target, relationship, method FROM ex"))
+@query("g22_explained_subgraph", with_(*HOPS, WEIGHTS_SQL, MINIMAL_SQL, EXPLAINED_SQL, select="SELECT root, source, target, relationship, method FROM ex"))
 def _(spark, d):
     return graph.explained_subgraph(page_edges(spark, d), page_nodes(spark, d), important(spark, d)).select("root", "source", "target", "relationship", "method")
 

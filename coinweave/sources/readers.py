@@ -15,9 +15,12 @@ class MalformedInput(ValueError):
     """Raised for files that cannot be a transaction dataset and, in fail-fast mode, for bad rows."""
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV; all columns stay text so that large integers reach the exact parsers untouched."""
-    return spark.read.csv(path, header=True, inferSchema=False, escape='"', mode="FAILFAST")
+def read_csv(spark: SparkSession, path: str, quoted_newlines: bool = True) -> DataFrame:
+    """Header CSV; all columns stay text so that large integers reach the exact parsers untouched.
+
+    Cells may hold line breaks, for which every file is read by one task; large files without such cells
+    are read in parts with ``quoted_newlines=False``."""
+    return spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=quoted_newlines, mode="FAILFAST")
 
 
 def _exact_numbers(df: DataFrame) -> DataFrame:
