@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ PASSAGE, SIZES = 32, (8, 16, 32)
 BLOCK, RANK, EXTRA = 2048, 256, 8
 #: Cosine that makes a candidate; shares of an item's words in a document's span, in order, that decide alone
 #: or together with the item's last sentence.
-COSINE, SURE, LIKELY, ANSWER = 0.3, 0.8, 0.6, 0.9
+COSINE, SURE, LIKELY, ANSWER = 0.4, 0.8, 0.6, 0.9
 #: Items of fewer words count only where they occur word by word.
 SHORT = 8
 _PUNCTUATION = bytes(32 if 33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126 else c for c in range(256))
@@ -83,7 +84,19 @@ class Items:
         self.sizes = np.array([c for c, _, _ in sorted(sized)], np.int64)
         self.passages = [(k, s) for _, k, s in sorted(sized)]
         self.vocabulary = {w: i for i, w in enumerate(sorted(set().union(*map(set, self.words.values())) if self.words else set()))}
-        self.idf = self.foreign = self.terms = self.queries = None
+        #: For each window length the terms of its passages; the last place stands for all other words.
+        self.own = {}
+        for size in SIZES:
+            ids = [self.vocabulary[w] for c, (k, s) in zip(self.sizes, self.passages) if c == size for w in self.words[k][s : s + PASSAGE]]
+            if ids:
+                self.own[size] = np.zeros(len(self.vocabulary) + 1, bool)
+                self.own[size][ids] = True
+
+    def weigh(self, idf: np.ndarray, foreign: float, terms: np.ndarray, queries: np.ndarray) -> None:
+        """Set the terms' weights, the weight of words of no item, and the latent vectors of terms and passages."""
+        self.idf, self.squares = idf, np.append(idf * idf, foreign * foreign)
+        self.vectors = np.vstack([terms * idf[:, None], np.zeros((1, terms.shape[1]))]).astype(np.float32)
+        self.queries = queries.astype(np.float32)
 
     def verdict(self, item: int, offset: int, start: int, words: list[bytes]) -> tuple[float, bool, bool]:
         """(share of the item's words found in order, answer found, contaminated) where a window at ``start`` of a
@@ -91,6 +104,9 @@ class Items:
         own = self.words[item]
         slack = PASSAGE // 4 + 4 + len(own) // 4
         span = words[max(0, start - offset - slack) : start - offset + len(own) + slack]
+        inside = set(span)
+        if sum(w in inside for w in own) < LIKELY * len(own):
+            return 0.0, False, False
         share = common_subsequence(own, span) / len(own)
         answer = self.answers[item]
         answered = bool(answer) and common_subsequence(answer, span) >= ANSWER * len(answer)
@@ -100,28 +116,28 @@ class Items:
 
     def candidates(self, words: list[bytes]) -> Iterator[tuple[int, int, int, float]]:
         """(item, passage offset, window start, cosine) of windows near a passage. The norm of a window counts
-        all its words; windows whose benchmark words weigh too little to reach the cosine are passed over."""
+        all its words. A window in which the terms of its length's passages weigh too little to reach the
+        cosine is passed over: no projection of it is longer than they are."""
         n = len(words)
-        ids = np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int64, n)
-        weight = np.where(ids >= 0, self.idf[ids], self.foreign)
-        mass = np.concatenate([[0.0], np.cumsum(weight * weight)])
-        own = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, weight * weight, 0.0))])
-        for size in SIZES:
+        ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, n)
+        squares = self.squares[ids]
+        mass = np.concatenate([[0.0], np.cumsum(squares)])
+        for size, own in self.own.items():
             first, last = np.searchsorted(self.sizes, [size, size + 1])
-            if first == last:
-                continue
-            starts = np.array(passage_starts(n, size, size // 4))
+            inside = np.concatenate([[0.0], np.cumsum(squares * own[ids])])
+            starts = np.append(np.arange(0, max(0, n - size), size // 4), max(0, n - size))
             ends = np.minimum(starts + size, n)
-            total, inside = mass[ends] - mass[starts], own[ends] - own[starts]
-            for w in np.flatnonzero(inside > (COSINE * COSINE / 2) * total):
-                s, e = int(starts[w]), int(ends[w])
-                known, counts = np.unique(ids[s:e][ids[s:e] >= 0], return_counts=True)
-                x = counts * self.idf[known]
-                norm = np.sqrt(x @ x + max(0.0, total[w] - inside[w]))
-                if norm > 0:
-                    cosine = self.queries[first:last] @ (x @ self.terms[known]) / norm
-                    for p in np.flatnonzero(cosine >= COSINE):
-                        yield *self.passages[first + p], s, float(cosine[p])
+            total = mass[ends] - mass[starts]
+            near = np.flatnonzero(inside[ends] - inside[starts] >= COSINE * COSINE * total)
+            for at in range(0, len(near), 128):
+                w = near[at : at + 128]
+                places = np.minimum(starts[w][:, None] + np.arange(size), n)
+                latent = self.vectors[np.append(ids, -1)[places]].sum(axis=1)
+                # Repeated words: the norm is at least that of the projection.
+                norm = np.sqrt(np.maximum(total[w], (latent * latent).sum(axis=1)))
+                cosine = latent @ self.queries[first:last].T / np.maximum(norm, 1e-9)[:, None]
+                for row, p in zip(*np.nonzero(cosine >= COSINE)):
+                    yield *self.passages[first + p], int(starts[w[row]]), min(1.0, float(cosine[row, p]))
 
 
 def _vectors_of(frame: pd.DataFrame, name: str) -> np.ndarray:
@@ -225,19 +241,18 @@ def _prepare(docs: DataFrame, texts: dict[int, bytes]) -> Items:
     """The block's weights, from all documents, and latent vectors."""
     spark, items = docs.sparkSession, Items(texts)
     seen, rows = document_frequencies(docs, items.vocabulary)
-    items.idf, items.foreign = np.log((rows + 2) / (seen + 1)), float(np.log(rows + 2))
+    idf, foreign = np.log((rows + 2) / (seen + 1)), float(np.log(rows + 2))
     words, grams = items.words, []
     for p, (k, s) in enumerate(items.passages):
         counts = Counter(items.vocabulary[w] for w in words[k][s : s + PASSAGE])
-        a = np.array(list(counts.values())) * items.idf[list(counts)]
+        a = np.array(list(counts.values())) * idf[list(counts)]
         grams.append(pd.DataFrame({"p": p, "t": list(counts), "a": a / max(np.sqrt(a @ a), 1e-9)}))
     table = pd.concat(grams)
     entries = materialize(spark.createDataFrame(table, "p long, t long, a double").repartition(max(1, len(grams) // 256), "p"), "entries")
-    items.terms = latent_terms(entries, len(items.vocabulary), len(grams))
-    items.queries = np.zeros((len(grams), items.terms.shape[1]), np.float32)
-    np.add.at(items.queries, table["p"].to_numpy(), items.terms[table["t"].to_numpy()] * table["a"].to_numpy(np.float32)[:, None])
-    size = np.linalg.norm(items.queries, axis=1, keepdims=True)
-    items.queries /= np.maximum(size, 1e-9)
+    terms = latent_terms(entries, len(items.vocabulary), len(grams))
+    queries = np.zeros((len(grams), terms.shape[1]))
+    np.add.at(queries, table["p"].to_numpy(), terms[table["t"].to_numpy()] * table["a"].to_numpy()[:, None])
+    items.weigh(idf, foreign, terms, queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9))
     return items
 
 

@@ -227,7 +227,7 @@ def test_latent_search_recall_against_brute_force(spark):
             full[p, items.vocabulary[w]] += items.idf[items.vocabulary[w]]
     full /= np.linalg.norm(full, axis=1, keepdims=True)
     exact = Items(texts_of)
-    exact.idf, exact.foreign, exact.terms, exact.queries = items.idf, items.foreign, np.eye(len(items.vocabulary)), full
+    exact.weigh(items.idf, math.sqrt(items.squares[-1]), np.eye(len(items.vocabulary)), full)
     hits = total = 0
     for _, x in docs:
         ws = (x or "").lower().replace(".", " ").encode().split()
