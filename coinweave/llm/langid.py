@@ -18,8 +18,8 @@ ORDER = 5
 #: Labelled rows to learn from and to calibrate on, for each language: those with the smallest hashes of the id.
 TRAIN_DOCS = 1500
 #: A text goes as rejected where its cross-entropy exceeds this quantile of the calibration rows of its language
-#: times the slack. Both lean towards keeping.
-KEEP_QUANTILE, SLACK = 0.999, 1.5
+#: times the slack, and by the room in any case (decimal digits a symbol). All lean towards keeping.
+KEEP_QUANTILE, SLACK, ROOM = 0.999, 1.5, 0.5
 #: Characters of evidence at which the score saturates.
 EVIDENCE = 40
 REMEMBERED = 300_000
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, may_learn: Column, limit: int = TRAIN_DOCS) -> Model:
     if languages:
         held = predict(rows.filter("calibrate"), model, "lang")
         limits = held.filter("lang_pred = lang").groupBy("lang").agg(F.percentile("entropy", F.lit(KEEP_QUANTILE)).alias("q")).collect()
-        limit_of = {r["lang"]: SLACK * r["q"] for r in limits}
+        limit_of = {r["lang"]: max(SLACK * r["q"], r["q"] + ROOM) for r in limits}
         model.limits = [limit_of.get(name, float("inf")) for name in languages]
     return model
 
