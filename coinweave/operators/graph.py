@@ -227,6 +227,22 @@ def subgraph_payload(nodes: DataFrame, edges: DataFrame, reached: DataFrame) ->
     return node_rows.unionAll(edge_rows)
 
 
+def case_edges(edges: DataFrame, roots: DataFrame, important: DataFrame | None = None) -> DataFrame:
+    """(root, source, ...): links of each root's transaction and of its important partners, and the system links
+    of the root's hosts. All that the minimal and the explained subgraph can hold, without a ball around the
+    root: each root meets the links of at most nine transactions, in one join by transaction."""
+    members = roots.select(F.col("tx_id").alias("root")).distinct().select("root", F.col("root").alias("tx"))
+    if important is not None:
+        other = F.when(F.col("src") == F.col("root"), F.col("dst")).otherwise(F.col("src"))
+        members = members.unionAll(important.select("root", other)).distinct()
+    paid = edges.filter("relationship IN ('RECEIVED', 'BROADCAST_FROM')").join(members.withColumnRenamed("tx", "source"), "source")
+    spent = edges.filter("relationship = 'SPENT'").join(members.withColumnRenamed("tx", "target"), "target")
+    hosts = paid.filter("relationship = 'BROADCAST_FROM' AND source = root").select("root", F.col("target").alias("source")).distinct()
+    system = edges.filter("relationship = 'BELONGS_TO'").join(hosts, "source")
+    columns = ["root", *edges.columns]
+    return paid.select(columns).unionAll(spent.select(columns)).unionAll(system.select(columns))
+
+
 def minimal_subgraph(reached_edges: DataFrame, payload_nodes: DataFrame) -> DataFrame:
     """(root, source, target, ...): links that touch the root's transaction and the system links of the
     hosts it was broadcast from.

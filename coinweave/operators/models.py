@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coinweave.operators import metrics, scoring
+from coinweave.operators.graph import MAX_IMPORTANT
 from coinweave.operators.links import apply_feedback
 from coinweave.operators.neighbours import gcn_propagate, neighbour_sums
 from coinweave.session import materialize
@@ -150,14 +151,13 @@ def surrogate_attributions(scored: DataFrame, columns: list[str] = scoring.FEATU
 
 def edge_attributions(
     incidence: DataFrame, features: DataFrame, weights: dict[str, float], roots: DataFrame, heavy_degree: int = 64,
-    top: int = 9,
 ) -> DataFrame:
     """(root, src, dst, weight, n_edges): the leading edges into each root under one propagation step.
 
     A linear model over one step splits exactly into |dot(w, x_j)| / sqrt(d_i d_j) per edge j -> i. For a
-    fixed root the order of its neighbours depends on j alone, so every wallet first keeps its ``top``
-    strongest transactions (nine always contain the eight best neighbours, the root itself being one of
-    them) and only those meet the root: no wallet contributes more than nine rows to a root."""
+    fixed root the order of its neighbours depends on j alone, so every wallet first keeps its
+    strongest transactions (one more than MAX_IMPORTANT always contain that many best neighbours, the root
+    itself being one of them) and only those meet the root: no wallet contributes more than nine rows to a root."""
     degree = neighbour_sums(incidence, features, [], heavy_degree).select(
         "tx_id", (F.col("n_neighbours") + 1).cast("double").alias("d")
     )
@@ -172,7 +172,7 @@ def edge_attributions(
     leaders = (
         incidence.join(strength, "tx_id")
         .withColumn("__r", F.row_number().over(order))
-        .filter(F.col("__r") <= top)
+        .filter(F.col("__r") <= MAX_IMPORTANT + 1)
         .select("address", F.col("tx_id").alias("src"), "s")
     )
     root = roots.select("tx_id").distinct().join(strength.select("tx_id", F.col("d").alias("rd"), F.col("s").alias("rs")), "tx_id")

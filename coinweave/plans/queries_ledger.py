@@ -570,9 +570,24 @@ MINIMAL_SQL = """mn AS (SELECT root, source, target, relationship FROM pe WHERE
   OR (relationship = 'BELONGS_TO' AND (root, source) IN (SELECT (root, target) FROM pe WHERE relationship = 'BROADCAST_FROM' AND source = root)))"""
 
 
-@query("g20_minimal_subgraph", with_(*HOPS, MINIMAL_SQL, select="SELECT root, source, target, relationship FROM mn"))
+# Subgraphs that need no ball are answered for all alerts.
+ALL_ROOTS = (*L.ALERTS_E, CHANGE_E, GRAPH_NODES, GRAPH_EDGES, "pg AS (SELECT tx_id AS root FROM al)")
+CASE_SQL = """hs AS (SELECT DISTINCT root, target AS host FROM pg JOIN ge ON ge.source = pg.root AND relationship = 'BROADCAST_FROM'),
+pe AS (SELECT ct.root, ge.* FROM ct JOIN ge ON ge.source = ct.tx WHERE relationship IN ('RECEIVED', 'BROADCAST_FROM')
+  UNION ALL SELECT ct.root, ge.* FROM ct JOIN ge ON ge.target = ct.tx WHERE relationship = 'SPENT'
+  UNION ALL SELECT hs.root, ge.* FROM hs JOIN ge ON ge.source = hs.host WHERE relationship = 'BELONGS_TO')"""
+OWN_SQL = "ct AS (SELECT root, root AS tx FROM pg)"
+PARTNERS_SQL = "ct AS (SELECT root, root AS tx FROM pg UNION SELECT root, CASE WHEN src = root THEN dst ELSE src END FROM im)"
+
+
+def root_nodes(spark, d):
+    return alerts(spark, d).select(F.col("tx_id").alias("root"), F.col("tx_id").alias("id"), F.lit("Transaction").alias("label"))
+
+
+@query("g20_minimal_subgraph", with_(*ALL_ROOTS, OWN_SQL, CASE_SQL, MINIMAL_SQL, select="SELECT root, source, target, relationship FROM mn"))
 def _(spark, d):
-    return graph.minimal_subgraph(page_edges(spark, d), page_nodes(spark, d)).select("root", "source", "target", "relationship")
+    found = graph.case_edges(L.event_graph(spark, d)[1], alerts(spark, d))
+    return graph.minimal_subgraph(found, root_nodes(spark, d)).select("root", "source", "target", "relationship")
 
 
 # Rule weights play the linear model: one weight per feature that both engines know.
@@ -590,7 +605,7 @@ def important_plan(spark, d):
 
     e = L.event_ledger(spark, d)
     weights = edge_attributions(
-        neighbours.incidence(e.spends, e.receipts), L.event_features(spark, d), EDGE_WEIGHTS, scoring.rank_alerts(alerts(spark, d))
+        neighbours.incidence(e.spends, e.receipts), L.event_features(spark, d), EDGE_WEIGHTS, alerts(spark, d)
     )
     return graph.important_edges(weights)
 
@@ -599,7 +614,7 @@ def important(spark, d):
     return memo(spark, ("important", d), lambda: materialize(important_plan(spark, d), "important"))
 
 
-@query("g21_important_edges", with_(*HOPS, WEIGHTS_SQL, select="SELECT root, src, dst FROM im"))
+@query("g21_important_edges", with_(*ALL_ROOTS, WEIGHTS_SQL, select="SELECT root, src, dst FROM im"))
 def _(spark, d):
     return important_plan(spark, d)
 
@@ -612,9 +627,10 @@ ex AS (SELECT root, source, target, relationship, 'edge_weights' AS method FROM
   UNION ALL SELECT root, source, target, relationship, 'heuristic_fallback' FROM mn WHERE root NOT IN (SELECT root FROM im))"""
 
 
-@query("g22_explained_subgraph", with_(*HOPS, WEIGHTS_SQL, MINIMAL_SQL, EXPLAINED_SQL, select="SELECT root, source, target, relationship, method FROM ex"))
+@query("g22_explained_subgraph", with_(*ALL_ROOTS, WEIGHTS_SQL, PARTNERS_SQL, CASE_SQL, MINIMAL_SQL, EXPLAINED_SQL, select="SELECT root, source, target, relationship, method FROM ex"))
 def _(spark, d):
-    return graph.explained_subgraph(page_edges(spark, d), page_nodes(spark, d), important(spark, d)).select("root", "source", "target", "relationship", "method")
+    found = graph.case_edges(L.event_graph(spark, d)[1], alerts(spark, d), important(spark, d))
+    return graph.explained_subgraph(found, root_nodes(spark, d), important(spark, d)).select("root", "source", "target", "relationship", "method")
 
 
 INSIGHTS_SQL = """tg AS (SELECT pe.*, pn.type AS t_type FROM pe JOIN pn ON pn.root = pe.root AND pn.id = pe.target WHERE relationship = 'RECEIVED'),

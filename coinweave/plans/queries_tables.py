@@ -753,15 +753,14 @@ def _(spark, d):
     return raw.select("tx_id", F.inline("raw")).withColumn("raw", F.round("raw", 6))
 
 
-@query("m9_edge_attributions", with_(*Q.HOPS, Q.WEIGHTS_SQL, select="SELECT root, src, dst, round(weight, 9) AS weight FROM ew QUALIFY row_number() OVER (PARTITION BY root ORDER BY weight DESC, src) <= 8"))
+@query("m9_edge_attributions", with_(*Q.ALL_ROOTS, Q.WEIGHTS_SQL, select="SELECT root, src, dst, round(weight, 9) AS weight FROM ew QUALIFY row_number() OVER (PARTITION BY root ORDER BY weight DESC, src) <= 8"))
 def _(spark, d):
-    """The eight strongest edges into each alert of the first page."""
-    from coinweave.operators import scoring
+    """The eight strongest edges into each alert."""
     from coinweave.operators.graph import head_per_root
     from coinweave.operators.neighbours import incidence
 
     e = L.event_ledger(spark, d)
-    w = models.edge_attributions(incidence(e.spends, e.receipts), L.event_features(spark, d), Q.EDGE_WEIGHTS, scoring.rank_alerts(Q.alerts(spark, d)))
+    w = models.edge_attributions(incidence(e.spends, e.receipts), L.event_features(spark, d), Q.EDGE_WEIGHTS, Q.alerts(spark, d))
     return head_per_root(w, [F.desc("weight"), F.col("src")], 8).select("root", "src", "dst", F.round("weight", 9).alias("weight"))
 
 

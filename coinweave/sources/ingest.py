@@ -104,11 +104,15 @@ def normalize_transactions(raw: DataFrame, index: str | None = None) -> DataFram
     paid = F.when(
         N.total(F.col("input_amounts")) < N.total(F.col("output_amounts")), F.lit("outputs exceed inputs")
     )
-    large = [F.when(N.total(F.col(f"{s}_amounts")).isNull(), F.lit(f"{s} amounts are too large together")) for s in ("input", "output")]
+    def overflow(side: str) -> Column:
+        amounts = F.col(f"{side}_amounts")
+        readable = F.forall(amounts, lambda x: x.isNotNull())
+        return F.when(readable & N.total(amounts).isNull(), F.lit(f"{side} amounts are too large together"))
+
     structural = F.array(
         F.when(F.size("input_addresses") == 0, F.lit("no input addresses")),
         F.when(F.size("output_addresses") == 0, F.lit("no output addresses")),
-        mismatch("input"), mismatch("output"), *large, F.when(has_sides, paid),
+        mismatch("input"), mismatch("output"), overflow("input"), overflow("output"), F.when(has_sides, paid),
     )
     # Errors of the addresses follow from the parsed columns, so the parser appears once per column.
     addresses = F.array(*[N.ip_error(F.col(f"raw_{f}"), F.col(f), f) for f in ips])
