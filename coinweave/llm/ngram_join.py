@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from coinweave.llm.common import ID_LIMIT, map_arrow, mix, power_threshold, word_hashes
 from coinweave.llm.substring_dedup import kmer_hashes, words_of
 from coinweave.operators.components import connected_components
-from coinweave.session import materialize
+from coinweave.session import broadcast_if_small, materialize
 
 WIDTH = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -29,6 +29,8 @@ LIST_COST = 5
 MOST_ENUMERATED = 24
 #: Rounds that compare each list with one of its sets; they end early when few pairs are left.
 ROUNDS = 6
+#: After so many rounds all pairs across components are compared if they are at most so many for each list row.
+LEAST_ROUNDS, PAIRS_PER_ROW = 2, 8
 BITS = 512
 
 
@@ -57,6 +59,22 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def parity_map(tokens: np.ndarray, size: int) -> bytes:
+    """Parities of the numbers of tokens by their low bits. Where two sets' maps differ, some token is in one of
+    them only, so maps differ in no more places than sets in elements."""
+    return np.packbits((np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Places in which two maps differ; the longer one is folded to the length of the shorter."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def choose_boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     """Largest size whose sets are enumerated, by the least number of rows weighed by their cost."""
 
@@ -108,15 +126,15 @@ def _signatures(width: int, percent: int, boundary: int, hot):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = hot.value
-        names = ["d", "t", "n", "c", "c2", "subsets", "prefix", *[f"b{i}" for i in range(BITS // 64)]]
+        names = ["d", "t", "n", "c", "c2", "subsets", "prefix", "map", *[f"b{i}" for i in range(BITS // 64)]]
         keys_type = pa.list_(pa.struct([("s", pa.int64()), ("h", pa.int64())]))
         out: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            d, t, n, c, c2, subsets, prefix, bits = zip(*out)
+            d, t, n, c, c2, subsets, prefix, wide, bits = zip(*out)
             bits = np.stack(bits)
             return pa.RecordBatch.from_arrays(
-                [*[pa.array(x, pa.int64()) for x in (d, t, n, c, c2)], pa.array(subsets, keys_type), pa.array(prefix, pa.list_(pa.int64())),
+                [*[pa.array(x, pa.int64()) for x in (d, t, n, c, c2)], pa.array(subsets, keys_type), pa.array(prefix, pa.list_(pa.int64())), pa.array(wide, pa.binary()),
                  *[pa.array(bits[:, i]) for i in range(BITS // 64)]],
                 names=names,
             )
@@ -138,9 +156,9 @@ def _signatures(width: int, percent: int, boundary: int, hot):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     s = s[np.argsort(np.where(tokens[at] == s, counts[at], 0), kind="stable")]
                 prefix = s[: prefix_length(n, percent)].view(np.int64)
-            parity = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-            bits = np.packbits(parity.astype(np.uint8)).view(np.int64)
-            out.append((row["d"], row["t"], n, c.astype(np.int64), c2.astype(np.int64), subsets, prefix, bits))
+            bits = np.frombuffer(parity_map(s, BITS), np.int64)
+            wide = parity_map(s, max(BITS, 1 << n.bit_length())) if len(prefix) else b""
+            out.append((row["d"], row["t"], n, c.astype(np.int64), c2.astype(np.int64), subsets, prefix, wide, bits))
             if len(out) >= 2000:
                 yield batch()
                 out = []
@@ -171,6 +189,19 @@ def _compare(percent: int):
     return run
 
 
+def _near(percent: int):
+    """Task: the pairs whose maps, as long as the sets are large, do not rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n, m in zip(batch.column("x"), batch.column("y"), batch.column("n").to_pylist(), batch.column("m").to_pylist()):
+                keep.append(apart(x.as_py(), y.as_py()) <= n + m - 2 * least_overlap(n + m, percent))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _may_link(percent: int, a: str, b: str) -> Column:
     """Bounds that all linked sets meet: on sizes, and on the distance of their parity bits, which never
     exceeds the number of elements that only one of the sets has."""
@@ -213,7 +244,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     shared = docs.sparkSession.sparkContext.broadcast((tokens[by], number[by]))
 
     bits = [f"b{i}" for i in range(BITS // 64)]
-    schema = "d long, t long, n long, c long, c2 long, subsets array<struct<s: long, h: long>>, prefix array<long>, " + ", ".join(f"{b} long" for b in bits)
+    schema = "d long, t long, n long, c long, c2 long, subsets array<struct<s: long, h: long>>, prefix array<long>, map binary, " + ", ".join(f"{b} long" for b in bits)
     rows = materialize(map_arrow(keyed, _signatures(width, percent, boundary, shared), schema), "rows")
     first = rows.filter("n > 0").groupBy("c").agg(F.min(F.struct("d", "t")).alias("w"), F.max("n").alias("n"))
     classes = materialize(first.select("c", "n", F.col("w.d").alias("d"), F.col("w.t").alias("t")), "classes")
@@ -230,19 +261,29 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         "links",
     )
 
-    entries = bearers.select("c", "n", F.explode("prefix").alias("token"))
+    entries = bearers.select("c", F.explode("prefix").alias("token"))
     several = entries.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
     lists = materialize(entries.join(several, "token"), "lists")
-    listed = lists.select("c").distinct()
-    marks = materialize(bearers.select("c", "n", "d", "t", *bits).join(listed, "c", "left_semi"), "marks")
-    texts = keyed.join(marks.select("c", "d", "t"), ["d", "t"]).dropDuplicates(["c"]).select("c", "text")
-    sets = materialize(map_arrow(texts, _sets(width), "c long, members binary"), "sets")
+    marks = materialize(bearers.filter(F.size("prefix") > 0).select("c", "n", "d", "t", "map", *bits), "marks")
     mark = F.struct("n", *bits)
+    sets = None
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (u, v) that link."""
-        with_sets = pairs.join(sets.select(F.col("c").alias("u"), F.col("members").alias("x")), "u").join(
-            sets.select(F.col("c").alias("v"), F.col("members").alias("y")), "v"
+        """Those of the pairs (u, v) that link. Maps of the sets' own size rule out most others first; members of
+        sets that were not needed before are read anew from their texts."""
+        nonlocal sets
+        maps = pairs.join(marks.select(F.col("c").alias("u"), "n", F.col("map").alias("x")), "u").join(
+            marks.select(F.col("c").alias("v"), F.col("n").alias("m"), F.col("map").alias("y")), "v"
+        )
+        pairs = materialize(map_arrow(maps.select("u", "v", "n", "m", "x", "y"), _near(percent), "u long, v long"), "near")
+        needed = pairs.select(F.col("u").alias("c")).unionAll(pairs.select("v")).distinct()
+        new = needed if sets is None else needed.join(sets.select("c"), "c", "left_anti")
+        where = broadcast_if_small(materialize(marks.select("c", "d", "t").join(new, "c"), "needed"))
+        fresh = materialize(map_arrow(keyed.join(where, ["d", "t"]).select("c", "text"), _sets(width), "c long, members binary"), "sets")
+        sets = fresh if sets is None else sets.unionAll(fresh)
+        used = sets.join(broadcast_if_small(needed), "c", "left_semi").dropDuplicates(["c"])
+        with_sets = pairs.join(used.select(F.col("c").alias("u"), F.col("members").alias("x")), "u").join(
+            used.select(F.col("c").alias("v"), F.col("members").alias("y")), "v"
         )
         return materialize(map_arrow(with_sets.select("u", "v", "x", "y"), _compare(percent), "u long, v long"), "links")
 
@@ -259,7 +300,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         left = spread.groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("inside")).agg(
             F.sum((F.col("all") * F.col("all") - F.col("inside")) / 2).alias("pairs"), F.sum("all").alias("rows")
         ).head()
-        if not left["rows"] or left["pairs"] <= 2 * left["rows"]:
+        if not left["rows"] or (turn >= LEAST_ROUNDS and left["pairs"] <= PAIRS_PER_ROW * left["rows"]):
             break
         pairs = open_lists.join(lead, "token").filter("comp <> ucomp").groupBy("u", F.col("c").alias("v")).agg(F.count("*").alias("common"))
         if done is not None:

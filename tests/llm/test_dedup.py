@@ -147,3 +147,13 @@ def test_subset_sizes_cover_every_linked_pair():
 @pytest.mark.parametrize("run", [lambda d: exact_dedup(d, F.col("doc_id") > 3), remove_common_lines, remove_repeats, jaccard_components])
 def test_empty_table(spark, run):
     assert run(frame(spark, [])).count() == 0
+
+
+def test_parity_maps_never_exceed_the_distance():
+    from coinweave.llm.ngram_join import apart, parity_map
+
+    rng = np.random.default_rng(2)
+    for n, m, size, other in ((50, 60, 512, 512), (900, 800, 1024, 512), (5, 5000, 512, 8192)):
+        x, y = (np.unique(rng.integers(0, 6000, k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in (n, m))
+        assert apart(parity_map(x, size), parity_map(y, other)) <= len(np.setxor1d(x, y))
+        assert apart(parity_map(x, size), parity_map(x, size)) == 0
