@@ -20,7 +20,8 @@ from coinweave.session import materialize
 #: Windows of an item move by half, those of a document by a quarter of their length.
 PASSAGE, SIZES = 32, (8, 16, 32)
 #: Benchmark passages of one block: a block's vocabulary and latent vectors are what is broadcast, at most
-#: BLOCK * PASSAGE terms of RANK floats. Larger benchmarks are searched block by block.
+#: BLOCK * PASSAGE terms of RANK floats. Larger benchmarks are searched block by block. Inside a block each RANK
+#: passages have a latent space of their own, so that it holds all of every passage.
 BLOCK, RANK, EXTRA = 2048, 256, 8
 #: Cosine that makes a candidate; shares of an item's words in a document's span, in order, that decide alone
 #: or together with the item's last sentence.
@@ -84,19 +85,34 @@ class Items:
         self.sizes = np.array([c for c, _, _ in sorted(sized)], np.int64)
         self.passages = [(k, s) for _, k, s in sorted(sized)]
         self.vocabulary = {w: i for i, w in enumerate(sorted(set().union(*map(set, self.words.values())) if self.words else set()))}
-        #: For each window length the terms of its passages; the last place stands for all other words.
-        self.own = {}
-        for size in SIZES:
-            ids = [self.vocabulary[w] for c, (k, s) in zip(self.sizes, self.passages) if c == size for w in self.words[k][s : s + PASSAGE]]
-            if ids:
-                self.own[size] = np.zeros(len(self.vocabulary) + 1, bool)
-                self.own[size][ids] = True
+        self.spaces = []
+
+    def terms_of(self, passage: int) -> list[int]:
+        k, s = self.passages[passage]
+        return [self.vocabulary[w] for w in self.words[k][s : s + PASSAGE]]
 
-    def weigh(self, idf: np.ndarray, foreign: float, terms: np.ndarray, queries: np.ndarray) -> None:
-        """Set the terms' weights, the weight of words of no item, and the latent vectors of terms and passages."""
+    def weigh(self, idf: np.ndarray, foreign: float, terms: np.ndarray | None = None, queries: np.ndarray | None = None) -> None:
+        """Set the terms' weights and the weight of words of no item; with latent vectors of terms and passages,
+        one space for all passages."""
         self.idf, self.squares = idf, np.append(idf * idf, foreign * foreign)
-        self.vectors = np.vstack([terms * idf[:, None], np.zeros((1, terms.shape[1]))]).astype(np.float32)
-        self.queries = queries.astype(np.float32)
+        if terms is not None:
+            self.add_space(0, terms, queries)
+
+    def add_space(self, first: int, terms: np.ndarray, queries: np.ndarray) -> None:
+        """Add the latent vectors of terms and of the passages from ``first`` on."""
+        used = np.flatnonzero(terms.any(axis=1))
+        at = np.full(len(self.vocabulary) + 1, len(used), np.int32)
+        at[used] = np.arange(len(used))
+        vectors = np.vstack([terms[used] * self.idf[used, None], np.zeros((1, terms.shape[1]))]).astype(np.float32)
+        #: For each window length its passages, their vectors and their terms; the last place stands for all other words.
+        parts = []
+        for size in SIZES:
+            a, b = first + np.searchsorted(self.sizes[first : first + len(queries)], [size, size + 1])
+            if a < b:
+                own = np.zeros(len(self.vocabulary) + 1, bool)
+                own[[t for p in range(a, b) for t in self.terms_of(p)]] = True
+                parts.append((size, a, queries[a - first : b - first].astype(np.float32), own))
+        self.spaces.append((at, vectors, parts))
 
     def verdict(self, item: int, offset: int, start: int, words: list[bytes]) -> tuple[float, bool, bool]:
         """(share of the item's words found in order, answer found, contaminated) where a window at ``start`` of a
@@ -122,22 +138,23 @@ class Items:
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, n)
         squares = self.squares[ids]
         mass = np.concatenate([[0.0], np.cumsum(squares)])
-        for size, own in self.own.items():
-            first, last = np.searchsorted(self.sizes, [size, size + 1])
-            inside = np.concatenate([[0.0], np.cumsum(squares * own[ids])])
-            starts = np.append(np.arange(0, max(0, n - size), size // 4), max(0, n - size))
-            ends = np.minimum(starts + size, n)
-            total = mass[ends] - mass[starts]
-            near = np.flatnonzero(inside[ends] - inside[starts] >= COSINE * COSINE * total)
-            for at in range(0, len(near), 128):
-                w = near[at : at + 128]
-                places = np.minimum(starts[w][:, None] + np.arange(size), n)
-                latent = self.vectors[np.append(ids, -1)[places]].sum(axis=1)
-                # Repeated words: the norm is at least that of the projection.
-                norm = np.sqrt(np.maximum(total[w], (latent * latent).sum(axis=1)))
-                cosine = latent @ self.queries[first:last].T / np.maximum(norm, 1e-9)[:, None]
-                for row, p in zip(*np.nonzero(cosine >= COSINE)):
-                    yield *self.passages[first + p], int(starts[w[row]]), min(1.0, float(cosine[row, p]))
+        for at, vectors, parts in self.spaces:
+            local = np.append(at[ids], len(vectors) - 1)
+            for size, first, queries, own in parts:
+                inside = np.concatenate([[0.0], np.cumsum(squares * own[ids])])
+                starts = np.append(np.arange(0, max(0, n - size), size // 4), max(0, n - size))
+                ends = np.minimum(starts + size, n)
+                total = mass[ends] - mass[starts]
+                near = np.flatnonzero(inside[ends] - inside[starts] >= COSINE * COSINE * total)
+                for i in range(0, len(near), 128):
+                    w = near[i : i + 128]
+                    places = np.minimum(starts[w][:, None] + np.arange(size), n)
+                    latent = vectors[local[places]].sum(axis=1)
+                    # Repeated words: the norm is at least that of the projection.
+                    norm = np.sqrt(np.maximum(total[w], (latent * latent).sum(axis=1)))
+                    cosine = latent @ queries.T / np.maximum(norm, 1e-9)[:, None]
+                    for row, p in zip(*np.nonzero(cosine >= COSINE)):
+                        yield *self.passages[first + p], int(starts[w[row]]), min(1.0, float(cosine[row, p]))
 
 
 def _vectors_of(frame: pd.DataFrame, name: str) -> np.ndarray:
@@ -242,17 +259,19 @@ def _prepare(docs: DataFrame, texts: dict[int, bytes]) -> Items:
     spark, items = docs.sparkSession, Items(texts)
     seen, rows = document_frequencies(docs, items.vocabulary)
     idf, foreign = np.log((rows + 2) / (seen + 1)), float(np.log(rows + 2))
-    words, grams = items.words, []
-    for p, (k, s) in enumerate(items.passages):
-        counts = Counter(items.vocabulary[w] for w in words[k][s : s + PASSAGE])
-        a = np.array(list(counts.values())) * idf[list(counts)]
-        grams.append(pd.DataFrame({"p": p, "t": list(counts), "a": a / max(np.sqrt(a @ a), 1e-9)}))
-    table = pd.concat(grams)
-    entries = materialize(spark.createDataFrame(table, "p long, t long, a double").repartition(max(1, len(grams) // 256), "p"), "entries")
-    terms = latent_terms(entries, len(items.vocabulary), len(grams))
-    queries = np.zeros((len(grams), terms.shape[1]))
-    np.add.at(queries, table["p"].to_numpy(), terms[table["t"].to_numpy()] * table["a"].to_numpy()[:, None])
-    items.weigh(idf, foreign, terms, queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9))
+    items.weigh(idf, foreign)
+    for first in range(0, len(items.passages), RANK):
+        grams = []
+        for p in range(first, min(first + RANK, len(items.passages))):
+            counts = Counter(items.terms_of(p))
+            a = np.array(list(counts.values())) * idf[list(counts)]
+            grams.append(pd.DataFrame({"p": p - first, "t": list(counts), "a": a / max(np.sqrt(a @ a), 1e-9)}))
+        table = pd.concat(grams)
+        entries = materialize(spark.createDataFrame(table, "p long, t long, a double").repartition(1, "p"), "entries")
+        terms = latent_terms(entries, len(items.vocabulary), len(grams))
+        queries = np.zeros((len(grams), terms.shape[1]))
+        np.add.at(queries, table["p"].to_numpy(), terms[table["t"].to_numpy()] * table["a"].to_numpy()[:, None])
+        items.add_space(first, terms, queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9))
     return items
 
 
@@ -261,7 +280,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     start (word of the window). ``docs`` has doc_id and text, ``benchmark`` item_id and text, both any others.
 
     Windows of 8, 16 or 32 words (as the items have) of every whole text are compared with the benchmark's passages in a latent space: a
-    randomised SVD of the passages' TF-IDF matrix, document frequencies from all of ``docs``. Candidates of
+    randomised SVD of the TF-IDF matrix of each RANK passages, document frequencies from all of ``docs``. Candidates of
     enough cosine are checked against the item's words: the longest common subsequence with the span where
     the item would lie, and the item's last sentence as its answer. Texts or items that are null or have no
     word match nothing, and so do rows without id; repeated rows count once; items under eight words must

@@ -237,6 +237,16 @@ def test_latent_search_recall_against_brute_force(spark):
     assert total > 20 and hits >= 0.9 * total
 
 
+def test_verbatim_copies_of_a_large_benchmark_are_found(spark):
+    rng = random.Random(4)
+    # Few common words and many rare ones, as in texts.
+    draw = lambda n: [f"v{int(3 * 20_000 ** rng.random())}" for _ in range(n)]
+    bench = [(i, " ".join(draw(rng.randrange(32, 61)))) for i in range(1000)]
+    docs = [(i, " ".join([*draw(rng.randrange(40, 80)), bench[i][1], *draw(rng.randrange(40, 80))])) for i in range(1000)]
+    got = contaminated(frame(spark, docs), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(i, i) for i in range(1000)} <= {(r.doc_id, r.item_id) for r in got}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
