@@ -25,7 +25,11 @@ PASSAGE, SIZES = 32, (8, 16, 32)
 BLOCK, RANK, EXTRA = 2048, 256, 8
 #: Cosine that makes a candidate; shares of an item's words in a document's span, in order, that decide alone
 #: or together with the item's last sentence.
-COSINE, SURE, LIKELY, ANSWER = 0.4, 0.8, 0.6, 0.9
+COSINE, SURE, LIKELY, ANSWER = 0.3, 0.8, 0.6, 0.9
+#: Share of a passage's squared norm that makes a candidate whatever else the window has: the product with the
+#: window is measured by the passage alone, so that foreign words and their weights do not matter. A window that
+#: holds the whole passage has at least 1.
+COVER = 0.5
 #: Items of fewer words count only where they occur word by word.
 SHORT = 8
 _PUNCTUATION = bytes(32 if 33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126 else c for c in range(256))
@@ -87,6 +91,10 @@ class Items:
         self.vocabulary = {w: i for i, w in enumerate(sorted(set().union(*map(set, self.words.values())) if self.words else set()))}
         self.spaces = []
 
+    def norm_of(self, passage: int) -> float:
+        terms = np.array(list(Counter(self.terms_of(passage)).items()))
+        return float(np.linalg.norm(terms[:, 1] * self.idf[terms[:, 0]]))
+
     def terms_of(self, passage: int) -> list[int]:
         k, s = self.passages[passage]
         return [self.vocabulary[w] for w in self.words[k][s : s + PASSAGE]]
@@ -104,14 +112,20 @@ class Items:
         at = np.full(len(self.vocabulary) + 1, len(used), np.int32)
         at[used] = np.arange(len(used))
         vectors = np.vstack([terms[used] * self.idf[used, None], np.zeros((1, terms.shape[1]))]).astype(np.float32)
-        #: For each window length its passages, their vectors and their terms; the last place stands for all other words.
+        #: For each window length its passages, their vectors and norms, their terms, and the most that a term adds
+        #: to the product with any of them over its norm and over its square; the last place stands for all other words.
         parts = []
         for size in SIZES:
             a, b = first + np.searchsorted(self.sizes[first : first + len(queries)], [size, size + 1])
             if a < b:
                 own = np.zeros(len(self.vocabulary) + 1, bool)
-                own[[t for p in range(a, b) for t in self.terms_of(p)]] = True
-                parts.append((size, a, queries[a - first : b - first].astype(np.float32), own))
+                most, norms = np.zeros((2, len(self.vocabulary) + 1)), np.array([self.norm_of(p) for p in range(a, b)])
+                for p, norm in zip(range(a, b), norms):
+                    for t, c in Counter(self.terms_of(p)).items():
+                        own[t] = True
+                        x = c * self.squares[t] / norm
+                        most[:, t] = np.maximum(most[:, t], [x, x / norm])
+                parts.append((size, a, queries[a - first : b - first].astype(np.float32), norms.astype(np.float32), own, most))
         self.spaces.append((at, vectors, parts))
 
     def verdict(self, item: int, offset: int, start: int, words: list[bytes]) -> tuple[float, bool, bool]:
@@ -131,29 +145,36 @@ class Items:
         return share, answered, share >= SURE or (share >= LIKELY and answered)
 
     def candidates(self, words: list[bytes]) -> Iterator[tuple[int, int, int, float]]:
-        """(item, passage offset, window start, cosine) of windows near a passage. The norm of a window counts
-        all its words. A window in which the terms of its length's passages weigh too little to reach the
-        cosine is passed over: no projection of it is longer than they are."""
+        """(item, passage offset, window start, cosine) of windows near a passage, or that cover it together with
+        the words up to the next window's end: any copy of a passage lies whole in one such span. The norm of a
+        window counts all its words. A window in which the terms of its length's passages weigh too little to
+        reach the cosine or the cover is passed over: no projection of it is longer than they are, and no product
+        larger than the sum of what each term adds at most."""
         n = len(words)
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, n)
         squares = self.squares[ids]
         mass = np.concatenate([[0.0], np.cumsum(squares)])
         for at, vectors, parts in self.spaces:
             local = np.append(at[ids], len(vectors) - 1)
-            for size, first, queries, own in parts:
+            for size, first, queries, norms, own, most in parts:
+                step = size // 4
                 inside = np.concatenate([[0.0], np.cumsum(squares * own[ids])])
-                starts = np.append(np.arange(0, max(0, n - size), size // 4), max(0, n - size))
-                ends = np.minimum(starts + size, n)
+                near_sum, cover_sum = (np.concatenate([[0.0], np.cumsum(m[ids])]) for m in most)
+                starts = np.append(np.arange(0, max(0, n - size), step), max(0, n - size))
+                ends, far = np.minimum(starts + size, n), np.minimum(starts + size + step, n)
                 total = mass[ends] - mass[starts]
-                near = np.flatnonzero(inside[ends] - inside[starts] >= COSINE * COSINE * total)
+                near = (inside[ends] - inside[starts] >= COSINE * COSINE * total) & (near_sum[ends] - near_sum[starts] >= (COSINE - 1e-6) * np.sqrt(total))
+                near = np.flatnonzero(near | (cover_sum[far] - cover_sum[starts] >= COVER - 1e-6))
                 for i in range(0, len(near), 128):
                     w = near[i : i + 128]
-                    places = np.minimum(starts[w][:, None] + np.arange(size), n)
-                    latent = vectors[local[places]].sum(axis=1)
+                    places = np.minimum(starts[w][:, None] + np.arange(size + step), n)
+                    rows = vectors[local[places]]
+                    latent = rows[:, :size].sum(axis=1)
+                    cover = (latent + rows[:, size:].sum(axis=1)) @ queries.T / norms
                     # Repeated words: the norm is at least that of the projection.
                     norm = np.sqrt(np.maximum(total[w], (latent * latent).sum(axis=1)))
                     cosine = latent @ queries.T / np.maximum(norm, 1e-9)[:, None]
-                    for row, p in zip(*np.nonzero(cosine >= COSINE)):
+                    for row, p in zip(*np.nonzero((cosine >= COSINE) | (cover >= COVER))):
                         yield *self.passages[first + p], int(starts[w[row]]), min(1.0, float(cosine[row, p]))
 
 
@@ -281,7 +302,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Windows of 8, 16 or 32 words (as the items have) of every whole text are compared with the benchmark's passages in a latent space: a
     randomised SVD of the TF-IDF matrix of each RANK passages, document frequencies from all of ``docs``. Candidates of
-    enough cosine are checked against the item's words: the longest common subsequence with the span where
+    enough cosine, or that cover enough of a passage, are checked against the item's words: the longest common subsequence with the span where
     the item would lie, and the item's last sentence as its answer. Texts or items that are null or have no
     word match nothing, and so do rows without id; repeated rows count once; items under eight words must
     occur word by word. The benchmark is the query set: it is read in blocks of bounded size, each block

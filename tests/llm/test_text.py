@@ -247,6 +247,24 @@ def test_verbatim_copies_of_a_large_benchmark_are_found(spark):
     assert {(i, i) for i in range(1000)} <= {(r.doc_id, r.item_id) for r in got}
 
 
+@pytest.mark.parametrize("rows", [1_000, 10_000_000])
+def test_verbatim_short_items_are_candidates_at_any_corpus_size(rows):
+    rng = random.Random(6)
+    texts_of = {i: " ".join(f"i{rng.randrange(60)}" for _ in range(n)).encode() for i, n in enumerate([1, 2, 5, 8, 9, 12, 15, 17, 20, 24, 31, 33, 50])}
+    items = Items(texts_of)
+    # The items' words are common, all words around them foreign: these have the top weight.
+    idf = np.log((rows + 2) / (np.linspace(0.02, 0.6, len(items.vocabulary)) * rows + 1))
+    full = np.zeros((len(items.passages), len(items.vocabulary)))
+    for p, (k, s) in enumerate(items.passages):
+        for w in items.words[k][s : s + 32]:
+            full[p, items.vocabulary[w]] += idf[items.vocabulary[w]]
+    items.weigh(idf, math.log(rows + 2), np.eye(len(idf)), full / np.linalg.norm(full, axis=1, keepdims=True))
+    for k, own in items.words.items():
+        for before in range(40):
+            doc = [b"foreign%d" % x for x in range(before)] + own + [b"other%d" % x for x in range(50)]
+            assert any(items.verdict(*c[:3], doc)[2] for c in items.candidates(doc) if c[0] == k)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
