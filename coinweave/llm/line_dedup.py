@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coinweave.llm.common import ID_LIMIT, map_arrow
+from coinweave.llm.common import ID_LIMIT, map_arrow, mix, powers
 from coinweave.session import materialize
 
-#: Lines of up to so many documents are rare. A document without a rare shared line uses its rarest shared ones.
+#: Short lines of up to so many documents are rare and pair documents too. A document without a rare shared line
+#: uses its rarest shared ones. Lines and runs long enough to be deleted pair documents however frequent they are.
 RARE = 32
 #: Characters (without white space at line ends) that an aligned block must have to be deleted.
 LEAST_CHARS = 30
@@ -95,14 +96,57 @@ def _align(least: int):
     return run
 
 
+#: Kinds of keys: a line under the least characters, one that has them, a run of lines that has them.
+SHORT_LINE, LONG_LINE, RUN = 0, 1, 2
+_BASE = 0x9E3779B97F4A7C15
+
+
+def run_keys(hashes: np.ndarray, sizes: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, kind), once for each row: every line, and the shortest runs of two lines or more with ``least``
+    characters that start or end at every line. Row r has the lines bounds[r] to bounds[r + 1]. How far such a run
+    goes depends on its lines alone, so each line of a block of ``least`` characters that two rows share is in a
+    key that both have."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    start = np.flatnonzero(sizes > 0)
+    end = np.searchsorted(sums, sums[start] + least)
+    runs = (end <= bounds[1:][row[start]]) & (end > start + 1)
+    back = np.searchsorted(sums, sums[start + 1] - least, "right") - 1
+    ends = (back >= bounds[row[start]]) & (back < start)
+    first, last = np.concatenate([start[runs], back[ends]]), np.concatenate([end[runs], start[ends] + 1])
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes.view(np.uint64)) * powers(len(hashes), _BASE))])
+        own = mix((total[last] - total[first]) * powers(len(hashes) + 1, pow(_BASE, -1, 1 << 64))[first] + (last - first).astype(np.uint64))
+    rows, keys = np.concatenate([row[start], row[first]]), np.concatenate([hashes[start], own.view(np.int64)])
+    kinds = np.concatenate([np.where(sizes[start] >= least, LONG_LINE, SHORT_LINE), np.full(len(first), RUN)])
+    order = np.lexsort((keys, rows))
+    rows, keys, kinds = rows[order], keys[order], kinds[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
+    return rows[new], keys[new], kinds[new]
+
+
+def _keys(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, sizes = (batch.column(n) for n in ("hashes", "sizes"))
+            bounds = hashes.offsets.to_numpy().astype(np.int64)
+            rows, keys, kinds = run_keys(hashes.flatten().to_numpy(), sizes.flatten().to_numpy().astype(np.int64), bounds - bounds[0], least)
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column("d").take(at), batch.column("t").take(at), pa.array(keys), pa.array(kinds.astype(np.int32))], names=["d", "t", "h", "kind"])
+
+    return run
+
+
 def remove_common_lines(docs: DataFrame, rare: int = RARE, least: int = LEAST_CHARS, with_text: bool = True) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, any others): doc_id, n_lines, n_removed, n_partners,
     kept_sha256 and, with ``with_text``, kept_text.
 
-    Lines end at line feeds and are compared without white space at their ends. For every line that rows
-    share, the first row with it (by doc_id, null last) is a partner of the later ones, if the line is rare
-    or none of the later row's shared lines is rarer. So even thousands of copies make one pair each, and
-    there are at most as many pairs as lines. Each later row is aligned with its partners by patience diff,
+    Lines end at line feeds and are compared without white space at their ends. For every line of ``least``
+    characters, and every shortest run of lines from or to a line that has them, the first row with it (by doc_id, null last) is
+    a partner of all later ones, so whatever block a row shares with an earlier one, partners have all its lines. The
+    first row with a shorter line is one if the line is rare or none of the later row's shared lines is rarer.
+    So even thousands of copies make one pair each, and there are at most three pairs a line. Each later row is aligned with its partners by patience diff,
     and aligned blocks of at least ``least`` characters are deleted from it; blank lines never pair rows.
     Null or empty text is one empty line and stays. Repeated rows are later rows too, all but one of rows
     that agree in id and text count once and get equal results. An empty table gives no rows."""
@@ -112,12 +156,11 @@ def remove_common_lines(docs: DataFrame, rare: int = RARE, least: int = LEAST_CH
     hashed = keyed.select("d", "t", F.transform(trimmed, lambda x: F.xxhash64(x)).alias("hashes"), F.transform(trimmed, lambda x: F.char_length(x)).alias("sizes"))
     lines = materialize(hashed.dropDuplicates(["d", "t"]), "lines")
 
-    blank = F.xxhash64(F.lit(""))
-    each = lines.select("d", "t", F.explode(F.array_distinct("hashes")).alias("h")).filter(F.col("h") != blank)
+    each = map_arrow(lines.select("d", "t", "hashes", "sizes"), _keys(least), "d long, t long, h long, kind int")
     shared = each.groupBy("h").agg(F.count("*").alias("df"), F.min(F.struct("d", "t")).alias("first")).filter("df > 1")
-    met = each.join(shared, "h").groupBy("d", "t").agg(F.collect_set(F.struct("df", F.col("first.d").alias("pd"), F.col("first.t").alias("pt"))).alias("met"))
-    lowest = F.array_min("met").getField("df")
-    partners = met.select("d", "t", F.explode(F.filter("met", lambda x: (x["df"] <= rare) | (x["df"] == lowest))).alias("p")).select("d", "t", "p.pd", "p.pt")
+    met = each.join(shared, "h").groupBy("d", "t").agg(F.collect_set(F.struct("df", F.col("first.d").alias("pd"), F.col("first.t").alias("pt"), "kind")).alias("met"))
+    lowest = F.array_min(F.filter("met", lambda x: x["kind"] != RUN)).getField("df")
+    partners = met.select("d", "t", F.explode(F.filter("met", lambda x: (x["kind"] != SHORT_LINE) | (x["df"] <= rare) | (x["df"] == lowest))).alias("p")).select("d", "t", "p.pd", "p.pt")
     pairs = materialize(partners.filter("NOT (d = pd AND t = pt)").distinct(), "pairs")
 
     both = pairs.join(lines.select("d", "t", F.col("hashes").alias("later"), "sizes"), ["d", "t"]).join(

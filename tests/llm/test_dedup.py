@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cases import frame, texts
 from coinweave.llm.exact_dedup import exact_dedup, fuse_build, fuse_probe
-from coinweave.llm.line_dedup import common_blocks, patience, remove_common_lines
+from coinweave.llm.line_dedup import common_blocks, patience, remove_common_lines, run_keys
 from coinweave.llm.ngram_join import choose_boundary, jaccard_components, least_overlap, subset_sizes
 from coinweave.llm.substring_dedup import remove_repeats, sliding_argmin
 
@@ -78,6 +78,41 @@ def test_line_dedup(spark):
     assert got[49, dict(texts())[49]].n_removed == 0
 
 
+def test_line_dedup_of_frequent_blocks_and_runs_against_brute_force(spark):
+    rng = random.Random(8)
+    # Blocks in one order, each of many rows: a long line, short lines that only together are long enough.
+    blocks = [["a long line of more than ten characters"], ["s1 ab", "", "s2 cd", "s3 ef"], ["u1", "u2", "u3", "u4", "u5", "u6"], ["rare1 rare1 rare1"]]
+    rows = [(i, line) for i, line in enumerate(["s1 ab", "s2 cd", "s3 ef", "u1", "u2", "u3", "u4", "u5", "u6"])]
+    for i in range(10, 90):
+        lines = [f"own {i} start"]
+        for k, block in enumerate(blocks):
+            if rng.random() < 0.6 and (k < 3 or i % 30 == 0):
+                lines += [*block, f"own {i} after {k}"]
+        rows.append((i, "\n".join(lines)))
+    rows += [(90, "\n".join(["own 90", *blocks[0], "x", *blocks[3]])), (91, "\n".join(["own 91", *blocks[0], "y", *blocks[3]]))]
+    seen, want = set(), {}
+    for i, text in rows:
+        lines, gone, new = text.split("\n"), set(), set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(map(len, lines[a:b])) >= 10:
+                    new.add(tuple(lines[a:b]))
+                    if tuple(lines[a:b]) in seen:
+                        gone.update(range(a, b))
+        seen |= new
+        want[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    got = {r.doc_id: r.kept_text for r in remove_common_lines(frame(spark, rows), rare=8, least=10).collect()}
+    assert got == want
+
+
+def test_run_keys_reach_the_ends_of_blocks():
+    # Rows (29, 5), (29, 5, 3), (7, 29, 5, 3) characters: the last two share a line that the first has not.
+    hashes, sizes = np.array([1, 2, 1, 2, 3, 4, 1, 2, 3]), np.array([29, 5, 29, 5, 3, 7, 29, 5, 3])
+    rows, keys, kinds = run_keys(hashes, sizes, np.array([0, 2, 5, 9]), 30)
+    own = [{k for r, k, kind in zip(rows, keys, kinds) if r == i and kind == 2} for i in range(3)]
+    assert (own[1] & own[2]) - own[0]
+
+
 def test_sliding_argmin():
     rng = np.random.default_rng(1)
     for n in (1, 5, 41, 300):
