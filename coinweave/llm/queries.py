@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with operator queries; each has QUERIES (name -> callable) and ORACLES (name -> SQL).
-MODULES = ["token_queries", "dedup_queries", "html_queries", "langid_queries", "near_queries", "lm_queries", "vector_queries", "manifest_queries"]
+MODULES = ["token_queries", "dedup_queries", "html_queries", "langid_queries", "near_queries", "lm_queries", "vector_queries", "manifest_queries", "quality_queries"]
 
 
 def load() -> tuple[dict, dict]:
