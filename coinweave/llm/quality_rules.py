@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from coinweave.llm.common import map_arrow, mix, slices, split_words, word_hashes
 
-#: Buckets of the two multinomials (a power of two); also the size of what scoring broadcasts.
-BUCKETS = 1 << 16
+#: Buckets of the two multinomials (a power of two); also the size of what scoring broadcasts. With many more, a small
+#: corpus would hold a text's own n-grams against it.
+BUCKETS = 1 << 13
 #: The trusted multinomial is fitted on about this many labelled rows at most, those of smallest id hash.
 TRUSTED_DOCS = 40_000
 #: Added to the count of every bucket, as a share of the mean count of a bucket.
-SMOOTHING = 0.01
+SMOOTHING = 0.1
 #: Texts under this many nats an n-gram go.
 THRESHOLD = -0.25
 #: One nat in fixed point.
