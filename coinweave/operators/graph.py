@@ -196,6 +196,21 @@ def canonical(kind: str, names: list[str]) -> Column:
 PAYLOAD_NODE = [*NODE_COLUMNS, "threat_score", "risk_level", "primary_anomaly"]
 
 
+def node_document() -> Column:
+    """JSON object of a node, null attributes dropped."""
+    return F.to_json(F.struct(*[iso(F.col("ts")).alias("timestamp") if c == "ts" else F.col(c) for c in PAYLOAD_NODE]))
+
+
+def edge_document() -> Column:
+    amount = N.sats_to_btc(F.col("amount_sats")).alias("amount_btc")
+    return F.to_json(
+        F.struct(*[
+            iso(F.col("ts")).alias("timestamp") if c == "ts" else amount if c == "amount_sats" else F.col(c)
+            for c in EDGE_COLUMNS
+        ])
+    )
+
+
 def subgraph_payload(nodes: DataFrame, edges: DataFrame, reached: DataFrame) -> DataFrame:
     """(root, kind, element, document, sort keys): one row per node and link of every root's subgraph.
 
@@ -206,14 +221,7 @@ def subgraph_payload(nodes: DataFrame, edges: DataFrame, reached: DataFrame) ->
             nodes = nodes.withColumn(c, F.lit(None).cast(t))
     n, e = subgraph_nodes(nodes, reached), subgraph_edges(edges, reached)
     empty = F.lit("")
-    node_doc = F.to_json(F.struct(*[iso(F.col("ts")).alias("timestamp") if c == "ts" else F.col(c) for c in PAYLOAD_NODE]))
-    amount = N.sats_to_btc(F.col("amount_sats")).alias("amount_btc")
-    edge_doc = F.to_json(
-        F.struct(*[
-            iso(F.col("ts")).alias("timestamp") if c == "ts" else amount if c == "amount_sats" else F.col(c)
-            for c in EDGE_COLUMNS
-        ])
-    )
+    node_doc, edge_doc = node_document(), edge_document()
     node_rows = n.select(
         "root", F.lit("node").alias("kind"), canonical("node", PAYLOAD_NODE).alias("element"), node_doc.alias("document"),
         F.col("id").alias("k1"), empty.alias("k2"), empty.alias("k3"), F.lit(None).cast("bigint").alias("k4"),
@@ -310,6 +318,12 @@ def explained_subgraph(reached_edges: DataFrame, payload_nodes: DataFrame, impor
     return found.unionByName(fallback)
 
 
+def kept_nodes(kept_edges: DataFrame, alerts: DataFrame) -> DataFrame:
+    """(root, id): the ends of a reduced subgraph's links, and the root itself."""
+    ends = kept_edges.select("root", F.col("source").alias("id")).unionAll(kept_edges.select("root", F.col("target")))
+    return ends.unionAll(alerts.select("tx_id", "tx_id")).distinct()
+
+
 # ---------------------------------------------------------------- insights per root
 
 

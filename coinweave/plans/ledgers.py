@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coinweave.operators.components import entities
 from coinweave.operators.graph import build_edges, build_nodes
 from coinweave.operators.heuristics import fan_patterns
 from coinweave.operators.ledger import Ledger, from_lines, from_transactions, latest_receipt
@@ -303,14 +304,13 @@ def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Evidence graph of ledger E. Every transaction has one input, so each wallet is its own entity and
-    the entity column is left to the component queries."""
+    """Evidence graph of ledger E."""
 
     def build():
         ledger = event_ledger(spark, sf_dir)
         peel = event_peel(spark, sf_dir)
         return (
-            materialize(build_nodes(ledger, None, peel), "graph_nodes"),
+            materialize(build_nodes(ledger, entities(ledger.spends, ledger.receipts), peel), "graph_nodes"),
             materialize(build_edges(ledger), "graph_edges"),
         )
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coinweave.functions import normalize as N
-from coinweave.operators import components, evidence, graph, heuristics, ledger, links, neighbours, scoring
-from coinweave.operators.audit import audit_evidence, audit_graph, audit_summary
+from coinweave.operators import balls, components, evidence, graph, heuristics, ledger, links, neighbours, scoring
+from coinweave.operators.audit import audit_evidence, audit_shapes, audit_summary
 from coinweave.operators.peel import repeated_small_amount
 from coinweave.plans import ledgers as L
 from coinweave.plans.catalog import query, with_
@@ -459,10 +459,11 @@ GRAPH_EDGES = """ge AS (SELECT address AS source, tx_id AS target, 'SPENT' AS re
   UNION ALL SELECT src_ip, asn, 'BELONGS_TO', NULL, NULL, NULL, NULL, NULL FROM e)"""
 
 
-@query("g1_build_nodes", with_(L.E, L.E_LONG, CHANGE_E, GRAPH_NODES, select="SELECT id, label, type, info FROM gn"))
+@query("g1_build_nodes", with_(L.E, L.E_LONG, CHANGE_E, GRAPH_NODES, select="SELECT id, label, type, info, CASE WHEN label = 'WalletAddress' THEN 'entity_' || sha256(id) END AS entity_id FROM gn"))
 def _(spark, d):
-    nodes = graph.build_nodes(L.event_ledger(spark, d), None, L.event_peel(spark, d))
-    return nodes.select("id", "label", "type", F.coalesce("country", "description").alias("info"))
+    led = L.event_ledger(spark, d)
+    nodes = graph.build_nodes(led, components.entities(led.spends, led.receipts), L.event_peel(spark, d))
+    return nodes.select("id", "label", "type", F.coalesce("country", "description").alias("info"), "entity_id")
 
 
 @query("g2_build_edges", with_(L.E, L.E_LONG, GRAPH_EDGES, select="SELECT source, target, relationship, amount_sats, us AS ts_us, src_port, dst_ip, dst_port FROM ge"))
@@ -471,113 +472,160 @@ def _(spark, d):
     return edges.select("source", "target", "relationship", "amount_sats", us("ts").alias("ts_us"), "src_port", "dst_ip", "dst_port")
 
 
-QUERY_HOPS = 2
-HOPS_SQL = """pg AS (SELECT tx_id AS root FROM al ORDER BY threat_score DESC, us DESC, tx_id LIMIT 50),
-li AS (SELECT DISTINCT a, b FROM (SELECT source AS a, target AS b FROM ge UNION ALL SELECT target, source FROM ge)),
-h1 AS (SELECT DISTINCT root, b AS id FROM pg JOIN li ON li.a = pg.root),
-h2 AS (SELECT DISTINCT root, b AS id FROM h1 JOIN li ON li.a = h1.id),
-rd AS (SELECT root, id, min(depth) AS depth FROM (SELECT root, root AS id, 0 AS depth FROM pg UNION ALL SELECT root, id, 1 FROM h1 UNION ALL SELECT root, id, 2 FROM h2) GROUP BY 1, 2),
-rx AS (SELECT DISTINCT rd.root, ge.target AS id FROM rd JOIN ge ON ge.source = rd.id AND ge.relationship = 'RECEIVED' JOIN gn ON gn.id = ge.target AND gn.type = 'exchange'),
-rr AS (SELECT root, id, depth FROM rd UNION ALL SELECT root, id, 3 FROM rx WHERE (root, id) NOT IN (SELECT (root, id) FROM rd)),
-pn AS (SELECT rr.root, gn.* FROM rr JOIN gn ON gn.id = rr.id),
-pe AS (SELECT a.root, ge.* FROM ge JOIN rr a ON a.id = ge.source JOIN rr b ON b.root = a.root AND b.id = ge.target)"""
-HOPS = (*L.ALERTS_E, CHANGE_E, GRAPH_NODES, GRAPH_EDGES, HOPS_SQL)
+ISO_SQL = "strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%fZ')"
+HOPS = graph.DEFAULT_HOPS
+# Every node with all it shows in a payload, and every link with a number of its own.
+PAYLOAD_SQL = """nd AS MATERIALIZED (SELECT gn.id, gn.label, gn.type, CASE WHEN se.tx_id IS NULL THEN NULL ELSE coalesce(lower(al.risk_level), CASE WHEN peel = 1 OR tor = 1 THEN 'high' ELSE 'medium' END) END AS risk,
+    se.us, se.src_port, se.dst_ip, se.dst_port, CASE WHEN gn.label = 'IPAddress' THEN info END AS country, CASE WHEN gn.label = 'ASN' THEN info END AS description,
+    CASE WHEN gn.label = 'WalletAddress' THEN 'entity_' || sha256(gn.id) END AS entity_id, al.threat_score, al.risk_level, al.primary_anomaly
+  FROM gn LEFT JOIN se ON se.tx_id = gn.id LEFT JOIN al ON al.tx_id = gn.id),
+ed AS MATERIALIZED (SELECT row_number() OVER () AS eid, * FROM ge),
+pg AS MATERIALIZED (SELECT tx_id AS root FROM al),
+rn AS MATERIALIZED (SELECT root, (row_number() OVER (ORDER BY root) - 1) // 512 AS batch, (row_number() OVER (ORDER BY root) - 1) % 512 AS place FROM pg)"""
+ALL_NODES = (*L.ALERTS_E, CHANGE_E, GRAPH_NODES, GRAPH_EDGES, PAYLOAD_SQL)
+
+
+def _balls_sql(nodes: str = "nd", edges: str = "ed", links: str = "pe") -> str:
+    """rr: every node within four steps of each alert and the exchange wallets paid there; pn, pe: its nodes and links."""
+    step = "h{k} AS MATERIALIZED (SELECT DISTINCT root, b AS id FROM h{j} JOIN li ON li.a = h{j}.id),"
+    return (
+        f"""li AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT source AS a, target AS b FROM {edges} UNION ALL SELECT target, source FROM {edges})),
+h0 AS MATERIALIZED (SELECT root, root AS id FROM pg),
+""" + "\n".join(step.format(k=k, j=k - 1) for k in range(1, HOPS + 1)) + """
+rd AS MATERIALIZED (SELECT root, id, min(depth) AS depth FROM (""" + " UNION ALL ".join(f"SELECT root, id, {k} AS depth FROM h{k}" for k in range(HOPS + 1)) + f""") GROUP BY 1, 2),
+rx AS (SELECT DISTINCT rd.root, {edges}.target AS id FROM rd JOIN {edges} ON {edges}.source = rd.id AND relationship = 'RECEIVED' JOIN {nodes} x ON x.id = {edges}.target AND x.type = 'exchange'),
+rr AS MATERIALIZED (SELECT root, id, depth FROM rd UNION ALL SELECT rx.root, rx.id, {HOPS + 1} FROM rx ANTI JOIN rd ON rd.root = rx.root AND rd.id = rx.id),
+pn AS (SELECT rr.root, x.* FROM rr JOIN {nodes} x ON x.id = rr.id),
+{links} AS (SELECT a.root, x.* FROM {edges} x JOIN rr a ON a.id = x.source JOIN rr b ON b.root = a.root AND b.id = x.target)"""
+    )
 
 
-def reached_plan(spark, d):
-    """Two hops around the first page of alerts."""
-    nodes, edges = L.event_graph(spark, d)
-    return graph.n_hop(nodes, edges, scoring.rank_alerts(alerts(spark, d)), QUERY_HOPS)
+BALLS = (*ALL_NODES, _balls_sql())
+BITS_SQL = "CAST(bitstring_agg(place, 0, 511) AS VARCHAR)"
 
 
-def reached(spark, d):
-    return memo(spark, ("reached", d), lambda: materialize(reached_plan(spark, d), "reached"))
+def graph_nodes(spark, d):
+    """Nodes of the evidence graph with what alerts add to them."""
+    return memo(spark, ("annotated", d), lambda: materialize(links.annotate_nodes(L.event_graph(spark, d)[0], alerts(spark, d)), "annotated"))
 
 
-def page_nodes(spark, d):
-    def build():
-        nodes, _ = L.event_graph(spark, d)
-        return materialize(graph.subgraph_nodes(links.annotate_nodes(nodes, alerts(spark, d)), reached(spark, d)), "page_nodes")
+def graph_edges(spark, d):
+    return L.event_graph(spark, d)[1]
 
-    return memo(spark, ("page_nodes", d), build)
 
+def numbered(spark, d):
+    return memo(spark, ("roots", d), lambda: balls.number_roots(graph_nodes(spark, d), alerts(spark, d)))
 
-def page_edges(spark, d):
-    return memo(
-        spark, ("page_edges", d),
-        lambda: materialize(graph.subgraph_edges(L.event_graph(spark, d)[1], reached(spark, d)), "page_edges"),
-    )
 
+def alert_balls_plan(spark, d):
+    return balls.bit_balls(graph_nodes(spark, d), graph_edges(spark, d), numbered(spark, d))
 
-def payload_plan(spark, d):
-    nodes, edges = L.event_graph(spark, d)
-    return graph.subgraph_payload(links.annotate_nodes(nodes, alerts(spark, d)), edges, reached(spark, d))
 
+def reached(spark, d):
+    return memo(spark, ("reached", d), lambda: balls.reach(alert_balls_plan(spark, d)))
 
-def payload(spark, d):
-    return memo(spark, ("payload", d), lambda: materialize(payload_plan(spark, d), "payload"))
 
+def ball_edges(spark, d):
+    return memo(spark, ("ball_edges", d), lambda: materialize(balls.edge_bits(graph_edges(spark, d), reached(spark, d)), "ball_edges"))
 
-@query("g18_n_hop", with_(*HOPS, select="SELECT root, id, depth FROM rr"))
-def _(spark, d):
-    return reached_plan(spark, d)
 
+def label_sums(spark, d):
+    return memo(spark, ("label_sums", d), lambda: materialize(balls.root_sums(balls.node_bits(graph_nodes(spark, d), reached(spark, d)), numbered(spark, d), F.col("label")), "label_sums"))
 
-ISO_SQL = "strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%fZ')"
+
+def relationship_sums(spark, d):
+    return memo(spark, ("relationship_sums", d), lambda: materialize(balls.root_sums(ball_edges(spark, d), numbered(spark, d), F.col("relationship")), "relationship_sums"))
+
+
+def steps(spark, d):
+    return memo(spark, ("steps", d), lambda: balls.both_ways(graph_edges(spark, d)))
+
+
+@query("g18_n_hop", with_(*BALLS, select=f"SELECT batch, id, depth, {BITS_SQL} AS roots FROM rr JOIN rn USING (root) GROUP BY 1, 2, 3"))
+def _(spark, d):
+    """Balls of all alerts: for each node, distance and batch of alerts the bitmap of the alerts that are that far away."""
+    return alert_balls_plan(spark, d).select("batch", "id", "depth", balls.bits_text().alias("roots"))
 
 
 def _pack_sql(expr: str) -> str:
     return f"CASE WHEN {expr} IS NULL THEN '-' ELSE length({expr}) || ':' || {expr} END"
 
 
-ELEMENTS_SQL = (
-    "pa0 AS (SELECT root, 'node|' || " + " || '|' || ".join(
-        _pack_sql(x) for x in (
-            "id", "label", "type", "risk", ISO_SQL, "CAST(src_port AS VARCHAR)", "dst_ip", "CAST(dst_port AS VARCHAR)", "country", "description",
-            "entity_id", "CAST(threat_score AS VARCHAR)", "risk_level", "primary_anomaly")
-    ) + """ AS element FROM (SELECT pn.root, pn.id, pn.label, pn.type, CASE WHEN se.tx_id IS NULL THEN NULL ELSE coalesce(lower(al.risk_level), CASE WHEN peel = 1 OR tor = 1 THEN 'high' ELSE 'medium' END) END AS risk,
-        se.us, se.src_port, se.dst_ip, se.dst_port, CASE WHEN pn.label = 'IPAddress' THEN info END AS country, CASE WHEN pn.label = 'ASN' THEN info END AS description,
-        CAST(NULL AS VARCHAR) AS entity_id, al.threat_score, al.risk_level, al.primary_anomaly
-      FROM pn LEFT JOIN se ON se.tx_id = pn.id LEFT JOIN al ON al.tx_id = pn.id)
-  UNION ALL SELECT root, 'edge|' || """ + " || '|' || ".join(
-        _pack_sql(x) for x in ("source", "target", "relationship", "CAST(amount_sats AS VARCHAR)", ISO_SQL, "CAST(src_port AS VARCHAR)", "dst_ip", "CAST(dst_port AS VARCHAR)")
-    ) + " AS element FROM pe)"
+NODE_ELEMENT = "'node|' || " + " || '|' || ".join(
+    _pack_sql(x) for x in (
+        "id", "label", "type", "risk", ISO_SQL, "CAST(src_port AS VARCHAR)", "dst_ip", "CAST(dst_port AS VARCHAR)", "country", "description",
+        "entity_id", "CAST(threat_score AS VARCHAR)", "risk_level", "primary_anomaly")
+)
+EDGE_ELEMENT = "'edge|' || " + " || '|' || ".join(
+    _pack_sql(x) for x in ("source", "target", "relationship", "CAST(amount_sats AS VARCHAR)", ISO_SQL, "CAST(src_port AS VARCHAR)", "dst_ip", "CAST(dst_port AS VARCHAR)")
 )
 
 
-@query("g19_subgraph_payload", with_(*HOPS, ELEMENTS_SQL, select="SELECT root, element FROM pa0"))
+@query("g19_subgraph_payload", with_(*BALLS, select=f"""SELECT element, batch, count(*) AS n_roots, sha256({BITS_SQL}) AS roots_sha256 FROM (
+    SELECT root, id AS eid, {NODE_ELEMENT} AS element FROM pn UNION ALL SELECT root, CAST(eid AS VARCHAR), {EDGE_ELEMENT} FROM pe) JOIN rn USING (root) GROUP BY element, eid, batch"""))
 def _(spark, d):
-    return payload_plan(spark, d).select("root", "element")
+    """Payloads of all alerts, factorised: every element once a batch, with the alerts whose payload has it."""
+    shown = lambda df, kind, names: df.select(
+        graph.canonical(kind, names).alias("element"), "batch", balls.root_count().alias("n_roots"), F.sha2(balls.bits_text(), 256).alias("roots_sha256")
+    )
+    inside = balls.node_bits(graph_nodes(spark, d), reached(spark, d))
+    return shown(inside, "node", graph.PAYLOAD_NODE).unionAll(shown(ball_edges(spark, d), "edge", graph.EDGE_COLUMNS))
+
+
+def _combine_sql(name: str, rows: str) -> str:
+    return f"""{name}_l AS (SELECT id, sha256(h || 'x' || count(*)) AS l FROM {rows} GROUP BY id, h),
+{name}_b AS (SELECT id, substr(l, 1, 4) || sha256(string_agg(l, '' ORDER BY l)) AS l FROM {name}_l GROUP BY id, substr(l, 1, 4)),
+{name} AS MATERIALIZED (SELECT id, sha256(string_agg(l, '' ORDER BY l)) AS h FROM {name}_b GROUP BY id)"""
+
+
+def _digests_sql(out: str = "hd", nodes: str = "nd", edges: str = "ed") -> str:
+    """Custody hash (tx_id, h) of every alert: four rounds of messages along the links."""
+    o = out
+    parts = [
+        f"{o}_n AS MATERIALIZED (SELECT id, type, sha256({NODE_ELEMENT}) AS e FROM {nodes})",
+        f"{o}_e AS (SELECT source, target, sha256({EDGE_ELEMENT}) AS l FROM {edges})",
+        f"{o}_w AS MATERIALIZED (SELECT source AS id, target AS other, l FROM {o}_e UNION ALL SELECT target, source, l FROM {o}_e WHERE source <> target)",
+        f"{o}_t AS (SELECT w.id, sha256(l || e) AS h FROM {o}_w w JOIN {o}_n n ON n.id = w.other AND n.type = 'exchange')",
+        _combine_sql(f"{o}_c", f"{o}_t"),
+        f"{o}_0 AS MATERIALIZED (SELECT n.id, sha256(e || coalesce(h, '')) AS own, own AS d FROM {o}_n n LEFT JOIN {o}_c c ON c.id = n.id)",
+    ]
+    for k in range(1, HOPS + 1):
+        parts += [
+            f"{o}_m{k} AS (SELECT w.id, sha256(l || d) AS h FROM {o}_w w JOIN {o}_{k - 1} x ON x.id = w.other)",
+            _combine_sql(f"{o}_k{k}", f"{o}_m{k}"),
+            f"{o}_{k} AS MATERIALIZED (SELECT s.id, own, sha256(own || coalesce(h, '')) AS d FROM {o}_0 s LEFT JOIN {o}_k{k} k ON k.id = s.id)",
+        ]
+    parts.append(f"{o} AS MATERIALIZED (SELECT al.tx_id, sha256(d || '|' || {ISO_SQL} || '|' || al.tx_id) AS h FROM al JOIN {o}_{HOPS} x ON x.id = al.tx_id)")
+    return ",\n".join(parts)
 
 
-HASH_SQL = """hl AS (SELECT root, sha256(sha256(element) || 'x' || count(*)) AS h FROM pa0 GROUP BY root, element),
-ha AS (SELECT root, substr(h, 1, 6) || sha256(string_agg(h, '' ORDER BY h)) AS h FROM hl GROUP BY root, substr(h, 1, 6)),
-hc AS (SELECT root, substr(h, 1, 3) || sha256(string_agg(h, '' ORDER BY h)) AS h FROM ha GROUP BY root, substr(h, 1, 3)),
-hd AS (SELECT root, sha256(string_agg(h, '' ORDER BY h)) AS h FROM hc GROUP BY root)"""
+def hashes_plan(spark, d):
+    return balls.custody_digests(graph_nodes(spark, d), graph_edges(spark, d), alerts(spark, d))
 
 
 def hashes(spark, d):
-    page = scoring.rank_alerts(alerts(spark, d))
-    return evidence.custody_hash(payload(spark, d), page)
+    return memo(spark, ("hashes", d), lambda: materialize(hashes_plan(spark, d), "hashes"))
 
 
-@query("e5_custody_hash", with_(*HOPS, ELEMENTS_SQL, HASH_SQL, select=f"SELECT al.tx_id, sha256(h || '|' || {ISO_SQL} || '|' || al.tx_id) AS chain_of_custody_hash FROM hd JOIN al ON al.tx_id = hd.root"))
+@query("e5_custody_hash", with_(*ALL_NODES, _digests_sql(), select="SELECT tx_id, h AS chain_of_custody_hash FROM hd"))
 def _(spark, d):
-    return hashes(spark, d)
+    return hashes_plan(spark, d)
 
 
-MINIMAL_SQL = """mn AS (SELECT root, source, target, relationship FROM pe WHERE source = root OR target = root
-  OR (relationship = 'BELONGS_TO' AND (root, source) IN (SELECT (root, target) FROM pe WHERE relationship = 'BROADCAST_FROM' AND source = root)))"""
+MINIMAL_SQL = """pb AS MATERIALIZED (SELECT * FROM pe), ph AS MATERIALIZED (SELECT DISTINCT root, target AS host FROM pb WHERE relationship = 'BROADCAST_FROM' AND source = root),
+mn AS MATERIALIZED (SELECT root, source, target, relationship FROM pb WHERE source = root OR target = root
+  UNION ALL SELECT pb.root, source, target, relationship FROM pb SEMI JOIN ph ON ph.root = pb.root AND ph.host = pb.source
+    WHERE relationship = 'BELONGS_TO' AND source <> pb.root AND target <> pb.root)"""
 
 
 # Subgraphs that need no ball are answered for all alerts.
-ALL_ROOTS = (*L.ALERTS_E, CHANGE_E, GRAPH_NODES, GRAPH_EDGES, "pg AS (SELECT tx_id AS root FROM al)")
-CASE_SQL = """hs AS (SELECT DISTINCT root, target AS host FROM pg JOIN ge ON ge.source = pg.root AND relationship = 'BROADCAST_FROM'),
-pe AS (SELECT ct.root, ge.* FROM ct JOIN ge ON ge.source = ct.tx WHERE relationship IN ('RECEIVED', 'BROADCAST_FROM')
-  UNION ALL SELECT ct.root, ge.* FROM ct JOIN ge ON ge.target = ct.tx WHERE relationship = 'SPENT'
+ALL_ROOTS = (*L.ALERTS_E, CHANGE_E, GRAPH_NODES, GRAPH_EDGES, "pg AS MATERIALIZED (SELECT tx_id AS root FROM al)")
+CASE_SQL = """hs AS MATERIALIZED (SELECT DISTINCT root, target AS host FROM pg JOIN ge ON ge.source = pg.root AND relationship = 'BROADCAST_FROM'),
+pe AS (SELECT cm.root, ge.* FROM cm JOIN ge ON ge.source = cm.tx WHERE relationship IN ('RECEIVED', 'BROADCAST_FROM')
+  UNION ALL SELECT cm.root, ge.* FROM cm JOIN ge ON ge.target = cm.tx WHERE relationship = 'SPENT'
   UNION ALL SELECT hs.root, ge.* FROM hs JOIN ge ON ge.source = hs.host WHERE relationship = 'BELONGS_TO')"""
-OWN_SQL = "ct AS (SELECT root, root AS tx FROM pg)"
-PARTNERS_SQL = "ct AS (SELECT root, root AS tx FROM pg UNION SELECT root, CASE WHEN src = root THEN dst ELSE src END FROM im)"
+OWN_SQL = "cm AS (SELECT root, root AS tx FROM pg)"
+PARTNERS_SQL = "cm AS (SELECT root, root AS tx FROM pg UNION SELECT root, CASE WHEN src = root THEN dst ELSE src END FROM im)"
 
 
 def root_nodes(spark, d):
@@ -627,84 +675,111 @@ ex AS (SELECT root, source, target, relationship, 'edge_weights' AS method FROM
   UNION ALL SELECT root, source, target, relationship, 'heuristic_fallback' FROM mn WHERE root NOT IN (SELECT root FROM im))"""
 
 
+def explained_edges(spark, d):
+    found = graph.case_edges(graph_edges(spark, d), alerts(spark, d), important(spark, d))
+    return graph.explained_subgraph(found, root_nodes(spark, d), important(spark, d))
+
+
 @query("g22_explained_subgraph", with_(*ALL_ROOTS, WEIGHTS_SQL, PARTNERS_SQL, CASE_SQL, MINIMAL_SQL, EXPLAINED_SQL, select="SELECT root, source, target, relationship, method FROM ex"))
 def _(spark, d):
-    found = graph.case_edges(L.event_graph(spark, d)[1], alerts(spark, d), important(spark, d))
-    return graph.explained_subgraph(found, root_nodes(spark, d), important(spark, d)).select("root", "source", "target", "relationship", "method")
+    return explained_edges(spark, d).select("root", "source", "target", "relationship", "method")
 
 
-INSIGHTS_SQL = """tg AS (SELECT pe.*, pn.type AS t_type FROM pe JOIN pn ON pn.root = pe.root AND pn.id = pe.target WHERE relationship = 'RECEIVED'),
-gi AS (SELECT root, 'direct_input' AS section, source AS id, amount_sats, us, CAST(NULL AS VARCHAR) AS detail FROM pe WHERE relationship = 'SPENT' AND target = root
-  UNION ALL SELECT root, 'direct_output', target, amount_sats, us, t_type FROM tg WHERE source = root
-  UNION ALL SELECT root, 'exchange_output', target, amount_sats, us, CASE WHEN source = root THEN 'root cashout' ELSE 'from ' || source END FROM tg WHERE t_type = 'exchange'
-  UNION ALL SELECT root, 'network_step', target, NULL, us, CASE WHEN source = root THEN 'root broadcast' ELSE 'linked broadcast from ' || source END FROM pe WHERE relationship = 'BROADCAST_FROM'
-  UNION ALL SELECT root, 'system', id, NULL, NULL, info FROM pn WHERE label = 'ASN')"""
+KEPT_NODES_SQL = "SELECT root, id FROM (SELECT root, source AS id FROM {t} UNION SELECT root, target FROM {t} UNION SELECT root, root FROM pg)"
 
 
-def insights(spark, d):
-    return graph.graph_insights(page_nodes(spark, d), page_edges(spark, d))
+@query("g20_minimal_nodes", with_(*ALL_ROOTS, OWN_SQL, CASE_SQL, MINIMAL_SQL, select=KEPT_NODES_SQL.format(t="mn")))
+def _(spark, d):
+    found = graph.case_edges(graph_edges(spark, d), alerts(spark, d))
+    return graph.kept_nodes(graph.minimal_subgraph(found, root_nodes(spark, d)), alerts(spark, d))
 
 
-@query("g29_graph_insights", with_(*HOPS, INSIGHTS_SQL, select="SELECT root, section, id, amount_sats, us AS ts_us, detail FROM gi"))
+@query("g22_explained_nodes", with_(*ALL_ROOTS, WEIGHTS_SQL, PARTNERS_SQL, CASE_SQL, MINIMAL_SQL, EXPLAINED_SQL, select=KEPT_NODES_SQL.format(t="ex")))
 def _(spark, d):
-    return insights(spark, d).select("root", "section", "id", "amount_sats", us("ts").alias("ts_us"), "detail")
+    return graph.kept_nodes(explained_edges(spark, d), alerts(spark, d))
+
+
+INSIGHTS_SQL = """tg AS (SELECT pe.*, x.type AS t_type FROM pe JOIN nd x ON x.id = pe.target WHERE relationship = 'RECEIVED'),
+gi AS (SELECT root, 'direct_input' AS section, CAST(eid AS VARCHAR) AS eid, source AS id, amount_sats, pe.us, x.entity_id AS detail, source FROM pe JOIN nd x ON x.id = source WHERE relationship = 'SPENT' AND target = root
+  UNION ALL SELECT root, 'direct_output', CAST(eid AS VARCHAR), target, amount_sats, us, t_type, source FROM tg WHERE source = root
+  UNION ALL SELECT root, 'exchange_output', CAST(eid AS VARCHAR), target, amount_sats, us, CASE WHEN source = root THEN 'root cashout' ELSE 'from ' || source END, source FROM tg WHERE t_type = 'exchange'
+  UNION ALL SELECT root, 'network_step', CAST(eid AS VARCHAR), target, NULL, us, CASE WHEN source = root THEN 'root broadcast' ELSE 'linked broadcast from ' || source END, source FROM pe WHERE relationship = 'BROADCAST_FROM'
+  UNION ALL SELECT root, 'system', id, id, NULL, NULL, description, NULL FROM pn WHERE label = 'ASN')"""
 
 
-@query("g29_label_counts", with_(*HOPS, select="""SELECT root, count(*) FILTER (label = 'Transaction') AS transactions, count(*) FILTER (label = 'WalletAddress') AS wallets,
+@query("g29_graph_insights", with_(*BALLS, INSIGHTS_SQL, select=f"""SELECT section, id, amount_sats, us AS ts_us, detail, batch, sha256({BITS_SQL}) AS roots_sha256
+  FROM gi JOIN rn USING (root) GROUP BY section, eid, id, amount_sats, us, detail, batch"""))
+def _(spark, d):
+    """The rows an investigator reads, each once a batch with the alerts that have it."""
+    found = balls.ball_insights(graph_nodes(spark, d), ball_edges(spark, d), reached(spark, d), numbered(spark, d))
+    return found.select("section", "id", "amount_sats", us("ts").alias("ts_us"), "detail", "batch", F.sha2(balls.bits_text(), 256).alias("roots_sha256"))
+
+
+@query("g29_label_counts", with_(*BALLS, select="""SELECT root, count(*) FILTER (label = 'Transaction') AS transactions, count(*) FILTER (label = 'WalletAddress') AS wallets,
   count(*) FILTER (label = 'IPAddress') AS hosts, count(*) FILTER (label = 'ASN') AS systems FROM pn GROUP BY 1"""))
 def _(spark, d):
-    return graph.label_counts(page_nodes(spark, d))
+    names = {"Transaction": "transactions", "WalletAddress": "wallets", "IPAddress": "hosts", "ASN": "systems"}
+    return label_sums(spark, d).groupBy("root").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(v) for k, v in names.items()])
 
 
-@query("g29_relationship_counts", with_(*HOPS, select="SELECT root, relationship, count(*) AS n FROM pe GROUP BY 1, 2"))
+@query("g29_relationship_counts", with_(*BALLS, select="SELECT root, relationship, count(*) AS n FROM pe GROUP BY 1, 2"))
 def _(spark, d):
-    return graph.relationship_counts(page_edges(spark, d))
+    return relationship_sums(spark, d).select("root", F.col("kind").alias("relationship"), "n")
 
 
-@query("g30_exchange_exposure", with_(*HOPS, INSIGHTS_SQL, select="""SELECT pg.root, CAST(coalesce(sum(amount_sats), 0) AS BIGINT) AS exchange_sats, count(gi.id) AS n_exchange_outputs
+@query("g30_exchange_exposure", with_(*BALLS, INSIGHTS_SQL, select="""SELECT pg.root, CAST(coalesce(sum(amount_sats), 0) AS BIGINT) AS exchange_sats, count(gi.id) AS n_exchange_outputs
   FROM pg LEFT JOIN gi ON gi.root = pg.root AND section = 'exchange_output' GROUP BY 1"""))
 def _(spark, d):
-    return graph.exchange_exposure(page_nodes(spark, d), page_edges(spark, d))
+    return balls.ball_exposure(graph_nodes(spark, d), ball_edges(spark, d), numbered(spark, d))
 
 
-@query("w7_head_per_root", with_(*HOPS, INSIGHTS_SQL, select="""SELECT root, section, id, amount_sats, CAST(rank AS INT) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY root ORDER BY id, amount_sats, us, detail) AS rank FROM gi WHERE section = 'exchange_output'
+@query("w7_head_per_root", with_(*BALLS, INSIGHTS_SQL, select="""SELECT root, section, id, amount_sats, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY root ORDER BY id, amount_sats, us, source) AS rank FROM gi WHERE section = 'exchange_output'
     OR (section = 'direct_output' AND root NOT IN (SELECT root FROM gi WHERE section = 'exchange_output'))) WHERE rank <= 8"""))
 def _(spark, d):
-    return graph.money_rows(insights(spark, d)).select("root", "section", "id", "amount_sats", "rank")
+    found = balls.leading_payments(graph_nodes(spark, d), graph_edges(spark, d), steps(spark, d), alerts(spark, d))
+    return found.select("root", "section", "id", "amount_sats", "rank")
 
 
-@query("w6_top_suspicious", with_(*HOPS, select="""SELECT root, id, threat_score, CAST(rank AS INT) AS rank FROM (SELECT pn.root, pn.id, al.threat_score,
-  row_number() OVER (PARTITION BY pn.root ORDER BY coalesce(al.threat_score, 0) DESC, pn.id) AS rank FROM pn LEFT JOIN al ON al.tx_id = pn.id WHERE label = 'Transaction') WHERE rank <= 10"""))
+@query("w6_top_suspicious", with_(*BALLS, select="""SELECT root, id, threat_score, CAST(rank AS INT) AS rank FROM (SELECT root, id, threat_score,
+  row_number() OVER (PARTITION BY root ORDER BY coalesce(threat_score, 0) DESC, id) AS rank FROM pn WHERE label = 'Transaction') WHERE rank <= 10"""))
 def _(spark, d):
-    return graph.top_suspicious(page_nodes(spark, d), 10).select("root", "id", "threat_score", "rank")
+    order = [F.desc(F.coalesce("threat_score", F.lit(0))), F.col("id")]
+    return balls.leading_transactions(graph_nodes(spark, d), steps(spark, d), alerts(spark, d), order, 10).select("root", "id", "threat_score", "rank")
 
 
-@query("w5_timeline", with_(*HOPS, select="""SELECT root, id, CAST(row_number() OVER (PARTITION BY root ORDER BY us, id) AS INT) AS step FROM (SELECT pn.root, pn.id, e.us,
-  row_number() OVER (PARTITION BY pn.root ORDER BY us DESC, pn.id DESC) AS back FROM pn JOIN e ON e.tx_id = pn.id WHERE pn.label = 'Transaction') WHERE back <= 7"""))
+@query("w5_timeline", with_(*BALLS, select="""SELECT root, id, CAST(row_number() OVER (PARTITION BY root ORDER BY us, id) AS INT) AS step FROM (SELECT root, id, us,
+  row_number() OVER (PARTITION BY root ORDER BY us DESC, id DESC) AS back FROM pn WHERE label = 'Transaction') WHERE back <= 7"""))
 def _(spark, d):
-    return graph.timeline(page_nodes(spark, d)).select("root", "id", "step")
+    last = balls.leading_transactions(graph_nodes(spark, d), steps(spark, d), alerts(spark, d), [F.desc("ts"), F.desc("id")], 7)
+    return graph.head_per_root(last.drop("rank"), [F.col("ts"), F.col("id")], 7, "step").select("root", "id", "step")
 
 
 # ---------------------------------------------------------------- evidence tables and audit
 
 
 def evidence_rows(spark, d):
-    page = scoring.rank_alerts(alerts(spark, d)).select("tx_id")
     return memo(
         spark, ("evidence", d),
-        lambda: materialize(evidence.evidence(explained(spark, d).join(page, "tx_id", "left_semi"), hashes(spark, d)), "evidence"),
+        lambda: materialize(evidence.evidence(explained(spark, d), hashes(spark, d), explained_edges(spark, d)), "evidence"),
     )
 
 
-PAGE = (*HOPS, TERMS_SQL, "pt AS (SELECT al.* FROM al JOIN pg ON pg.root = al.tx_id)")
+XAI_SQL = _combine_sql("xs", "xr") + """,
+xm AS (SELECT root, max(method) AS method, count(*) AS n FROM ex GROUP BY 1), xn AS (SELECT root, count(*) AS n FROM (""" + KEPT_NODES_SQL.format(t="ex") + ") GROUP BY 1)"
+XAI_ROWS_SQL = f"""xr AS (SELECT root AS id, sha256({EDGE_ELEMENT}) AS h FROM xe)"""
+# The explained subgraph again, with all columns of its links.
+XAI_EDGES_SQL = """xe AS MATERIALIZED (SELECT pb.* FROM pb SEMI JOIN ex ON ex.root = pb.root AND ex.source = pb.source AND ex.target = pb.target AND ex.relationship = pb.relationship)"""
+EVIDENCE_SQL = (*ALL_NODES, WEIGHTS_SQL, PARTNERS_SQL, CASE_SQL, MINIMAL_SQL, EXPLAINED_SQL, XAI_EDGES_SQL, XAI_ROWS_SQL, XAI_SQL, TERMS_SQL, _digests_sql())
 
 
-@query("e6_evidence", with_(*PAGE, ELEMENTS_SQL, HASH_SQL, select=f"""SELECT pt.tx_id, pt.threat_score AS overall_threat_score, string_agg({LABEL_SQL} || '=' || points, ';' ORDER BY place) AS breakdown,
-  any_value((SELECT sha256(h || '|' || {ISO_SQL} || '|' || pt.tx_id) FROM hd WHERE hd.root = pt.tx_id)) AS chain_of_custody_hash FROM pt JOIN cx USING (tx_id) GROUP BY pt.tx_id, pt.threat_score"""))
+@query("e6_evidence", with_(*EVIDENCE_SQL, select=f"""SELECT al.tx_id, al.threat_score AS overall_threat_score, string_agg({LABEL_SQL} || '=' || points, ';' ORDER BY place) AS breakdown,
+  any_value(hd.h) AS chain_of_custody_hash, any_value(xm.method) AS xai_method, any_value(xn.n) AS xai_nodes, any_value(xm.n) AS xai_edges, any_value(xs.h) AS xai_sha256
+  FROM al JOIN cx USING (tx_id) JOIN hd USING (tx_id) LEFT JOIN xm ON xm.root = al.tx_id LEFT JOIN xn ON xn.root = al.tx_id LEFT JOIN xs ON xs.id = al.tx_id GROUP BY al.tx_id, al.threat_score"""))
 def _(spark, d):
     parts = F.transform("xai_breakdown", lambda x: F.concat(x["feature"], F.lit("="), x["contribution_percentage"].cast("int").cast("string")))
-    return evidence_rows(spark, d).select("tx_id", "overall_threat_score", F.array_join(parts, ";").alias("breakdown"), "chain_of_custody_hash")
+    xai = [F.col(f"xai_subgraph.{k}").alias(f"xai_{k}") for k in ("method", "nodes", "edges", "sha256")]
+    return evidence_rows(spark, d).select("tx_id", "overall_threat_score", F.array_join(parts, ";").alias("breakdown"), "chain_of_custody_hash", *xai)
 
 
 @query("j14_investigate", with_(*L.ALERTS_E, TERMS_SQL, select=f"""SELECT pt.tx_id, pt.risk_level, round(pt.threat_score / 100.0::DOUBLE, 6) AS risk_score, 'suspicious' AS prediction,
@@ -720,40 +795,99 @@ def _(spark, d):
     return links.unflagged(L.event_ledger(spark, d).tx, explained(spark, d)).select("tx_id")
 
 
-@query("s15_case_files", with_(*PAGE, select="""SELECT pt.tx_id, 'dossier_' || pt.tx_id AS file_name, pt.threat_score, pt.primary_anomaly, (SELECT count(*) FROM pn WHERE pn.root = pt.tx_id) AS n_nodes,
-  (SELECT count(*) FROM pe WHERE pe.root = pt.tx_id) AS n_edges, CAST(least(24, (SELECT count(*) FROM pn WHERE pn.root = pt.tx_id)) AS INT) AS n_selected_nodes,
-  CAST(least(32, (SELECT count(*) FROM pe WHERE pe.root = pt.tx_id)) AS INT) AS n_selected_edges FROM pt"""))
-def _(spark, d):
-    page = scoring.rank_alerts(alerts(spark, d))
-    return evidence.case_files(page, evidence_rows(spark, d), payload(spark, d)).select(
-        "tx_id", "file_name", "threat_score", "primary_anomaly", "n_nodes", "n_edges",
-        F.size("selected_nodes").alias("n_selected_nodes"), F.size("selected_edges").alias("n_selected_edges"),
-    )
-
-
-def _failures(spark, d):
-    page = scoring.rank_alerts(alerts(spark, d))
-    return (
-        audit_graph(page, page_nodes(spark, d), page_edges(spark, d)),
-        audit_evidence(page, evidence_rows(spark, d), hashes(spark, d)),
+@query("s15_case_files", with_(*EVIDENCE_SQL[:-1], _balls_sql(links="pq"), _digests_sql(), select=f"""SELECT al.tx_id, 'dossier_' || al.tx_id AS file_name, threat_score, al.risk_level, primary_anomaly, {ISO_SQL} AS timestamp, n_nodes, n_edges, hd.h AS chain_of_custody_hash,
+    xm.method AS explained_by, selected_nodes, selected_edges, attribution FROM al JOIN hd USING (tx_id) JOIN xm ON xm.root = al.tx_id
+  JOIN (SELECT root, count(*) AS n_nodes, string_agg({NODE_ELEMENT}, chr(10) ORDER BY id) FILTER (nth <= 24) AS selected_nodes FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY id) AS nth FROM pn) GROUP BY 1) a ON a.root = tx_id
+  JOIN (SELECT root, count(*) AS n_edges, string_agg({EDGE_ELEMENT}, chr(10) ORDER BY nth) FILTER (nth <= 32) AS selected_edges FROM (
+      SELECT *, row_number() OVER (PARTITION BY root ORDER BY source, target, relationship, amount_sats NULLS FIRST, us NULLS FIRST, {EDGE_ELEMENT}) AS nth FROM pq) GROUP BY 1) b ON b.root = tx_id
+  JOIN (SELECT tx_id, string_agg({LABEL_SQL} || '=' || points, chr(10) ORDER BY place) AS attribution FROM cx GROUP BY 1) c USING (tx_id)"""))
+def _(spark, d):
+    """Reports of all alerts, with the text of the leading nodes and links."""
+    nodes = balls.leading_nodes(graph_nodes(spark, d), graph_edges(spark, d), steps(spark, d), alerts(spark, d), evidence.REPORT_NODES)
+    lines = balls.leading_edges(graph_edges(spark, d), reached(spark, d), numbered(spark, d), evidence.REPORT_EDGES)
+    counts = label_sums(spark, d).groupBy("root").agg(F.sum("n").alias("n_nodes")).join(relationship_sums(spark, d).groupBy("root").agg(F.sum("n").alias("n_edges")), "root", "left")
+    files = evidence.case_reports(alerts(spark, d), evidence_rows(spark, d), counts, nodes, lines)
+    points = F.transform("xai_breakdown", lambda x: F.concat(x["feature"], F.lit("="), x["contribution_percentage"].cast("int").cast("string")))
+    attribution = evidence_rows(spark, d).select("tx_id", F.array_join(points, "\n").alias("attribution"))
+    texts = [F.array_join(F.transform(c, lambda x: x["element"]), "\n").alias(c) for c in ("selected_nodes", "selected_edges")]
+    return files.drop("attribution").join(attribution, "tx_id").select(
+        "tx_id", "file_name", "threat_score", "risk_level", "primary_anomaly", "timestamp", "n_nodes", "n_edges", "chain_of_custody_hash", "explained_by", *texts, "attribution"
     )
 
 
-@query("q1_audit_graph", with_(*HOPS, select="""SELECT root AS tx_id, 'missing node labels' AS failure, 4 - count(DISTINCT label) AS n FROM pn GROUP BY 1 HAVING count(DISTINCT label) < 4
-  UNION ALL SELECT root, 'missing edge types', 4 - count(DISTINCT relationship) FROM pe GROUP BY 1 HAVING count(DISTINCT relationship) < 4"""))
-def _(spark, d):
-    return _failures(spark, d)[0]
+# A store in which some rows were damaged after the evidence was written: transactions without risk or links, broadcasts without a
+# port, and evidence rows that are gone, have another score or another hash.
+EVENT_SQL = "CAST(substr({c}, 4) AS BIGINT)"
+BROKEN_SQL = f"""bt AS MATERIALIZED (SELECT tx_id FROM e WHERE event_id % 97 = 5),
+nx AS MATERIALIZED (SELECT * REPLACE (CASE WHEN label = 'Transaction' AND {EVENT_SQL.format(c="id")} % 50 = 7 THEN NULL ELSE risk END AS risk) FROM nd),
+ex0 AS (SELECT * FROM ed ANTI JOIN bt ON bt.tx_id = ed.source),
+ex1 AS MATERIALIZED (SELECT * REPLACE (CASE WHEN relationship = 'BROADCAST_FROM' AND {EVENT_SQL.format(c="source")} % 60 = 9 THEN NULL ELSE dst_port END AS dst_port) FROM ex0 ANTI JOIN bt ON bt.tx_id = ex0.target)"""
 
 
-@query("q2_audit_evidence", with_(*PAGE, select="SELECT tx_id, 'contributions do not add up' AS failure, 1::BIGINT AS n FROM pt WHERE threat_score <> (SELECT sum(points) FROM cx WHERE cx.tx_id = pt.tx_id)"))
-def _(spark, d):
-    return _failures(spark, d)[1]
-
+def stored(spark, d, broken: bool):
+    """(nodes, edges, evidence) as tables on disk, the damaged ones if asked."""
 
-@query("q3_audit_summary", with_(*HOPS, select="SELECT 'success' AS status, (SELECT count(*) FROM e) AS transactions, (SELECT count(*) FROM pg) AS alerts_audited, 0::BIGINT AS failures"))
-def _(spark, d):
-    page = scoring.rank_alerts(alerts(spark, d))
-    return audit_summary(L.event_ledger(spark, d).tx, page, *_failures(spark, d))
+    def build():
+        nodes, edges, rows = graph_nodes(spark, d), graph_edges(spark, d), evidence_rows(spark, d)
+        if not broken:
+            return nodes, edges, rows
+        event = lambda c: F.try_element_at(F.split(c, "_"), F.lit(2)).cast("bigint")
+        gone = lambda c: F.col(c).startswith("tx_") & (event(c) % 97 == 5)
+        nodes = nodes.withColumn("risk", F.when((F.col("label") == "Transaction") & (event("id") % 50 == 7), F.lit(None)).otherwise(F.col("risk")))
+        no_port = (F.col("relationship") == "BROADCAST_FROM") & (event("source") % 60 == 9)
+        edges = edges.filter(~gone("source") & ~gone("target")).withColumn("dst_port", F.when(no_port, F.lit(None)).otherwise(F.col("dst_port")))
+        n = event("tx_id") % 31
+        rows = rows.filter(n != 4).withColumns({
+            "overall_threat_score": F.when(n == 6, F.col("overall_threat_score") + 1).otherwise(F.col("overall_threat_score")),
+            "chain_of_custody_hash": F.when(n == 8, F.lit("ff")).otherwise(F.col("chain_of_custody_hash")),
+        })
+        return materialize(nodes, "stored_nodes"), materialize(edges, "stored_edges"), materialize(rows, "stored_evidence")
+
+    return memo(spark, ("stored", d, broken), build)
+
+
+def _failures(spark, d, broken: bool):
+    nodes, edges, rows = stored(spark, d, broken)
+    roots = numbered(spark, d)
+    near = balls.reach(balls.bit_balls(nodes, edges, roots)) if broken else reached(spark, d)
+    shapes = balls.ball_shapes(nodes, edges, near, roots)
+    return audit_shapes(alerts(spark, d), *shapes), audit_evidence(alerts(spark, d), rows, balls.custody_digests(nodes, edges, alerts(spark, d)))
+
+
+BROKEN_BALLS = (*ALL_NODES, BROKEN_SQL, _balls_sql("nx", "ex1"))
+SHAPE_FAILURES_SQL = """q1 AS MATERIALIZED (SELECT root AS tx_id, unnest([{f: 'no nodes', n: CAST(coalesce(nn, 0) = 0 AS BIGINT)}, {f: 'no edges', n: CAST(coalesce(ne, 0) = 0 AS BIGINT)}, {f: 'missing node labels', n: 4 - coalesce(nl, 0)},
+    {f: 'missing edge types', n: 4 - coalesce(nr, 0)}, {f: 'not exactly one root', n: CAST(coalesce(own, 0) <> 1 AS BIGINT)}, {f: 'root fields missing', n: coalesce(CAST(holes AS BIGINT), 0)}, {f: 'edge fields missing', n: coalesce(CAST(bad AS BIGINT), 0)}]) AS x
+  FROM pg LEFT JOIN (SELECT root, count(*) AS nn, count(DISTINCT label) AS nl, count(*) FILTER (id = root) AS own, sum(CASE WHEN id = root THEN CAST(risk IS NULL AS INT) + CAST(threat_score IS NULL AS INT) END) AS holes FROM pn GROUP BY 1) USING (root)
+  LEFT JOIN (SELECT root, count(*) AS ne, count(DISTINCT relationship) AS nr, sum(CAST(relationship <> 'BELONGS_TO' AND (us IS NULL OR (relationship = 'BROADCAST_FROM' AND (src_port IS NULL OR dst_ip IS NULL OR dst_port IS NULL))
+    OR (relationship <> 'BROADCAST_FROM' AND amount_sats IS NULL)) AS INT)) AS bad FROM pe GROUP BY 1) USING (root))"""
+EVIDENCE_FAILURES_SQL = f"""q2 AS MATERIALIZED (SELECT tx_id, unnest([{{f: 'missing evidence', n: CAST(m = 4 AS BIGINT)}}, {{f: 'score differs from alert', n: CAST(m = 6 AS BIGINT)}}, {{f: 'contributions do not add up', n: CAST(m = 6 AS BIGINT)}},
+    {{f: 'hash is not 64 hex digits', n: CAST(m = 8 AS BIGINT)}}, {{f: 'hash does not match the subgraph', n: CAST(m <> 4 AND (m = 8 OR hd.h <> hx.h) AS BIGINT)}}]) AS x
+  FROM (SELECT tx_id, {EVENT_SQL.format(c="tx_id")} % 31 AS m FROM al) JOIN hd USING (tx_id) JOIN hx USING (tx_id))"""
+
+
+@query("q1_audit_graph", with_(*BROKEN_BALLS, SHAPE_FAILURES_SQL, select="SELECT tx_id, x.f AS failure, x.n AS n FROM q1 WHERE x.n > 0"))
+def _(spark, d):
+    """Shape failures of the damaged store, for all alerts."""
+    return _failures(spark, d, True)[0]
+
+
+@query("q2_audit_evidence", with_(*ALL_NODES, BROKEN_SQL, _digests_sql(), _digests_sql("hx", "nx", "ex1"), EVIDENCE_FAILURES_SQL, select="SELECT tx_id, x.f AS failure, x.n AS n FROM q2 WHERE x.n > 0"))
+def _(spark, d):
+    """Evidence failures of the damaged store, for all alerts."""
+    return _failures(spark, d, True)[1]
+
+
+@query("q3_audit_summary", with_(
+    *BROKEN_BALLS, SHAPE_FAILURES_SQL, _digests_sql(), _digests_sql("hx", "nx", "ex1"), EVIDENCE_FAILURES_SQL,
+    """good AS (SELECT root, count(DISTINCT relationship) AS r, count(*) FILTER (relationship <> 'BELONGS_TO' AND us IS NULL) AS b FROM (SELECT pg.root, relationship, us FROM pg LEFT JOIN ed ON ed.source = pg.root OR ed.target = pg.root) GROUP BY 1)""",
+    select="""SELECT store, CASE WHEN failures = 0 THEN 'success' ELSE 'error' END AS status, (SELECT count(*) FROM e) AS transactions, (SELECT count(*) FROM al) AS alerts_audited, failures FROM (
+  SELECT 'damaged' AS store, CAST((SELECT sum(x.n) FROM q1) + (SELECT sum(x.n) FROM q2) AS BIGINT) AS failures
+  UNION ALL SELECT 'intact', (SELECT count(*) FROM good WHERE b > 0) + (SELECT count(*) FROM al WHERE threat_score IS NULL OR risk_level IS NULL OR primary_anomaly IS NULL))"""))
+def _(spark, d):
+    """Both audits of the intact and of the damaged store."""
+    tx = L.event_ledger(spark, d).tx
+    rows = [audit_summary(tx, alerts(spark, d), *_failures(spark, d, broken)).select(F.lit(name).alias("store"), "*") for name, broken in (("intact", False), ("damaged", True))]
+    return rows[0].unionAll(rows[1])
 
 
 @query("n17_sats_to_btc", with_(L.O, select="SELECT tx_id, address, sum(amount_sats) / 1e8 AS btc FROM rc GROUP BY 1, 2"))
