@@ -75,13 +75,17 @@ def entities(spends: DataFrame, receipts: DataFrame | None = None) -> DataFrame:
     )
 
 
-def communities(nodes: DataFrame, edges: DataFrame, max_iter: int = 5) -> DataFrame:
-    """(txId, time_step, label): synchronous label propagation inside every time step.
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(txId, time_step, label): synchronous label propagation inside every time step, until it settles.
 
-    Each node takes the most frequent label among its neighbours and itself, the smallest of equals.
-    Votes are counted per (node, label) with map-side combining before the winner is picked, so a hub
-    contributes its distinct labels and not its edges. Labels never leave a step because only edges
-    inside one step take part; isolated nodes keep their own label."""
+    Each node takes the most frequent label among its neighbours and itself, the smallest of equals. Votes are symmetric and
+    all nodes prefer labels in one order, so the rounds end in a state that repeats itself or in two states that
+    alternate; there is no bound on their number. A node of alternating states takes the smaller of its two labels.
+
+    Only nodes next to a change of the last round, or changed themselves, vote anew, so settled regions cost no votes. Votes are
+    counted per (node, label) with map-side combining before the winner is picked, so a hub contributes its distinct labels
+    and not its edges. Labels never leave a step because only edges inside one step take part; isolated nodes keep their
+    own label."""
     steps = nodes.select("txId", "time_step")
     inside = (
         edges.select("source", "target")
@@ -92,26 +96,29 @@ def communities(nodes: DataFrame, edges: DataFrame, max_iter: int = 5) -> DataFr
     links = inside.select("source", "target").unionAll(
         inside.select(F.col("target").alias("source"), F.col("source").alias("target"))
     )
-    links = materialize(links.distinct(), "links")
-    labels = materialize(steps.withColumn("label", F.col("txId")), "labels")
-    for _ in range(max_iter):
-        votes = links.join(labels.select(F.col("txId").alias("source"), "label"), "source").select(
-            F.col("target").alias("txId"), "label"
-        )
-        counted = votes.unionAll(labels.select("txId", "label")).groupBy("txId", "label").agg(F.count("*").alias("n"))
-        winner = counted.groupBy("txId").agg(
-            F.max(F.struct(F.col("n"), (-F.col("label")).alias("neg"))).alias("w")
-        )
-        fresh = materialize(
-            labels.select("txId", "time_step", F.col("label").alias("old"))
-            .join(winner.select("txId", (-F.col("w.neg")).alias("label")), "txId"),
+    # A node votes for itself too.
+    ends = links.distinct()
+    links = materialize(ends.unionAll(ends.select("target", "target").distinct()), "links")
+    # before: the label of the round before; 0 or 1 rounds ago there is none.
+    state = materialize(steps.select("txId", "time_step", F.col("txId").alias("label"), F.lit(None).cast("bigint").alias("before")), "labels")
+    while True:
+        votes = links.join(state.select(F.col("txId").alias("source"), "label"), "source")
+        if "moved" in state.columns:
+            active = links.join(state.filter("moved").select(F.col("txId").alias("source")), "source", "left_semi").select("target").distinct()
+            votes = votes.join(active, "target", "left_semi")
+        counted = votes.groupBy(F.col("target").alias("txId"), "label").agg(F.count("*").alias("n"))
+        winner = counted.groupBy("txId").agg(F.max(F.struct(F.col("n"), (-F.col("label")).alias("neg"))).alias("w"))
+        fresh = F.coalesce(-F.col("w.neg"), F.col("label"))
+        state = materialize(
+            state.select("txId", "time_step", "label", "before").join(winner, "txId", "left").select(
+                "txId", "time_step", fresh.alias("label"), F.col("label").alias("before"), (fresh != F.col("label")).alias("moved"),
+                (~fresh.eqNullSafe(F.col("before"))).alias("new"),
+            ),
             "labels",
         )
-        settled = fresh.filter("old <> label").isEmpty()
-        labels = fresh.drop("old")
-        if settled:
-            break
-    return labels
+        # Every label is the one of two rounds ago: the next round would be the last one again.
+        if state.filter("new").isEmpty():
+            return state.select("txId", "time_step", F.least("label", "before").alias("label"))
 
 
 def community_ids(labels: DataFrame) -> DataFrame:

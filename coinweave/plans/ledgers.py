@@ -157,27 +157,16 @@ vr AS (SELECT l_orderkey AS source, l_orderkey + 49 * l_linenumber AS target,
     max(CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))) AS amount_sats
   FROM lineitem GROUP BY 1, 2),
 ve AS (SELECT vr.* FROM vr WHERE source IN (SELECT txId FROM vn) AND target IN (SELECT txId FROM vn))"""
-COMMUNITY_ROUNDS = 4
-
-
-def _communities_sql() -> str:
-    parts = [
-        "vl AS (SELECT DISTINCT source, target FROM (SELECT source, target FROM ve UNION ALL SELECT target, source FROM ve) WHERE source <> target)",
-        "c0 AS (SELECT txId, time_step, txId AS label FROM vn)",
-    ]
-    for i in range(COMMUNITY_ROUNDS):
-        parts.append(
-            f"c{i + 1} AS (SELECT txId, time_step, label FROM (SELECT v.txId, n.time_step, v.label, row_number() OVER "
-            f"(PARTITION BY v.txId ORDER BY count(*) DESC, v.label) AS r FROM (SELECT vl.target AS txId, label FROM vl JOIN c{i} ON c{i}.txId = vl.source "
-            f"UNION ALL SELECT txId, label FROM c{i}) v JOIN vn n ON n.txId = v.txId GROUP BY 1, 2, 3) WHERE r = 1)"
-        )
-    parts.append(
-        f"cl AS (SELECT txId, time_step, label, dense_rank() OVER (ORDER BY time_step, label) - 1 AS cioh_cluster_id FROM c{COMMUNITY_ROUNDS})"
-    )
-    return ",\n".join(parts)
-
-
-COMMUNITIES = _communities_sql()
+# Rounds go on until a state equals the one two rounds before; alternating nodes take the smaller label.
+COMMUNITIES = """vs AS MATERIALIZED (SELECT DISTINCT source, target FROM (SELECT source, target FROM ve UNION ALL SELECT target, source FROM ve) WHERE source <> target),
+vl AS MATERIALIZED (SELECT source, target FROM vs UNION ALL SELECT txId, txId FROM vn),
+cr AS (SELECT 0 AS round, txId, txId AS label, CAST(NULL AS BIGINT) AS before FROM vn
+  UNION ALL SELECT round + 1, txId, fresh, label FROM (SELECT *, max(CAST(fresh IS DISTINCT FROM before AS INT)) OVER () AS news FROM (
+    SELECT c.round, c.txId, c.label, c.before, w.label AS fresh FROM cr c JOIN (
+      SELECT vl.target AS txId, x.label, row_number() OVER (PARTITION BY vl.target ORDER BY count(*) DESC, x.label) AS r
+      FROM vl JOIN cr x ON x.txId = vl.source GROUP BY 1, 2) w ON w.txId = c.txId AND w.r = 1)) WHERE news = 1),
+cl AS MATERIALIZED (SELECT txId, time_step, least(label, before) AS label, dense_rank() OVER (ORDER BY time_step, least(label, before)) - 1 AS cioh_cluster_id
+  FROM cr JOIN vn USING (txId) WHERE round = (SELECT max(round) FROM cr))"""
 HUBS = """cs AS (SELECT cioh_cluster_id, count(*) AS size FROM cl GROUP BY 1),
 hb AS (SELECT cioh_cluster_id, size, CAST(size >= (SELECT quantile_cont(size, 0.995) FROM cs) AS INT) AS is_vasp_excluded_cluster FROM cs)"""
 CHANGES_V = """vf AS (SELECT ve.*, CAST(coalesce(a.cioh_cluster_id = b.cioh_cluster_id, false) AND amount_sats % 1000000 <> 0 AS INT) AS is_change_output

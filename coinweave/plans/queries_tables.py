@@ -481,7 +481,7 @@ def _(spark, d):
 
 def labels_plan(spark, d):
     nodes, edges = L.order_graph(spark, d)
-    return components.communities(nodes, edges, L.COMMUNITY_ROUNDS)
+    return components.communities(nodes, edges)
 
 
 def labels(spark, d):

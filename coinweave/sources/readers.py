@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coinweave.functions import normalize as N
+from coinweave.session import materialize, scratch_path
+from coinweave.sources.cutting import csv_records, json_records
 
 
 class MalformedInput(ValueError):
@@ -18,9 +20,24 @@ class MalformedInput(ValueError):
 def read_csv(spark: SparkSession, path: str, quoted_newlines: bool = True) -> DataFrame:
     """Header CSV; all columns stay text so that large integers reach the exact parsers untouched.
 
-    Cells may hold line breaks, for which every file is read by one task; large files without such cells
-    are read in parts with ``quoted_newlines=False``."""
-    return spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=quoted_newlines, mode="FAILFAST")
+    Cells may hold line breaks; files are cut at record borders and read in parts all the same (``sources/cutting.py``). Files
+    known to have no such cells skip that scan with ``quoted_newlines=False``."""
+    if not quoted_newlines:
+        return spark.read.csv(path, header=True, inferSchema=False, escape='"', mode="FAILFAST")
+    records = materialize(csv_records(spark, path), "csv_records")
+    first = Window.partitionBy("file").orderBy("start", "at")
+    heads = records.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("file", "start", "at", "record")
+    head = heads.orderBy("file").select("record").head()
+    if head is None:
+        return spark.createDataFrame([], T.StructType([]))
+    # The reader itself names the columns, and refuses files with another header.
+    named = spark.read.csv(spark.sparkContext.parallelize([head["record"]], 1), header=True, escape='"').schema
+    if not heads.filter(F.col("record") != head["record"]).isEmpty():
+        raise MalformedInput("the files have different header lines")
+    rows = records.join(F.broadcast(heads.select("file", "start", "at")), ["file", "start", "at"], "left_anti")
+    schema = ", ".join(f"`c{i}` string" for i in range(len(named)))
+    cells = F.from_csv("record", schema, {"escape": '"', "mode": "FAILFAST"})
+    return rows.select(cells.alias("c")).select(*[F.col(f"c.c{i}").alias(f.name) for i, f in enumerate(named)])
 
 
 def _exact_numbers(df: DataFrame) -> DataFrame:
@@ -38,8 +55,10 @@ def _exact_numbers(df: DataFrame) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of objects or one JSON object per file. Primitives are read as their source text."""
-    return _exact_numbers(spark.read.json(path, multiLine=True, primitivesAsString=True, mode="FAILFAST"))
+    """A JSON array of objects or one JSON object per file, read in parts. Primitives are read as their source text."""
+    lines = scratch_path(spark, "json_records")
+    json_records(spark, path).select("record").write.text(lines)
+    return read_ndjson(spark, lines)
 
 
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
