@@ -297,14 +297,14 @@ def _prepare(docs: DataFrame, texts: dict[int, bytes]) -> Items:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and benchmark item found in it: doc_id, item_id, cosine, share, answer_found,
-    start (word of the window). ``docs`` has doc_id and text, ``benchmark`` item_id and text, both any others.
+    """One row per document and benchmark item found in it: doc_id, text_hash (xxhash64 of the text; with the id it names the
+    document), item_id, cosine, share, answer_found, start (word of the window). ``docs`` has doc_id and text, ``benchmark`` item_id and text, both any others.
 
     Windows of 8, 16 or 32 words (as the items have) of every whole text are compared with the benchmark's passages in a latent space: a
     randomised SVD of the TF-IDF matrix of each RANK passages, document frequencies from all of ``docs``. Candidates of
     enough cosine, or that cover enough of a passage, are checked against the item's words: the longest common subsequence with the span where
     the item would lie, and the item's last sentence as its answer. Texts or items that are null or have no
-    word match nothing, and so do rows without id; repeated rows count once; items under eight words must
+    word match nothing; a null id is an id like any other; rows that agree in id and text count once; items under eight words must
     occur word by word. The benchmark is the query set: it is read in blocks of bounded size, each block
     broadcast, and documents are neither shuffled nor joined."""
     ship(docs.sparkSession)
@@ -317,12 +317,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = _search(docs, items)
         out = found if out is None else out.unionAll(found)
     if out is None:
-        return docs.select(F.col("doc_id").cast("long")).limit(0).select("doc_id", *[F.lit(None).cast(t).alias(n) for n, t in _FOUND[1:]])
+        return docs.limit(0).select(F.col("doc_id").cast("long").alias("doc_id"), *[F.lit(None).cast(t).alias(n) for n, t in _FOUND[1:]])
     best = F.max_by(F.struct("cosine", "share", "answer_found", "start"), F.struct("share", "cosine", -F.col("start"))).alias("b")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
+    return out.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "b.*")
 
 
-_FOUND = [("doc_id", "long"), ("item_id", "long"), ("cosine", "double"), ("share", "double"), ("answer_found", "boolean"), ("start", "long")]
+_FOUND = [("doc_id", "long"), ("text_hash", "long"), ("item_id", "long"), ("cosine", "double"), ("share", "double"), ("answer_found", "boolean"), ("start", "long")]
 
 
 def _blocks(items: DataFrame) -> Iterator[dict[int, bytes]]:
@@ -350,17 +350,18 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
         items = shared.value
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())):
+            for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text").cast(pa.binary())):
                 words = normal_words(text.as_py())
                 best: dict[int, tuple] = {}
                 for item, offset, start, cosine in items.candidates(words) if words else ():
                     share, answered, bad = items.verdict(item, offset, start, words)
                     if bad and (item not in best or (share, cosine) > best[item][:2]):
                         best[item] = share, cosine, answered, start
-                rows.extend((doc_id, item, cosine, share, answered, start) for item, (share, cosine, answered, start) in best.items())
-            columns = zip(*rows) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()]
+                rows.extend((doc_id, text_hash, item, cosine, share, answered, start) for item, (share, cosine, answered, start) in best.items())
+            columns = zip(*rows) if rows else [[]] * len(_FOUND)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[n for n, _ in _FOUND])
 
-    slim = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
     return map_arrow(slim, run, ", ".join(f"{n} {t}" for n, t in _FOUND))

@@ -29,8 +29,14 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def letters(text: str | None) -> list[str]:
-    """Lower-case runs of letters."""
-    return _WORDS.findall(text.lower()) if text else []
+    """Lower-case runs of letters; number signs such as \u00bd, \u00b2 or \u2167 are none."""
+    words = _WORDS.findall(text.lower()) if text else []
+    if not text or text.isascii():
+        return words
+    out = []
+    for w in words:
+        out.extend([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())
+    return out
 
 
 def padded(word: str) -> str:

@@ -14,7 +14,7 @@ from coinweave.llm import packing
 from coinweave.llm.common import crc_mod, mix, power_threshold, split_words, word_hashes
 from coinweave.llm.decontam import COSINE, Items, _prepare, common_subsequence, contaminated, latent_terms
 from coinweave.llm.html_render import extract_text, render
-from coinweave.llm.langid import fit, identify
+from coinweave.llm.langid import fit, identify, letters
 from coinweave.llm.lm_scoring import codes_of, fit_tree, score_texts, stream_of
 from coinweave.llm.token_counts import attribute, encoding, section_tokens
 from coinweave.llm.tokens import WordEncoder, vocabulary
@@ -237,6 +237,24 @@ def test_latent_search_recall_against_brute_force(spark):
     assert total > 20 and hits >= 0.9 * total
 
 
+def test_documents_are_named_by_id_and_text(spark, tmp_path):
+    rng = random.Random(21)
+    item = " ".join(words(rng, 40, 900))
+    other = [" ".join(words(rng, 60, 900)) for _ in range(30)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, t) for i, t in enumerate(other)] + [(None, item + " " + other[0]), (3, other[1] + " " + item), (None, None), (None, other[2]), (50, "")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, __d string, text_hash int")
+    found = contaminated(docs, spark.read.parquet(str(tmp_path / "benchmark.parquet"))).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.item_id) for r in found) == [(False, 3, 1), (True, None, 1)]
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    kept = corpus_pipeline.keep_uncontaminated(spark, docs.drop("__d"), str(tmp_path))
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, rows[:30] + rows[32:]))
+
+
+def test_number_signs_are_no_letters():
+    assert letters("\u00b2 \u00bd \u2167 \u2460") == [] and letters("a\u00bdb \u00c9t\u00e9 x1") == ["a", "b", "\u00e9t\u00e9", "x"]
+
+
 def test_verbatim_copies_of_a_large_benchmark_are_found(spark):
     rng = random.Random(4)
     # Few common words and many rare ones, as in texts.
