@@ -7,7 +7,9 @@ itself. Sums over that union are computed in two exact parts:
   times the number of incidences, each counted at one wallet only and summed inside the join's task;
 * heavy wallets: transactions with the same set of heavy wallets form one *unit*. For units with at
   most ``MAX_SUBSET`` heavy wallets the union is an inclusion-exclusion over subset sums, one aggregated
-  row per subset and no pairs. Wider units are rare and are paired explicitly, unit by unit.
+  row per subset and no pairs. Transactions with more heavy wallets are one unit if their sets are equal; the
+  units such a wide unit meets are a bitmap over numbered units, the union of its wallets' bitmaps, and sums over
+  them are products of bits and values. So wide sets make no pairs either.
 
 A light pair that also shares a heavy wallet is dropped from the first part, so nothing counts twice.
 """
@@ -16,14 +18,19 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coinweave.operators.ordering import row_number
 from coinweave.session import materialize
 
 HEAVY_DEGREE = 64
 MAX_SUBSET = 8
 MAX_LIGHT_SET = 32
+#: Units to a bitmap (Spark's bitmap functions), and wide units that are multiplied with one bitmap's units at a time.
+BITMAP_UNITS, WIDE_CHUNK = 32_768, 1024
 
 
 def incidence(spends: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -58,7 +65,9 @@ class Links(NamedTuple):
     light: DataFrame
     sets: DataFrame
     unit_wallets: DataFrame | None
-    unit_pairs: DataFrame | None
+    #: (unit, n, wide): all units numbered, and (unit, n, bucket, bitmap): the units each wide unit shares a wallet with.
+    numbers: DataFrame | None
+    meets: DataFrame | None
     has_long: bool
 
 
@@ -72,24 +81,101 @@ def prepare_links(inc: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> Links:
         "linked",
     )
     sizes = linked.groupBy("tx_id").agg(
-        F.sum((~F.col("heavy")).cast("int")).alias("n_light"), F.sum(F.col("heavy").cast("int")).alias("n_heavy")
+        F.sum((~F.col("heavy")).cast("int")).alias("n_light"), F.sum(F.col("heavy").cast("int")).alias("n_heavy"), *_set_digest()
     )
     most = sizes.agg(F.max("n_light").alias("light"), F.max("n_heavy").alias("heavy")).head()
     has_long, has_wide = (most["light"] or 0) > MAX_LIGHT_SET, (most["heavy"] or 0) > MAX_SUBSET
     sets = materialize(_tx_sets(linked, sizes, has_long or has_wide), "sets")
     light = linked.filter("not heavy").select("tx_id", "address")
     if not most["heavy"]:
-        return Links(light, sets, None, None, has_long)
+        return Links(light, sets, None, None, None, has_long)
     narrow = sets.filter("unit is not null and not wide").groupBy("unit").agg(F.any_value("heavy_set").alias("wallets"))
     unit_wallets = materialize(narrow, "units")
-    unit_pairs = None
+    numbers = meets = None
     if has_wide:
-        wide_tx = sets.filter("wide").select("tx_id", "unit")
-        one = linked.filter("heavy").join(wide_tx, "tx_id").select("unit", "address")
-        every = one.unionAll(unit_wallets.select("unit", F.explode("wallets").alias("address")))
-        forward = one.join(every.withColumnRenamed("unit", "unit_b"), "address").select("unit", "unit_b")
-        unit_pairs = materialize(forward.unionAll(forward.select(F.col("unit_b"), F.col("unit"))).distinct(), "unit_pairs")
-    return Links(light, sets, unit_wallets, unit_pairs, has_long)
+        numbers, meets = _wide_units(linked, sets, unit_wallets)
+    return Links(light, sets, unit_wallets, numbers, meets, has_long)
+
+
+def _set_digest() -> list[Column]:
+    """An order-free digest of a transaction's heavy wallets: with their number, over a hundred bits of hash."""
+    h = lambda salt: F.when(F.col("heavy"), F.xxhash64("address", F.lit(salt)))
+    low = F.pmod(h(2), F.lit(1 << 40))
+    return [F.bit_xor(h(1)).alias("set_x"), F.sum(low).alias("set_s")]
+
+
+def _wide_units(linked: DataFrame, sets: DataFrame, unit_wallets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbers of all units, and a bitmap of the units each wide unit meets. One transaction stands for each wide unit."""
+    spokesman = sets.filter("wide").groupBy("unit").agg(F.min("tx_id").alias("tx_id"))
+    wide = materialize(linked.filter("heavy").join(spokesman, "tx_id").select("unit", "address"), "wide_wallets")
+    every = wide.unionAll(unit_wallets.select("unit", F.explode("wallets").alias("address")))
+    units = spokesman.select("unit", F.lit(True).alias("wide")).unionAll(unit_wallets.select("unit", F.lit(False)))
+    numbers = materialize(row_number(units, ["unit"], "n"), "unit_numbers")
+    busy = wide.select("address").distinct()
+    owners = every.join(busy, "address", "left_semi").join(numbers.select("unit", "n"), "unit")
+    bucket, bit = F.bitmap_bucket_number("n").alias("bucket"), F.bitmap_bit_position("n")
+    by_wallet = owners.groupBy("address", bucket).agg(F.bitmap_construct_agg(bit).alias("bitmap"))
+    met = wide.join(by_wallet, "address").groupBy("unit", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    return numbers, materialize(met.join(numbers.select("unit", "n"), "unit"), "unit_bitmaps")
+
+
+def _wide_sums(links: Links, stats: DataFrame, sums: list[str]) -> DataFrame:
+    """(unit, sums): for each wide unit over the units it meets, for each other unit over the wide ones it meets. A task
+    has one bitmap's units and at most ``WIDE_CHUNK`` wide units."""
+    named = links.numbers.join(stats, "unit")
+    kinds = {c: stats.schema[c].dataType.simpleString() for c in sums}
+    whole = [kinds[c] in ("bigint", "int") for c in sums]
+
+    def values(frame: pd.DataFrame, dtype: type, prefix: str = "") -> np.ndarray:
+        return np.stack([frame[prefix + c].to_numpy().astype(dtype) for c in sums], axis=1)
+
+    def multiply(met: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        if not len(met) or not len(around):
+            return pd.DataFrame({c: [] for c in ["n", *sums]})
+        # Whole numbers stay whole numbers: the two kinds are multiplied apart.
+        place = ((around["m"].to_numpy() - 1) % BITMAP_UNITS).astype(np.int64)
+        wide = around["wide"].to_numpy().astype(bool)
+        out, back = [], {t: np.zeros((len(around), len(sums)), t) for t in (np.int64, np.float64)}
+        for first in range(0, len(met), 64):
+            part = met.iloc[first : first + 64]
+            bits = np.stack([np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")[place] for b in part["bitmap"]])
+            made = {}
+            for t in (np.int64, np.float64):
+                made[t] = bits.astype(t) @ values(around, t, "m_")
+                back[t] += bits.T.astype(t) @ values(part, t)
+            columns = {c: made[np.int64 if w else np.float64][:, k] for k, (c, w) in enumerate(zip(sums, whole))}
+            out.append(pd.DataFrame({"n": part["n"].to_numpy(), **columns}))
+        columns = {c: back[np.int64 if w else np.float64][~wide, k] for k, (c, w) in enumerate(zip(sums, whole))}
+        out.append(pd.DataFrame({"n": around["m"].to_numpy()[~wide], **columns}))
+        return pd.concat(out)
+
+    chunk = F.floor(F.col("n") / WIDE_CHUNK).cast("bigint").alias("chunk")
+    met = links.meets.join(stats, "unit").select("n", "bucket", "bitmap", chunk, *sums)
+    chunks = met.select(F.col("bucket").alias("b"), F.col("chunk").alias("k")).distinct()
+    # Names of its own, as both sides of the cogroup come from the same tables.
+    around = named.select(F.col("n").alias("m"), "wide", F.bitmap_bucket_number("n").alias("at"), *[F.col(c).alias(f"m_{c}") for c in sums])
+    around = around.join(chunks, F.col("at") == F.col("b")).select("m", "wide", "b", "k", *[f"m_{c}" for c in sums])
+    schema = ", ".join(["n bigint", *[f"{c} {kinds[c]}" for c in sums]])
+    found = met.groupBy("bucket", "chunk").cogroup(around.groupBy("b", "k")).applyInPandas(multiply, schema)
+    total = found.groupBy("n").agg(*[F.sum(c).alias(c) for c in sums])
+    return total.join(links.numbers.select("unit", "n"), "n").select("unit", *sums)
+
+
+def _share_heavy(links: Links, pairs: DataFrame) -> DataFrame:
+    """Pairs of transactions (unit, unit_b, ...) of which one is in a wide unit that meets the other's unit, taken out."""
+    is_wide = lambda c: F.coalesce(F.col(c).startswith("wide:"), F.lit(False))
+    marked = pairs.withColumns({
+        "__w": F.when(is_wide("unit"), F.col("unit")).when(is_wide("unit_b"), F.col("unit_b")),
+        "__o": F.when(is_wide("unit"), F.col("unit_b")).when(is_wide("unit_b"), F.col("unit")),
+    })
+    plain = marked.filter("__w IS NULL OR __o IS NULL").drop("__w", "__o")
+    numbered = marked.filter("__w IS NOT NULL AND __o IS NOT NULL").join(links.numbers.select(F.col("unit").alias("__o"), "n"), "__o")
+    place = F.bitmap_bit_position("n")
+    held = links.meets.select(F.col("unit").alias("__w"), "bucket", "bitmap")
+    joined = numbered.withColumns({"bucket": F.bitmap_bucket_number("n"), "__p": place}).join(held, ["__w", "bucket"], "left")
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(F.col("__p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.pmod(F.floor(byte / F.expr("power(2, __p % 8)")), F.lit(2))
+    return plain.unionByName(joined.filter(F.coalesce(bit, F.lit(0)) == 0).select(*plain.columns))
 
 
 def _tx_sets(linked: DataFrame, sizes: DataFrame, bounded: bool) -> DataFrame:
@@ -110,16 +196,16 @@ def _tx_sets(linked: DataFrame, sizes: DataFrame, bounded: bool) -> DataFrame:
         empty = F.array().cast("array<string>")
         kept = lambda name, n, most: F.when(F.col(n) <= most, F.coalesce(F.col(name), empty)).alias(name)
         sets = sizes.join(sets, "tx_id", "left").select(
-            "tx_id", "n_heavy", kept("light_set", "n_light", MAX_LIGHT_SET), kept("heavy_set", "n_heavy", MAX_SUBSET)
+            "tx_id", "n_heavy", "set_x", "set_s", kept("light_set", "n_light", MAX_LIGHT_SET), kept("heavy_set", "n_heavy", MAX_SUBSET)
         )
     else:
-        sets = sets.withColumn("n_heavy", F.size("heavy_set"))
+        sets = sets.withColumns({"n_heavy": F.size("heavy_set"), "set_x": F.lit(None).cast("bigint"), "set_s": F.lit(None).cast("bigint")})
     # Length-prefixed names, so that different sets never share one.
     name = F.concat(
         F.lit("set:"), F.array_join(F.transform("heavy_set", lambda w: F.concat(F.length(w), F.lit(":"), w)), ",")
     )
     wide = F.col("heavy_set").isNull()
-    unit = F.when(F.col("n_heavy") > 0, F.when(wide, F.concat(F.lit("tx:"), "tx_id")).otherwise(name))
+    unit = F.when(F.col("n_heavy") > 0, F.when(wide, F.concat_ws(":", F.lit("wide"), "n_heavy", "set_x", "set_s")).otherwise(name))
     return sets.select("tx_id", "light_set", "heavy_set", wide.alias("wide"), unit.alias("unit"))
 
 
@@ -133,10 +219,9 @@ def _unit_sums(links: Links, stats: DataFrame, sums: list[str]) -> DataFrame:
     by_subset = exploded.select("unit", "subset").join(per_subset, "subset").groupBy("unit").agg(
         *[F.sum(sign * F.col(c)).alias(c) for c in sums]
     )
-    if links.unit_pairs is None:
+    if links.meets is None:
         return by_subset
-    explicit = links.unit_pairs.join(stats.withColumnRenamed("unit", "unit_b"), "unit_b").groupBy("unit").agg(*total)
-    return by_subset.unionAll(explicit).groupBy("unit").agg(*total)
+    return by_subset.unionByName(_wide_sums(links, stats, sums)).groupBy("unit").agg(*total)
 
 
 def _light_sums(links: Links, vals: DataFrame, sums: list[str]) -> DataFrame:
@@ -162,9 +247,8 @@ def _light_sums(links: Links, vals: DataFrame, sums: list[str]) -> DataFrame:
     if links.has_long:
         rest = pairs.filter(~known).groupBy("tx_id", "other").agg(*[F.any_value(c).alias(c) for c in cols[1:]])
         counted = counted.unionByName(rest.select(*cols))
-    if links.unit_pairs is not None:
-        # Units of which at least one is wide are compared by name.
-        counted = counted.join(links.unit_pairs, ["unit", "unit_b"], "left_anti")
+    if links.meets is not None:
+        counted = _share_heavy(links, counted)
     return counted.groupBy("tx_id").agg(*[F.sum(c).alias(c) for c in sums])
 
 

@@ -600,10 +600,24 @@ x2 AS (SELECT sum((o - ex) * (o - ex) / ex) AS chi2, (SELECT count(*) FROM lb) A
   SELECT o, (SELECT count(*) FROM lb l WHERE l.priority = ob.priority) * (SELECT count(*) FROM lb l WHERE l.class = ob.class)::DOUBLE / (SELECT count(*) FROM lb) AS ex FROM ob))"""
 
 
-@query("a6_cramers_v", with_(L.V, CRAMER_SQL, select="SELECT n, round(chi2, 5) AS chi2, 4::BIGINT AS dof, round(sqrt(chi2 / n), 6) AS v FROM x2"))
+@query("a6_cramers_v", with_(L.V, CRAMER_SQL, select="SELECT n, round(chi2, 5) AS chi2, 4::BIGINT AS dof, round(sqrt(chi2 / n), 6) AS v, round(exp(-chi2 / 2) * (1 + chi2 / 2), 8) AS p_value FROM x2"))
 def _(spark, d):
     out = metrics.cramers_v(L.order_graph(spark, d)[0].filter("class <> -1"), "priority", "class")
-    return out.select("n", F.round("chi2", 5).alias("chi2"), "dof", F.round("v", 6).alias("v"))
+    return out.select("n", F.round("chi2", 5).alias("chi2"), "dof", F.round("v", 6).alias("v"), F.round("p_value", 8).alias("p_value"))
+
+
+# Two by two: the deviation is lessened by a half, the tail of one degree is a series.
+TWO_BY_TWO_SQL = """tt AS (SELECT CAST(priority = '1-URGENT' AS INT) AS f, class FROM vn WHERE class <> -1),
+tc AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(f * class) AS DOUBLE) AS p, CAST(sum(f * (1 - class)) AS DOUBLE) AS q, CAST(sum((1 - f) * class) AS DOUBLE) AS r, CAST(sum((1 - f) * (1 - class)) AS DOUBLE) AS s FROM tt),
+tx2 AS (SELECT n, n * pow(greatest(abs(p * s - q * r) - n / 2, 0), 2) / ((p + q) * (r + s) * (p + r) * (q + s)) AS chi2 FROM tc)"""
+
+
+@query("a6_two_by_two", with_(L.V, TWO_BY_TWO_SQL, select="""SELECT CAST(n AS BIGINT) AS n, round(chi2, 6) AS chi2, 1::BIGINT AS dof, round(sqrt(chi2 / n), 6) AS v,
+  round(1 - sqrt(chi2 / 2) * exp(-chi2 / 2) * list_sum(list_transform(range(0, 120), lambda k: pow(chi2 / 2, k) / gamma(k + 1.5))), 8) AS p_value FROM tx2"""))
+def _(spark, d):
+    n = L.order_graph(spark, d)[0].filter("class <> -1").withColumn("flag", N.flag_equals(F.col("priority"), "1-URGENT"))
+    out = metrics.cramers_v(n, "flag", "class")
+    return out.select("n", F.round("chi2", 6).alias("chi2"), "dof", F.round("v", 6).alias("v"), F.round("p_value", 8).alias("p_value"))
 
 
 @query("a7_present_in_both_classes", with_(L.V, select="SELECT bool_or(class = 0) AND bool_or(class = 1) AS in_both, round(avg(class), 9) AS illicit_share FROM vn WHERE class <> -1 AND priority = '1-URGENT'"))

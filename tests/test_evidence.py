@@ -254,3 +254,34 @@ def test_chi_square_agrees_with_the_statistics_package(spark):
 
     p = metrics.chi_square_p_value(df, "a", "b")
     assert row.dof == 2 and p == pytest.approx(math.exp(-row.chi2 / 2), abs=1e-9)
+    assert row.p_value == pytest.approx(p, abs=1e-9)
+    two = df.filter("a <> 'c'")
+    plain = metrics.cramers_v(two, "a", "b", correction=False).head()
+    assert plain.dof == 1 and plain.p_value == pytest.approx(metrics.chi_square_p_value(two, "a", "b"), abs=1e-9)
+    cells = {(r.a, r.b): r.n for r in two.groupBy("a", "b").agg(F.count("*").alias("n")).collect()}
+    p, q, r, s = (cells[x, y] for x in "ab" for y in (0, 1))
+    n = p + q + r + s
+    want = n * max(0, abs(p * s - q * r) - n / 2) ** 2 / ((p + q) * (r + s) * (p + r) * (q + s))
+    assert metrics.cramers_v(two, "a", "b").head().chi2 == pytest.approx(want)
+    none = metrics.cramers_v(two.limit(0), "a", "b").head()
+    assert (none.n, none.dof, none.p_value) == (0, 0, 1.0)
+
+
+def test_chi_square_tail(spark):
+    import math
+
+    cases = [(k, x) for k in (1, 2, 3, 4, 5, 10, 51, 400, 3001) for x in (0.01, 0.5, 3.0, k * 0.6, k * 1.0, k * 1.5, k + 40.0)]
+    got = spark.createDataFrame(cases, "k long, x double").select("k", "x", metrics.chi_square_tail(F.col("x"), F.col("k")).alias("p")).collect()
+
+    def tail(k, x):
+        """Sums of densities: closed form for whole and half steps."""
+        h = x / 2
+        total = math.erfc(math.sqrt(h)) if k % 2 else 0.0
+        a = 0.5 if k % 2 else 0.0
+        while a < k / 2:
+            total += math.exp(a * math.log(h) - h - math.lgamma(a + 1)) if a + 1 <= k / 2 else 0.0
+            a += 1
+        return total
+
+    for r in got:
+        assert r.p == pytest.approx(tail(r.k, r.x), abs=1e-9), r
