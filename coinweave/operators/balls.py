@@ -138,7 +138,9 @@ def root_sums(bits: DataFrame, numbered: DataFrame, kind: Column, amount: Column
                 for key, at in keys.groupby(["b", "k"]).indices.items():
                     held = sums.setdefault((int(key[0]), key[1]), np.zeros((2, WIDTH), np.int64))
                     held[0] += ones[at].sum(axis=0, dtype=np.int64)
-                    held[1] += amounts[at] @ ones[at].astype(np.int64)
+                    paid = at[amounts[at] != 0]
+                    if len(paid):
+                        held[1] += amounts[paid] @ ones[paid].astype(np.int64)
             if len(sums) > CHUNK:
                 yield from rows()
         yield from rows()
@@ -313,10 +315,11 @@ def ball_shapes(nodes: DataFrame, edges: DataFrame, reached: DataFrame, numbered
 
     held = root_sums(node_bits(nodes, reached), numbered, F.col("label")).groupBy("root").agg(F.sum("n").alias("n_nodes"), F.collect_set("kind").alias("labels"))
     own = numbered.select("root").join(nodes, F.col("root") == F.col("id")).groupBy("root").agg(*root_fields())
-    inside = materialize(edge_bits(edges, reached), "ball_edges")
-    links = root_sums(inside, numbered, F.col("relationship")).groupBy("root").agg(F.sum("n").alias("n_edges"), F.collect_set("kind").alias("rels"))
-    holes = root_sums(inside.filter(incomplete_edge() > 0), numbered, F.lit("incomplete")).select("root", F.col("n").alias("incomplete"))
-    return held.join(own, "root", "left"), links.join(holes, "root", "left")
+    slim = edges.select("source", "target", "relationship", incomplete_edge().alias("holes"))
+    links = root_sums(edge_bits(slim, reached), numbered, F.col("relationship"), F.col("holes")).groupBy("root").agg(
+        F.sum("n").alias("n_edges"), F.collect_set("kind").alias("rels"), F.sum("total").alias("incomplete")
+    )
+    return held.join(own, "root", "left"), links
 
 
 def _ranked(df: DataFrame, order: list) -> DataFrame:

@@ -517,12 +517,12 @@ def numbered(spark, d):
     return memo(spark, ("roots", d), lambda: balls.number_roots(graph_nodes(spark, d), alerts(spark, d)))
 
 
-def alert_balls_plan(spark, d):
-    return balls.bit_balls(graph_nodes(spark, d), graph_edges(spark, d), numbered(spark, d))
+def alert_balls(spark, d):
+    return memo(spark, ("balls", d), lambda: balls.bit_balls(graph_nodes(spark, d), graph_edges(spark, d), numbered(spark, d)))
 
 
 def reached(spark, d):
-    return memo(spark, ("reached", d), lambda: balls.reach(alert_balls_plan(spark, d)))
+    return memo(spark, ("reached", d), lambda: balls.reach(alert_balls(spark, d)))
 
 
 def ball_edges(spark, d):
@@ -544,7 +544,7 @@ def steps(spark, d):
 @query("g18_n_hop", with_(*BALLS, select=f"SELECT batch, id, depth, {BITS_SQL} AS roots FROM rr JOIN rn USING (root) GROUP BY 1, 2, 3"))
 def _(spark, d):
     """Balls of all alerts: for each node, distance and batch of alerts the bitmap of the alerts that are that far away."""
-    return alert_balls_plan(spark, d).select("batch", "id", "depth", balls.bits_text().alias("roots"))
+    return alert_balls(spark, d).select("batch", "id", "depth", balls.bits_text().alias("roots"))
 
 
 def _pack_sql(expr: str) -> str:
