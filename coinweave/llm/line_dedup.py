@@ -1,4 +1,4 @@
-"""Removal of line blocks that a later document shares with an earlier one, by patience alignment."""
+"""Removal of line blocks that a later document shares with an earlier one, by patience alignment of shared line hashes."""
 
 from __future__ import annotations
 
@@ -11,12 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coinweave.llm.common import ID_LIMIT, map_arrow, mix, powers
+from coinweave.llm.common import ID_LIMIT, map_arrow, mix, powers, slices
 from coinweave.session import materialize
 
-#: Short lines of up to so many documents are rare and pair documents too. A document without a rare shared line
-#: uses its rarest shared ones. Lines and runs long enough to be deleted pair documents however frequent they are.
-RARE = 32
 #: Characters (without white space at line ends) that an aligned block must have to be deleted.
 LEAST_CHARS = 30
 
@@ -66,64 +63,100 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def common_blocks(a: list[int], b: list[int], sizes: list[int], least: int = LEAST_CHARS) -> list[tuple[int, int]]:
-    """[first, end) of runs of lines of ``b`` that are aligned with lines of ``a`` in a row and have ``least``
-    characters together."""
-    blocks: list[list[int]] = []
-    before = None
-    for i, j in patience(a, b):
-        if before == (i - 1, j - 1):
-            blocks[-1][1] = j + 1
-        else:
-            blocks.append([j, j + 1])
-        before = i, j
-    return [(x, y) for x, y in blocks if sum(sizes[x:y]) >= least]
+def join_blocks(first: np.ndarray, end: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[first, end) of blocks that overlap, touch or have only blank lines between them (``text``: the next line after the
+    block that is not blank), joined, in order."""
+    order = np.lexsort((end, first))
+    first, end, text = first[order], end[order], text[order]
+    reach = np.maximum.accumulate(text)
+    starts = np.flatnonzero(np.concatenate([[True], first[1:] > reach[:-1]]))
+    return first[starts], np.maximum.reduceat(end, starts)
+
+
+def aligned(later: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """Which common keys of a later row, (first, end, place in the earlier row, key), patience diff aligns with that row's
+    keys; the others are moved or repeated. A key stands at its first place in the earlier row."""
+    order = sorted(range(len(later)), key=lambda k: later[k][:2])
+    earlier = sorted({(place, end - first, key) for first, end, place, key in later})
+    hits = np.zeros(len(later), bool)
+    for _, j in patience([key for _, _, key in earlier], [later[k][3] for k in order]):
+        hits[order[j]] = True
+    return hits
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row: its partners, aligned with one after the other, and all common blocks joined."""
+    for batch in batches:
+        met = batch.column("met")
+        bounds = met.offsets.to_numpy()
+        pd_, pt, first, end, text, place, key = (met.values.field(n).to_numpy() for n in ("pd", "pt", "a", "b", "x", "pa", "h"))
+        partners, moved, cuts, at = [], [], [], [0]
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            order = lo + np.lexsort((first[lo:hi], pt[lo:hi], pd_[lo:hi]))
+            same = (np.diff(pd_[order]) == 0) & (np.diff(pt[order]) == 0)
+            parts = np.split(order, np.flatnonzero(~same) + 1)
+            kept = np.concatenate([part[aligned(list(zip(*(c[part].tolist() for c in (first, end, place, key)))))] for part in parts])
+            a, b = join_blocks(first[lo:hi], end[lo:hi], text[lo:hi])
+            in_order = sum(y - x for x, y in zip(*join_blocks(first[kept], end[kept], text[kept]))) if len(kept) else 0
+            partners.append(len(parts))
+            moved.append(int((b - a).sum() - in_order))
+            cuts.append(np.stack([a, b], 1).ravel())
+            at.append(at[-1] + 2 * len(a))
+        flat = np.concatenate(cuts) if cuts else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("d"), batch.column("t"), pa.array(partners, pa.int64()), pa.array(moved, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32)))],
+            names=["d", "t", "n_partners", "n_moved", "cuts"],
+        )
+
+
+def without_blocks(text: str, cuts: list[int]) -> tuple[str, int]:
+    """The text without the lines [cuts[0], cuts[1]), [cuts[2], cuts[3]) ..., and the number of those lines."""
+    lines, kept, after = text.split("\n"), [], 0
+    for first, end in zip(cuts[::2], cuts[1::2]):
+        kept += lines[after:first]
+        after = end
+    kept += lines[after:]
+    return "\n".join(kept), len(lines) - len(kept)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi in slices(batch.column("text").to_pylist()):
+            part = batch.slice(lo, hi - lo)
+            made = [without_blocks(x, c) for x, c in zip(part.column("text").to_pylist(), part.column("cuts").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(n) for n in ("d", "n_lines", "n_partners", "n_moved")] + [pa.array([n for _, n in made], pa.int64()), pa.array([x for x, _ in made], pa.string())],
+                names=["d", "n_lines", "n_partners", "n_moved", "n_removed", "kept_text"],
+            )
 
 
-def _align(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, first, end = [], [], []
-            for k in range(batch.num_rows):
-                a, b, sizes = (batch.column(n)[k].as_py() for n in ("earlier", "later", "sizes"))
-                for x, y in common_blocks(a, b, sizes, least):
-                    rows.append(k)
-                    first.append(x)
-                    end.append(y)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("d").take(at), batch.column("t").take(at), pa.array(np.array(first, np.int64)), pa.array(np.array(end, np.int64))], names=["d", "t", "a", "b"])
-
-    return run
-
-
-#: Kinds of keys: a line under the least characters, one that has them, a run of lines that has them.
-SHORT_LINE, LONG_LINE, RUN = 0, 1, 2
 _BASE = 0x9E3779B97F4A7C15
 
 
-def run_keys(hashes: np.ndarray, sizes: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, kind), once for each row: every line, and the shortest runs of two lines or more with ``least``
-    characters that start or end at every line. Row r has the lines bounds[r] to bounds[r + 1]. How far such a run
-    goes depends on its lines alone, so each line of a block of ``least`` characters that two rows share is in a
-    key that both have."""
+def block_keys(hashes: np.ndarray, sizes: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(row, key, first, end, next line that is not blank) of every line with ``least`` characters and of the shortest runs
+    of two lines or more with ``least`` characters that start or end at a line. Row r has the lines bounds[r] to
+    bounds[r + 1], and places count from there. How far such a run goes depends on its lines alone, so each line of a
+    block of ``least`` characters that two rows share is in a key that both have."""
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     sums = np.concatenate([[0], np.cumsum(sizes)])
     start = np.flatnonzero(sizes > 0)
     end = np.searchsorted(sums, sums[start] + least)
-    runs = (end <= bounds[1:][row[start]]) & (end > start + 1)
+    runs = end <= bounds[1:][row[start]]
     back = np.searchsorted(sums, sums[start + 1] - least, "right") - 1
     ends = (back >= bounds[row[start]]) & (back < start)
     first, last = np.concatenate([start[runs], back[ends]]), np.concatenate([end[runs], start[ends] + 1])
+    order = np.lexsort((last, first))
+    first, last = first[order], last[order]
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != first[:-1]) | (last[1:] != last[:-1])
+    first, last = first[new], last[new]
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes.view(np.uint64)) * powers(len(hashes), _BASE))])
         own = mix((total[last] - total[first]) * powers(len(hashes) + 1, pow(_BASE, -1, 1 << 64))[first] + (last - first).astype(np.uint64))
-    rows, keys = np.concatenate([row[start], row[first]]), np.concatenate([hashes[start], own.view(np.int64)])
-    kinds = np.concatenate([np.where(sizes[start] >= least, LONG_LINE, SHORT_LINE), np.full(len(first), RUN)])
-    order = np.lexsort((keys, rows))
-    rows, keys, kinds = rows[order], keys[order], kinds[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
-    return rows[new], keys[new], kinds[new]
+    rows = row[first]
+    after = np.append(start, len(hashes))[np.searchsorted(start, last)]
+    return rows, own.view(np.int64), first - bounds[rows], last - bounds[rows], np.minimum(after, bounds[rows + 1]) - bounds[rows]
 
 
 def _keys(least: int):
@@ -131,50 +164,46 @@ def _keys(least: int):
         for batch in batches:
             hashes, sizes = (batch.column(n) for n in ("hashes", "sizes"))
             bounds = hashes.offsets.to_numpy().astype(np.int64)
-            rows, keys, kinds = run_keys(hashes.flatten().to_numpy(), sizes.flatten().to_numpy().astype(np.int64), bounds - bounds[0], least)
+            rows, keys, *places = block_keys(hashes.flatten().to_numpy(), sizes.flatten().to_numpy().astype(np.int64), bounds - bounds[0], least)
             at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("d").take(at), batch.column("t").take(at), pa.array(keys), pa.array(kinds.astype(np.int32))], names=["d", "t", "h", "kind"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("d").take(at), batch.column("t").take(at), pa.array(keys), *(pa.array(x.astype(np.int32)) for x in places)], names=["d", "t", "h", "a", "b", "x"]
+            )
 
     return run
 
 
-def remove_common_lines(docs: DataFrame, rare: int = RARE, least: int = LEAST_CHARS, with_text: bool = True) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, any others): doc_id, n_lines, n_removed, n_partners,
+def remove_common_lines(docs: DataFrame, least: int = LEAST_CHARS, with_text: bool = True) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, any others): doc_id, n_lines, n_removed, n_moved, n_partners,
     kept_sha256 and, with ``with_text``, kept_text.
 
     Lines end at line feeds and are compared without white space at their ends. For every line of ``least``
-    characters, and every shortest run of lines from or to a line that has them, the first row with it (by doc_id, null last) is
-    a partner of all later ones, so whatever block a row shares with an earlier one, partners have all its lines. The
-    first row with a shorter line is one if the line is rare or none of the later row's shared lines is rarer.
-    So even thousands of copies make one pair each, and there are at most three pairs a line. Each later row is aligned with its partners by patience diff,
-    and aligned blocks of at least ``least`` characters are deleted from it; blank lines never pair rows.
-    Null or empty text is one empty line and stays. Repeated rows are later rows too, all but one of rows
-    that agree in id and text count once and get equal results. An empty table gives no rows."""
+    characters, and every shortest run of lines from or to a line that has them, the first row with it (by doc_id, null
+    last) is a partner of all later ones, however frequent the line is. The later row's keys that have this first row are
+    aligned with it by patience diff. What is aligned is deleted, and so are common blocks off the alignment, moved or
+    repeated ones (``n_moved`` lines). So a line goes exactly if it lies in a run of lines with ``least`` characters
+    together that an earlier row has in the same order without others between. Blank lines go if
+    the lines before and after them go; they never pair rows.
+
+    A key is one row of the shuffle and meets one first row, so the work grows with the lines, whatever their frequency
+    and the length of a document. Null or empty text is one empty line and stays. Repeated rows are later rows too, all
+    but one of rows that agree in id and text count once and get equal results. An empty table gives no rows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(ID_LIMIT)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text")).withColumn("lines", F.split("text", "\n"))
-    trimmed = F.transform("lines", lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")))
-    hashed = keyed.select("d", "t", F.transform(trimmed, lambda x: F.xxhash64(x)).alias("hashes"), F.transform(trimmed, lambda x: F.char_length(x)).alias("sizes"))
-    lines = materialize(hashed.dropDuplicates(["d", "t"]), "lines")
-
-    each = map_arrow(lines.select("d", "t", "hashes", "sizes"), _keys(least), "d long, t long, h long, kind int")
-    shared = each.groupBy("h").agg(F.count("*").alias("df"), F.min(F.struct("d", "t")).alias("first")).filter("df > 1")
-    met = each.join(shared, "h").groupBy("d", "t").agg(F.collect_set(F.struct("df", F.col("first.d").alias("pd"), F.col("first.t").alias("pt"), "kind")).alias("met"))
-    lowest = F.array_min(F.filter("met", lambda x: x["kind"] != RUN)).getField("df")
-    partners = met.select("d", "t", F.explode(F.filter("met", lambda x: (x["kind"] != SHORT_LINE) | (x["df"] <= rare) | (x["df"] == lowest))).alias("p")).select("d", "t", "p.pd", "p.pt")
-    pairs = materialize(partners.filter("NOT (d = pd AND t = pt)").distinct(), "pairs")
-
-    both = pairs.join(lines.select("d", "t", F.col("hashes").alias("later"), "sizes"), ["d", "t"]).join(
-        lines.select(F.col("d").alias("pd"), F.col("t").alias("pt"), F.col("hashes").alias("earlier")), ["pd", "pt"]
-    )
-    blocks = map_arrow(both.select("d", "t", "earlier", "later", "sizes"), _align(least), "d long, t long, a long, b long")
-    cuts = materialize(blocks.groupBy("d", "t").agg(F.collect_set(F.struct("a", "b")).alias("cuts")), "cuts")
-    counted = pairs.groupBy("d", "t").agg(F.count("*").alias("n_partners"))
-
-    inside = lambda i: F.exists("cuts", lambda c: (i >= c["a"]) & (i < c["b"]))
-    kept = F.when(F.col("cuts").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~inside(i)))
-    out = keyed.join(cuts, ["d", "t"], "left").join(counted, ["d", "t"], "left").withColumn("kept", kept)
-    joined = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
-    return out.select(
-        F.nullif("d", F.lit(ID_LIMIT)).alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_removed"),
-        F.coalesce("n_partners", F.lit(0)).alias("n_partners"), F.sha2(joined.cast("binary"), 256).alias("kept_sha256"), *([joined.alias("kept_text")] if with_text else []),
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(ID_LIMIT)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
+    trimmed = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")))
+    lines = keyed.select("d", "t", F.transform(trimmed, lambda x: F.xxhash64(x)).alias("hashes"), F.transform(trimmed, lambda x: F.char_length(x)).alias("sizes"))
+    each = materialize(map_arrow(lines.dropDuplicates(["d", "t"]), _keys(least), "d long, t long, h long, a int, b int, x int"), "keys")
+
+    row = F.struct("d", "t")
+    shared = each.groupBy("h").agg(F.min(F.struct("d", "t", "a")).alias("first"), F.max(row).alias("last")).filter("first.d < last.d OR first.t < last.t")
+    met = each.join(shared.select("h", F.col("first.d").alias("pd"), F.col("first.t").alias("pt"), F.col("first.a").alias("pa")), "h").filter("NOT (d = pd AND t = pt)")
+    gathered = met.groupBy("d", "t").agg(F.collect_list(F.struct("pd", "pt", "a", "b", "x", "pa", "h")).alias("met"))
+    cuts = materialize(map_arrow(gathered, _blocks, "d long, t long, n_partners long, n_moved long, cuts array<int>"), "cuts")
+
+    found = keyed.join(cuts, ["d", "t"], "left").withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
+    none = F.lit(0).cast("long")
+    whole = found.filter("cuts IS NULL").select("d", "n_lines", none.alias("n_partners"), none.alias("n_moved"), none.alias("n_removed"), F.col("text").alias("kept_text"))
+    cut = map_arrow(found.filter("cuts IS NOT NULL").drop("t"), _cut, "d long, n_lines long, n_partners long, n_moved long, n_removed long, kept_text string")
+    return whole.unionByName(cut).select(
+        F.nullif("d", F.lit(ID_LIMIT)).alias("doc_id"), "n_lines", "n_removed", "n_moved", "n_partners", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), *(["kept_text"] if with_text else []),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cases import frame, texts
 from coinweave.llm.exact_dedup import exact_dedup, fuse_build, fuse_probe
-from coinweave.llm.line_dedup import common_blocks, patience, remove_common_lines, run_keys
+from coinweave.llm.line_dedup import aligned, block_keys, join_blocks, patience, remove_common_lines, without_blocks
 from coinweave.llm.ngram_join import choose_boundary, jaccard_components, least_overlap, subset_sizes
 from coinweave.llm.substring_dedup import remove_repeats, sliding_argmin
 
@@ -62,14 +62,22 @@ def test_patience_aligns_equal_lines_in_order():
         pairs = patience(a, b)
         assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
     assert patience([1, 2, 3, 9], [7, 1, 2, 3, 8]) == [(0, 1), (1, 2), (2, 3)]
-    assert common_blocks([1, 2, 3, 9], [7, 1, 2, 3, 8], [5] * 5, 15) == [(1, 4)]
-    assert common_blocks([1, 2, 3, 9], [7, 1, 2, 3, 8], [5] * 5, 16) == []
+
+
+def test_aligned_keys_and_joined_blocks():
+    # Keys 6, 7, 8, 9 at places 0 to 3 of the earlier row; the later row has 9 first and 8 twice.
+    later = [(0, 1, 3, 9), (2, 3, 0, 6), (3, 4, 1, 7), (4, 5, 2, 8), (6, 7, 2, 8)]
+    assert aligned(later).tolist() == [False, True, True, True, False]
+    assert aligned([(5, 6, 0, 1)]).tolist() == [True]
+    first, end = join_blocks(np.array([8, 0, 2, 5]), np.array([9, 2, 3, 6]), np.array([9, 2, 5, 7]))
+    assert list(zip(first, end)) == [(0, 6), (8, 9)]
+    assert without_blocks("a\nb\nc\nd", [0, 1, 2, 3]) == ("b\nd", 2) and without_blocks("a", [0, 1]) == ("", 1)
 
 
 def test_line_dedup(spark):
     copies = [(100 + i, "same first line of all\nsame second line of all") for i in range(50)]
     rows = [*texts(), *copies]
-    got = {(r.doc_id, r.kept_text): r for r in remove_common_lines(frame(spark, rows), rare=8, least=10).collect()}
+    got = {(r.doc_id, r.kept_text): r for r in remove_common_lines(frame(spark, rows), least=10).collect()}
     assert sum(1 for _ in got) <= len(rows)
     assert (53, "own\nrest") in got and got[53, "own\nrest"].n_removed == 2
     assert (100, copies[0][1]) in got and all((100 + i, "") in got for i in range(1, 50))
@@ -101,16 +109,61 @@ def test_line_dedup_of_frequent_blocks_and_runs_against_brute_force(spark):
                         gone.update(range(a, b))
         seen |= new
         want[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
-    got = {r.doc_id: r.kept_text for r in remove_common_lines(frame(spark, rows), rare=8, least=10).collect()}
+    got = {r.doc_id: r.kept_text for r in remove_common_lines(frame(spark, rows), least=10).collect()}
     assert got == want
 
 
-def test_run_keys_reach_the_ends_of_blocks():
+def test_block_keys_reach_the_ends_of_blocks():
     # Rows (29, 5), (29, 5, 3), (7, 29, 5, 3) characters: the last two share a line that the first has not.
     hashes, sizes = np.array([1, 2, 1, 2, 3, 4, 1, 2, 3]), np.array([29, 5, 29, 5, 3, 7, 29, 5, 3])
-    rows, keys, kinds = run_keys(hashes, sizes, np.array([0, 2, 5, 9]), 30)
-    own = [{k for r, k, kind in zip(rows, keys, kinds) if r == i and kind == 2} for i in range(3)]
+    rows, keys, first, end, text = block_keys(hashes, sizes, np.array([0, 2, 5, 9]), 30)
+    own = [set(keys[rows == i].tolist()) for i in range(3)]
     assert (own[1] & own[2]) - own[0]
+    assert {(int(x), int(y)) for x, y in zip(first[rows == 2], end[rows == 2])} == {(0, 2), (1, 3), (1, 4)}
+
+
+def deleted(rows, least):
+    """Kept texts: a line goes if a run of lines with ``least`` characters that holds it is one of an earlier row;
+    blank lines inside such a run or between lines that go, go too."""
+    seen, want = set(), []
+    for text in rows:
+        lines = text.split("\n")
+        new, gone = set(), set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if lines[a].strip() and lines[b - 1].strip() and sum(len(x.strip()) for x in lines[a:b]) >= least:
+                    run = tuple(x.strip() for x in lines[a:b])
+                    new.add(run)
+                    if run in seen:
+                        gone.update(range(a, b))
+        seen |= new
+        for j, x in enumerate(lines):
+            before = [i for i in range(j) if lines[i].strip()]
+            after = [i for i in range(j + 1, len(lines)) if lines[i].strip()]
+            if not x.strip() and before and after and before[-1] in gone and after[0] in gone:
+                gone.add(j)
+        want.append("\n".join(x for j, x in enumerate(lines) if j not in gone))
+    return want
+
+
+def test_line_dedup_of_repeated_and_moved_blocks_against_brute_force(spark):
+    rng = random.Random(3)
+    pool = ["aa", "bb", "cc", "dd", "", " ", "a line of ten", "another long line", "e e"]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for i in range(120)]
+    two, three = "second line of a block of lines", "third line of a block of lines"
+    rows += [(200, f"first\n{two}\n{three}"), (201, f"own\n{two}\n{three}\nown 5\n{two}\n{three}\nown 6"), (202, f"{three}\nown 7\n{two}")]
+    got = {r.doc_id: r for r in remove_common_lines(frame(spark, rows), least=10).collect()}
+    assert [got[i].kept_text for i, _ in rows] == deleted([x for _, x in rows], 10)
+    assert got[201].kept_text == "own\nown 5\nown 6" and got[201].n_removed == 4 and got[201].n_partners == 1
+    assert got[202].kept_text == "own 7" and got[202].n_moved == 1
+
+
+def test_line_dedup_of_a_long_document(spark):
+    # 20,000 lines, each of another first document: the pairs carry what they share, not both documents.
+    lines = [f"line number {i} of the long document" for i in range(20_000)]
+    rows = [(i, x) for i, x in enumerate(lines)] + [(20_000, "\n".join([*lines, "end"])), (20_001, "\n".join(reversed(lines)))]
+    got = {r.doc_id: r for r in remove_common_lines(frame(spark, rows)).filter("doc_id >= 20000").collect()}
+    assert got[20_000].kept_text == "end" and got[20_000].n_partners == 20_000 and got[20_001].n_removed == 20_000
 
 
 def test_sliding_argmin():
