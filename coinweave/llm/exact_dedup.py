@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coinweave.llm.common import mix, ship, without_white_space
@@ -102,47 +102,47 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column, digest=F.xxhash64, shard_k
     """One row per row of ``docs`` (doc_id, text, any others): doc_id, keep_id, group_size, kept,
     text_sha256, origin, text_hash (of the original text; with the id it names the row).
 
-    Rows with ``in_snapshot`` form the immutable snapshot, the others the incoming batch. The snapshot's
-    digests become binary-fuse filters; the batch's distinct digests are screened by them. Positives are
-    joined with the snapshot's exact buckets, so false positives fall out and go, with the negatives, to
-    the batch's own grouping. Every bucket of two rows or more is then grouped by the bytes of its
-    normalised texts (white space deleted), so a weak digest costs time and never merges two texts.
+    Rows with ``in_snapshot`` form the immutable snapshot, the others the incoming batch. Each side's
+    duplicates are grouped among themselves. The snapshot's digests become binary-fuse filters, and the
+    batch's groups are routed by them: positives are joined with the snapshot's exact buckets and share their
+    keeper and size there; negatives, and positives that the join finds false, stay groups of the batch.
+    Groups of two rows or more are checked by the bytes of their normalised texts (white space deleted), so
+    a weak digest costs time and never merges two texts.
 
     Of equal texts the one with most code points in the original, then the smallest doc_id (null last)
     stays, of identical rows one. Null text counts as empty; an empty table gives no rows. ``origin`` says
-    where the bucket lives: snapshot, both or batch. A group of any size is aggregated before the shuffle
+    where the group lives: snapshot, both or batch. A group of any size is aggregated before the shuffle
     and joined back as the skewed side of a join that has one row per group."""
     ship(docs.sparkSession)
     base = docs.select(
         F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"), F.coalesce(in_snapshot, F.lit(False)).alias("snap")
     ).withColumn("norm", without_white_space(F.col("t")))
     keyed = base.select("doc_id", "snap", "norm", digest("norm").cast("bigint").alias("h"), F.xxhash64("t").alias("text_hash"), F.sha2("norm", 256).alias("sha"), F.char_length("t").alias("chars"))
-    same = Window.partitionBy("doc_id", "sha", "chars").orderBy("snap")
-    slim = materialize(keyed.drop("norm").withColumn("copy", F.row_number().over(same)), "digests")
+    # The number tells identical rows apart; it is stored once, so a task that runs again reads the same one.
+    slim = materialize(keyed.drop("norm").withColumn("row", F.monotonically_increasing_id()), "digests")
 
-    old, new = slim.filter("snap"), slim.filter("NOT snap")
-    shards = max(1, math.ceil(old.count() / shard_keys))
-    maybe = screen(new, materialize(snapshot_filters(old, shards), "filters"), shards)
-    matched = materialize(maybe.join(old.select("h").distinct(), "h"), "matched")
+    best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("row").alias("k"))).alias("best")
+    sides = materialize(slim.groupBy("h", "sha", "snap").agg(best, F.count("*").alias("size")), "sides")
+    old, new = sides.filter("snap").drop("snap"), sides.filter("NOT snap").drop("snap")
 
-    # Buckets of one row need no byte check. The others are grouped by their bytes; one text for each SHA-256.
-    several = slim.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    texts = keyed.select("h", "sha", "norm").join(several, "h", "left_semi").groupBy("h", "sha", "norm").agg(F.lit(1).alias("one"))
+    shards = max(1, math.ceil(old.count() / shard_keys))
+    maybe = materialize(screen(new, materialize(snapshot_filters(old, shards), "filters"), shards), "maybe")
+    routed = new.join(maybe.withColumn("positive", F.lit(True)), "h", "left")
+    buckets = old.withColumnsRenamed({"best": "old_best", "size": "old_size"})
+    met = materialize(routed.filter("positive").drop("positive").join(buckets, ["h", "sha"], "left"), "met")
+    both = met.select("h", "sha", F.least("best", F.coalesce("old_best", "best")).alias("best"), (F.col("size") + F.coalesce("old_size", F.lit(0))).alias("size"),
+                      F.when(F.col("old_size").isNull(), F.lit("batch")).otherwise(F.lit("both")).alias("origin"))
+    negatives = routed.filter("positive IS NULL").drop("positive").withColumn("origin", F.lit("batch"))
+    alone = old.join(met.filter("old_size IS NOT NULL").select("h", "sha"), ["h", "sha"], "left_anti").withColumn("origin", F.lit("snapshot"))
+    groups = both.unionByName(negatives).unionByName(alone)
+
+    # Groups of one row need no byte check; of the others' texts there may be one for each SHA-256.
+    texts = keyed.select("h", "sha", "norm").join(groups.filter("size > 1").select("h", "sha"), ["h", "sha"], "left_semi").groupBy("h", "sha", "norm").agg(F.lit(1).alias("one"))
     checked = texts.groupBy("h", "sha").agg(F.count("*").alias("texts")).select(
         "h", "sha", F.assert_true(F.col("texts") == 1, F.lit("two texts share a SHA-256 digest")).isNull().alias("same_bytes")
     )
-    best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("copy").alias("k"))).alias("b")
-    groups = (
-        slim.groupBy("h", "sha").agg(best, F.count("*").alias("group_size"), F.max("snap").alias("some_old"))
-        .join(checked, ["h", "sha"], "left")
-        .filter("group_size = 1 OR same_bytes")
-        .join(matched.withColumn("hit", F.lit(True)), "h", "left")
-        .select(
-            "h", "sha", "group_size", F.col("b.i").alias("keep_id"), F.col("b.k").alias("keep_copy"),
-            F.when(F.col("hit"), F.lit("both")).when(F.col("some_old"), F.lit("snapshot")).otherwise(F.lit("batch")).alias("origin"),
-        )
-    )
-    return slim.join(groups, ["h", "sha"]).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == F.col("keep_copy"))).alias("kept"),
+    decided = groups.join(checked, ["h", "sha"], "left").filter("size = 1 OR same_bytes")
+    return slim.join(decided, ["h", "sha"]).select(
+        "doc_id", F.col("best.i").alias("keep_id"), F.col("size").alias("group_size"), (F.col("row") == F.col("best.k")).alias("kept"),
         F.col("sha").alias("text_sha256"), "origin", "text_hash",
     )

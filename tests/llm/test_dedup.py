@@ -55,6 +55,26 @@ def test_exact_dedup_without_batch_or_snapshot(spark, in_snapshot):
     assert got.count() == len(texts())
 
 
+def test_exact_dedup_is_decided_by_the_screen(spark, monkeypatch):
+    from coinweave.llm import exact_dedup as module
+
+    rows = [(1, "a b"), (2, "ab"), (3, "a  b"), (4, "c"), (5, "c "), (6, "d")]
+    found = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.origin) for r in exact_dedup(frame(spark, rows), F.col("doc_id").isin(1, 6)).collect()}
+    assert found[1] == (3, 3, False, "both") and found[3] == (3, 3, True, "both") and found[2] == (3, 3, False, "both")
+    assert found[5] == (5, 2, True, "batch") and found[4] == (5, 2, False, "batch") and found[6] == (6, 1, True, "snapshot")
+    # Filters that answer yes to everything cost time and change nothing.
+    monkeypatch.setattr(module, "screen", lambda digests, filters, shards: digests.select("h").distinct())
+    again = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.origin) for r in exact_dedup(frame(spark, rows), F.col("doc_id").isin(1, 6)).collect()}
+    assert again == found
+
+
+def test_exact_dedup_keeps_one_of_identical_rows(spark):
+    rows = [(None, "same")] * 300 + [(7, None)] * 5
+    got = exact_dedup(frame(spark, rows), F.col("doc_id") == 7).collect()
+    assert len(got) == 305 and sum(r.kept for r in got) == 2
+    assert {(r.doc_id, r.keep_id, r.group_size, r.origin) for r in got} == {(None, None, 300, "batch"), (7, 7, 5, "snapshot")}
+
+
 def test_patience_aligns_equal_lines_in_order():
     rng = random.Random(5)
     for _ in range(200):
