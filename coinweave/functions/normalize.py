@@ -184,8 +184,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _canonical_ipv6(c: Column) -> Column:
-    """RFC 5952 text of an IPv6 literal, null when it is not one. All built-in expressions."""
+def ipv6_groups(c: Column) -> Column:
+    """The eight hexadecimal groups of an IPv6 literal, null when it is not one. All built-in expressions."""
     none = F.array().cast("array<string>")
     words = lambda half: F.when(half == "", none).otherwise(F.split(half, ":"))
 
@@ -214,6 +214,12 @@ def _canonical_ipv6(c: Column) -> Column:
 
         return let(F.split(plain, "::"), fill)
 
+    return let(let(F.lower(c), dotted_tail), expand)
+
+
+def _canonical_ipv6(c: Column) -> Column:
+    """RFC 5952 text of an IPv6 literal, null when it is not one; IPv4-mapped ones end in dotted form."""
+
     def compress(short: Column) -> Column:
         """The longest run of zero groups (two or more, the first of equals) becomes "::"."""
         packed = F.regexp_replace(short, "^:|:$", "")
@@ -230,12 +236,47 @@ def _canonical_ipv6(c: Column) -> Column:
         framed = F.concat(F.lit(":"), F.array_join(bare, ":"), F.lit(":"))
         return F.when(groups.isNotNull(), let(framed, compress))
 
-    return let(let(let(F.lower(c), dotted_tail), expand), shorten)
+    def dotted(plain: Column) -> Column:
+        number = lambda i: F.conv(F.regexp_extract(plain, _MAPPED, i), 16, 10).cast("int")
+        octets = [f(number(i)) for i in (1, 2) for f in (lambda x: F.shiftright(x, 8), lambda x: x % 256)]
+        return F.when(plain.rlike(_MAPPED), F.concat(F.lit("::ffff:"), F.concat_ws(".", *octets))).otherwise(plain)
+
+    return let(let(ipv6_groups(c), shorten), dotted)
+
+
+_MAPPED = f"^::ffff:({_HEX}):({_HEX})$"
+#: A zone at the end of an address names an interface; it is kept as written.
+_ZONE = "%[^%/]+$"
 
 
 def ip_value(c: Column) -> Column:
+    """Standard text of an address of either family, null when it is none."""
     text = F.trim(c)
-    return F.when(text.rlike(IPV4_PATTERN), text).when(text.contains(":"), _canonical_ipv6(text))
+    whole = F.concat(_canonical_ipv6(F.regexp_replace(text, _ZONE, "")), F.regexp_extract(text, f"({_ZONE[:-1]})$", 1))
+    return F.when(text.rlike(IPV4_PATTERN), text).when(text.contains(":"), whole)
+
+
+#: Bits before an IPv4 address inside IPv6.
+MAPPED_BITS = 96
+
+
+def ip_key(c: Column) -> Column:
+    """The 16 bytes of an address as two numbers (high, low); an IPv4 address stands at its mapped place, and a zone
+    is left out. Null when the text is no address."""
+    text = F.trim(c)
+
+    def half(groups: Column, first: int) -> Column:
+        value = F.lit(0).cast("bigint")
+        for i in range(first, first + 4):
+            value = F.shiftleft(value, 16).bitwiseOR(F.conv(F.get(groups, F.lit(i)), 16, 10).cast("bigint"))
+        return value
+
+    four = F.struct(F.lit(0).cast("bigint").alias("high"), ipv4_to_long(text).bitwiseOR(F.lit(0xFFFF << 32)).alias("low"))
+    six = let(
+        ipv6_groups(F.regexp_replace(text, _ZONE, "")),
+        lambda g: F.when(g.isNotNull(), F.struct(half(g, 0).alias("high"), half(g, 4).alias("low"))),
+    )
+    return F.when(text.rlike(IPV4_PATTERN), four).when(text.contains(":"), six)
 
 
 def unreadable(c: Column, value: Column, text: str) -> Column:

@@ -10,36 +10,52 @@ from coinweave.operators.ordering import row_number
 from coinweave.session import broadcast_if_small
 
 
+def _masks(length: int) -> tuple[int, int]:
+    """Both halves of the mask of a prefix of 128-bit addresses, as signed numbers."""
+    bits = ((1 << length) - 1) << (128 - length)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return signed(bits >> 64), signed(bits & ((1 << 64) - 1))
+
+
 def prefix_table(df: DataFrame) -> DataFrame:
-    """Typed prefixes from ``cidr`` text such as ``10.1.0.0/16``: network number and length."""
+    """Typed prefixes from ``cidr`` text such as ``10.1.0.0/16`` or ``2001:db8::/32``: both halves of the network's
+    16 bytes (``high``, ``low``; host bits cleared) and its length in 128 bits, an IPv4 network at its mapped place.
+    Text that is no prefix is left out."""
     parts = F.split("cidr", "/")
-    length = F.get(parts, F.lit(1)).try_cast("int")
-    address = N.ipv4_to_long(F.get(parts, F.lit(0)))
-    span = F.call_function("shiftleft", F.lit(1).cast("bigint"), 32 - length)
-    return df.select(
-        (address - F.pmod(address, span)).alias("network"), length.alias("prefix_length"),
-        "country", "asn", "asn_description",
-    ).filter("network is not null and prefix_length between 0 and 32")
+    address, bits = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)).try_cast("int")
+    added = F.when(address.contains(":"), F.lit(0)).otherwise(F.lit(N.MAPPED_BITS))
+    keyed = df.select(
+        N.ip_key(address).alias("key"), F.when((bits >= 0) & (bits + added <= 128), bits + added).alias("prefix_length"), "country", "asn", "asn_description"
+    ).filter("key is not null and prefix_length is not null")
+    mask = lambda i: F.get(F.array(*[F.lit(_masks(n)[i]).cast("bigint") for n in range(129)]), F.col("prefix_length"))
+    return keyed.select(
+        F.col("key.high").bitwiseAND(mask(0)).alias("high"), F.col("key.low").bitwiseAND(mask(1)).alias("low"), "prefix_length", "country", "asn", "asn_description"
+    )
 
 
 def match_prefixes(ips: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Country and system of each distinct ``ip``, each from its longest matching prefix that has one.
 
-    An address is masked to every prefix length (at most 33 candidates), which turns the range join
-    into an equality join: no address meets a prefix that does not contain it."""
-    value = N.ipv4_to_long(F.col("ip"))
-    lengths = sorted(r["prefix_length"] for r in prefixes.select("prefix_length").distinct().collect())  # 0..32
-    candidates = ips.select("ip", value.alias("value")).filter("value is not null").withColumn(
-        "prefix_length", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))
-    )
-    span = F.call_function("shiftleft", F.lit(1).cast("bigint"), 32 - F.col("prefix_length"))
-    keyed = candidates.select("ip", "prefix_length", (F.col("value") - F.pmod("value", span)).alias("network"))
-    unique = prefixes.groupBy("network", "prefix_length").agg(
+    An address of either family is masked to every prefix length in use (at most 129), which turns the range join
+    into one equality join for both: no address meets a prefix that does not contain it. An IPv4 address, or an
+    IPv6 address that maps one, meets prefixes inside the mapped block alone, never a short IPv6 prefix around it.
+    Text that is no address finds nothing."""
+    lengths = sorted(r["prefix_length"] for r in prefixes.select("prefix_length").distinct().collect())  # 0..128
+    if not lengths:
+        lengths = [0]
+    key = ips.select("ip", N.ip_key(F.col("ip")).alias("key")).filter("key is not null")
+    masked = [
+        F.struct(F.lit(n).alias("prefix_length"), F.col("key.high").bitwiseAND(F.lit(high).cast("bigint")).alias("high"), F.col("key.low").bitwiseAND(F.lit(low).cast("bigint")).alias("low"))
+        for n, (high, low) in ((n, _masks(n)) for n in lengths)
+    ]
+    mapped = (F.col("key.high") == 0) & (F.shiftrightunsigned("key.low", 32) == 0xFFFF)
+    candidates = key.select("ip", mapped.alias("mapped"), F.explode(F.array(*masked)).alias("m")).filter(f"NOT mapped OR m.prefix_length >= {N.MAPPED_BITS}")
+    unique = prefixes.groupBy("high", "low", "prefix_length").agg(
         F.max(F.when(F.col("asn").isNotNull(), F.struct("asn", "asn_description"))).alias("system"), F.max("country").alias("country")
     )
     length = lambda c: F.when(F.col(c).isNotNull(), F.col("prefix_length"))
     return (
-        keyed.join(broadcast_if_small(unique), ["network", "prefix_length"])
+        candidates.select("ip", "m.*").join(broadcast_if_small(unique), ["high", "low", "prefix_length"])
         .groupBy("ip")
         .agg(F.max_by("system", length("system")).alias("system"), F.max_by("country", length("country")).alias("country"))
         .select("ip", "system.asn", "system.asn_description", "country")

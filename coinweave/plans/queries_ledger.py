@@ -67,6 +67,15 @@ def _(spark, d):
     return neighbours.tx_edge_index(pairs, e.tx)
 
 
+#: IPv6 prefixes, one without a system and one without a country: each is taken from the longest prefix that has it.
+SIX = [
+    ("2001:db8::/32", "DE", "AS64500", "Documentation"),
+    ("2001:db8:1::/48", None, "AS64501", "Second site"),
+    ("2001:db8:2:4::/62", "FR", None, None),
+    ("2001:db8::/61", "SE", "AS64502", "Third site"),
+]
+
+
 @query(
     "j7_enrich_ip",
     with_(
@@ -75,15 +84,25 @@ def _(spark, d):
             f"({sum(int(o) << s for o, s in zip(c.split('/')[0].split('.'), (24, 16, 8, 0)))}, {c.split('/')[1]}, '{k}', '{a}', '{t}')"
             for c, k, a, t in L.PREFIXES
         ) + ") t(lo, len, country, asn, asn_description))",
-        "ip AS (SELECT tx_id, src_ip, split_part(src_ip, '.', 1)::BIGINT * 16777216 + split_part(src_ip, '.', 2)::BIGINT * 65536 + split_part(src_ip, '.', 3)::BIGINT * 256 + split_part(src_ip, '.', 4)::BIGINT AS v FROM e)",
-        select="""SELECT ip.tx_id, ip.src_ip, pf.country, coalesce(pf.asn, 'AS0') AS asn, coalesce(pf.asn_description, 'Unallocated') AS asn_description
-          FROM ip LEFT JOIN pf ON v BETWEEN lo AND lo + (1::BIGINT << (32 - len)) - 1
-          QUALIFY row_number() OVER (PARTITION BY ip.tx_id ORDER BY len DESC) = 1""",
+        "ip AS (SELECT tx_id, event_id, src_ip, split_part(src_ip, '.', 1)::BIGINT * 16777216 + split_part(src_ip, '.', 2)::BIGINT * 65536 + split_part(src_ip, '.', 3)::BIGINT * 256 + split_part(src_ip, '.', 4)::BIGINT AS v FROM e)",
+        """six AS (SELECT tx_id, '2001:db8:' || replace(substr(src_ip, 4, length(src_ip) - 3 - length(split_part(src_ip, '.', 4)) - 1), '.', ':') || '::' || split_part(src_ip, '.', 4) AS src_ip,
+          ('0x' || split_part(src_ip, '.', 2))::BIGINT AS g3, ('0x' || split_part(src_ip, '.', 3))::BIGINT AS g4 FROM e WHERE event_id % 3 = 1)""",
+        select="""(SELECT ip.tx_id, CASE WHEN event_id % 3 = 2 THEN '::ffff:' ELSE '' END || ip.src_ip AS src_ip, pf.country, coalesce(pf.asn, 'AS0') AS asn, coalesce(pf.asn_description, 'Unallocated') AS asn_description
+          FROM ip LEFT JOIN pf ON v BETWEEN lo AND lo + (1::BIGINT << (32 - len)) - 1 WHERE event_id % 3 <> 1
+          QUALIFY row_number() OVER (PARTITION BY ip.tx_id ORDER BY len DESC) = 1)
+          UNION ALL SELECT tx_id, src_ip, CASE WHEN g3 = 2 AND g4 // 4 = 1 THEN 'FR' WHEN g3 = 0 AND g4 // 8 = 0 THEN 'SE' ELSE 'DE' END,
+            CASE WHEN g3 = 1 THEN 'AS64501' WHEN g3 = 0 AND g4 // 8 = 0 THEN 'AS64502' ELSE 'AS64500' END,
+            CASE WHEN g3 = 1 THEN 'Second site' WHEN g3 = 0 AND g4 // 8 = 0 THEN 'Third site' ELSE 'Documentation' END FROM six""",
     ),
 )
 def _(spark, d):
-    base = L.event_base(spark, d).select("tx_id", "src_ip")
-    return links.enrich_ip(base, L.prefixes(spark)).select("tx_id", "src_ip", "country", "asn", "asn_description")
+    """A third of the addresses as they are, a third mapped into IPv6, a third IPv6 with the same numbers."""
+    base = L.event_base(spark, d)
+    parts = F.split("src_ip", r"\.")
+    six = F.concat(F.lit("2001:db8:"), F.get(parts, F.lit(1)), F.lit(":"), F.get(parts, F.lit(2)), F.lit("::"), F.get(parts, F.lit(3)))
+    src = F.when(F.col("event_id") % 3 == 1, six).when(F.col("event_id") % 3 == 2, F.concat(F.lit("::ffff:"), "src_ip")).otherwise(F.col("src_ip"))
+    more = links.prefix_table(spark.createDataFrame(SIX, "cidr string, country string, asn string, asn_description string"))
+    return links.enrich_ip(base.select("tx_id", src.alias("src_ip")), L.prefixes(spark).unionByName(more)).select("tx_id", "src_ip", "country", "asn", "asn_description")
 
 
 @query(

@@ -113,11 +113,13 @@ def _(spark, d):
 
 @query("s6_upsert", with_(L.E, select="SELECT tx_id, CASE WHEN event_type = 'signup' THEN 'reviewed' ELSE label END AS label, us AS ts_us FROM e"))
 def _(spark, d):
-    """Signup transactions arrive again under a new label, on top of a table that has them already."""
+    """Signup transactions arrive again, twice, on top of a stored table that has them already: the last row stays."""
     b = L.event_base(spark, d)
-    old = b.select("tx_id", "label", "ts")
-    new = b.filter("event_type = 'signup'").select("tx_id", F.lit("reviewed").alias("label"), "ts")
-    return tables.upsert(old, new, "tx_id", "ts").select("tx_id", "label", us("ts").alias("ts_us"))
+    path = scratch_path(spark, "upserted")
+    tables.replace_table(b.select("tx_id", "label", "ts"), path)
+    again = lambda label: b.filter("event_type = 'signup'").select("tx_id", F.lit(label).alias("label"), "ts")
+    tables.upsert_table(path, again("waiting").union(again("reviewed")), "tx_id")
+    return tables.read_table(spark, path).select("tx_id", "label", us("ts").alias("ts_us"))
 
 
 @query("s7_replace_table", Q.ALERT_SQL)
@@ -126,14 +128,18 @@ def _(spark, d):
     a = Q.alerts(spark, d)
     tables.replace_table(a.withColumn("threat_score", F.lit(0)), path)
     tables.replace_table(a, path)
-    back = spark.read.schema(a.schema).parquet(path)
-    return back.select("tx_id", "threat_score", us("ts").alias("ts_us"), "primary_anomaly", "risk_level")
+    back = tables.read_table(spark, path)
+    tables.replace_table(back.withColumn("threat_score", F.col("threat_score") + 0), path)  # the table it reads
+    return tables.read_table(spark, path).select("tx_id", "threat_score", us("ts").alias("ts_us"), "primary_anomaly", "risk_level")
 
 
 @query("s8_annotate", with_(*L.ALERTS_E, select="SELECT e.tx_id, CASE WHEN al.tx_id IS NULL THEN e.label ELSE al.primary_anomaly END AS label, al.threat_score FROM e LEFT JOIN al USING (tx_id)"))
 def _(spark, d):
     notes = Q.alerts(spark, d).select("tx_id", F.col("primary_anomaly").alias("label"), "threat_score")
-    return tables.annotate(L.event_base(spark, d).select("tx_id", "label"), notes)
+    path = scratch_path(spark, "annotated")
+    tables.replace_table(L.event_base(spark, d).select("tx_id", "label"), path)
+    tables.annotate_table(path, notes)
+    return tables.read_table(spark, path)
 
 
 @query("s9_scan_ordered", with_(L.E, select="SELECT tx_id, row_number() OVER (ORDER BY us, tx_id) AS place FROM e"))

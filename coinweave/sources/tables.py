@@ -1,30 +1,118 @@
-"""Stored tables: replace, upsert, annotate, look up, append."""
+"""Stored tables in versions: replace, upsert, annotate, look up, append."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str, version: str | None = None) -> DataFrame:
-    """Rows of ``new`` replace rows of ``existing`` with the same key; among several new rows of one
-    key the highest ``version`` wins. One aggregation with map-side combining: repeated keys collapse
-    before the shuffle, so a key with many copies never gathers in one task."""
-    both = existing.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    cols = existing.columns
-    order = ["__new", *([version] if version else []), *[c for c in cols if c not in (key, version)]]
-    row = F.max_by(F.struct(*cols), F.struct(*[_orderable(both, c) for c in order])).alias("__row")
-    return both.groupBy(F.col(key).alias("__key")).agg(row).select("__row.*")
-
+def file_position() -> Column:
+    """Where a row of a file scan stands: by file name, split and row. For ``upsert`` of rows from several files, whose
+    order Spark does not keep."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
 
-def _orderable(df: DataFrame, name: str):
-    kind = df.schema[name].dataType
-    return F.to_json(F.struct(name)).alias(name) if isinstance(kind, T.MapType) else F.col(name)
 
-
-def replace_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def upsert(existing: DataFrame, new: DataFrame, key: str, version: str | Column | None = None) -> DataFrame:
+    """Rows of ``new`` replace rows of ``existing`` with the same key; among several new rows of one
+    key the highest ``version`` (a column of both, or an expression over ``new`` such as ``file_position()``)
+    wins, and of equal ones, or without a version, the last row in the frame's own order. One aggregation
+    with map-side combining: repeated keys collapse before the shuffle, so a key with many copies never gathers in one task."""
+    cols = existing.columns
+    rank = F.lit(None) if version is None else F.col(version) if isinstance(version, str) else version
+    numbered = lambda df, late, by: df.select(*cols, by.alias("__version"), F.lit(late).alias("__new"), F.monotonically_increasing_id().alias("__row"))
+    later = numbered(new, 1, rank)
+    earlier = numbered(existing, 0, F.col(version) if isinstance(version, str) else F.lit(None).cast(later.schema["__version"].dataType))
+    row = F.max_by(F.struct(*cols), F.struct("__new", "__version", "__row")).alias("__kept")
+    return earlier.unionByName(later).groupBy(F.col(key).alias("__key")).agg(row).select("__kept.*")
+
+
+class ConcurrentWrite(RuntimeError):
+    """Another writer stored a version in between."""
+
+
+def _files(spark: SparkSession, path: str):
+    """The folder as a Hadoop path, and the contexts that list and rename in its store."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = hadoop.Path(path)
+    folder = folder.getFileSystem(conf).makeQualified(folder)
+    return hadoop, folder, folder.getFileSystem(conf), hadoop.FileContext.getFileContext(folder.toUri(), conf)
+
+
+_VERSION = re.compile(r"version=(\d+)")
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Stored versions of a table, oldest first."""
+    _, folder, files, _ = _files(spark, path)
+    if not files.exists(folder):
+        return []
+    names = [_VERSION.fullmatch(s.getPath().getName()) for s in files.listStatus(folder)]
+    return sorted(int(m.group(1)) for m in names if m)
+
+
+def _version_path(path: str, version: int) -> str:
+    return f"{path}/version={version:09d}"
+
+
+def read_table(spark: SparkSession, path: str, version: int | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """The newest stored version, or the one asked for; a frame that was read keeps to its version."""
+    have = versions(spark, path)
+    if not have or (version is not None and version not in have):
+        raise FileNotFoundError(f"{path}: no version {version or ''}".rstrip())
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(_version_path(path, version or have[-1]))
+
+
+def replace_table(df: DataFrame, path: str, after: int | None = None) -> int:
+    """Store ``df`` as the next version of the table and return its number. It is written aside and becomes a version
+    by one rename of the finished folder, so readers see the old rows or the new ones, a write that is killed changes nothing,
+    and ``df`` may read the table it replaces. With ``after`` the version must follow that one, else
+    ConcurrentWrite is raised and nothing changes. Older versions stay until ``drop_versions``."""
+    spark = df.sparkSession
+    draft = f"{path}/_draft-{uuid.uuid4().hex}"
+    df.write.parquet(draft)
+    hadoop, folder, _, context = _files(spark, path)
+    no_options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    while True:
+        number = (versions(spark, path) or [0])[-1] + 1 if after is None else after + 1
+        try:
+            context.rename(hadoop.Path(folder, draft.rsplit("/", 1)[1]), hadoop.Path(_version_path(folder.toString(), number)), no_options)
+            return number
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in str(e.java_exception.getClass().getName()):
+                raise
+            if after is not None:
+                raise ConcurrentWrite(f"{path}: version {number} is there already") from e
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
+    """Delete all but the ``keep`` newest versions (one at least); frames that read them are of no use after that."""
+    hadoop, folder, files, _ = _files(spark, path)
+    old = versions(spark, path)[: -max(keep, 1)]
+    for number in old:
+        files.delete(hadoop.Path(_version_path(folder.toString(), number)), True)
+    return old
+
+
+def upsert_table(path: str, new: DataFrame, key: str, version: str | Column | None = None) -> int:
+    """``upsert`` into the stored table; raises ConcurrentWrite if it changed meanwhile."""
+    spark = new.sparkSession
+    have = versions(spark, path)
+    if not have:
+        return replace_table(upsert(new.limit(0), new, key, version), path, 0)
+    return replace_table(upsert(read_table(spark, path, have[-1]), new, key, version), path, have[-1])
+
+
+def annotate_table(path: str, annotations: DataFrame) -> int:
+    """``annotate`` the stored table; raises ConcurrentWrite if it changed meanwhile."""
+    spark = annotations.sparkSession
+    newest = (versions(spark, path) or [None])[-1]
+    return replace_table(annotate(read_table(spark, path, newest), annotations), path, newest)
 
 
 def annotate(transactions: DataFrame, annotations: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from coinweave.operators import evidence, graph, links, metrics, models, ordering, scoring, training_tables
 from coinweave.operators.audit import audit_evidence, audit_graph
 from coinweave.plans import pipeline
+from coinweave.sources.tables import read_table
 from helpers import column, frame, tx
 from test_heuristics import COIN, peel_rows
 
@@ -132,11 +133,11 @@ def test_evidence_and_audit(spark):
 def test_run_writes_its_tables(spark, tmp_path):
     rows = [r[:8] + ("AS1", "Tor Transit") + r[10:] for r in chain_rows()]
     out = pipeline.run_pipeline(frame(spark, rows), str(tmp_path))
-    stored = spark.read.parquet(str(tmp_path / "alerts"))
+    stored = read_table(spark, str(tmp_path / "alerts"))
     assert column(stored, "tx_id") == ["hop_1", "hop_2", "hop_3"]
     assert column(stored, "primary_anomaly")[0] == "Peel Chain to Exchange"
-    evidence_rows = spark.read.parquet(str(tmp_path / "evidence"))
-    assert evidence_rows.count() == 3 and out["payload"].count() == spark.read.parquet(str(tmp_path / "payload")).count()
+    evidence_rows = read_table(spark, str(tmp_path / "evidence"))
+    assert evidence_rows.count() == 3 and out["payload"].count() == read_table(spark, str(tmp_path / "payload")).count()
 
 
 def test_unflagged_is_known_without_evidence(spark):
