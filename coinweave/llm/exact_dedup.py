@@ -134,7 +134,7 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column, digest=F.xxhash64, shard_k
                       F.when(F.col("old_size").isNull(), F.lit("batch")).otherwise(F.lit("both")).alias("origin"))
     negatives = routed.filter("positive IS NULL").drop("positive").withColumn("origin", F.lit("batch"))
     alone = old.join(met.filter("old_size IS NOT NULL").select("h", "sha"), ["h", "sha"], "left_anti").withColumn("origin", F.lit("snapshot"))
-    groups = both.unionByName(negatives).unionByName(alone)
+    groups = materialize(both.unionByName(negatives).unionByName(alone), "groups")
 
     # Groups of one row need no byte check; of the others' texts there may be one for each SHA-256.
     texts = keyed.select("h", "sha", "norm").join(groups.filter("size > 1").select("h", "sha"), ["h", "sha"], "left_semi").groupBy("h", "sha", "norm").agg(F.lit(1).alias("one"))
