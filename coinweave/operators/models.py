@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -48,34 +49,95 @@ def _scaled(train: DataFrame, every: DataFrame, columns: list[str]) -> tuple[Dat
     return apply(train), apply(every)
 
 
-def graph_classifier(features: DataFrame, incidence: DataFrame, hops: int = 2, heavy_degree: int = 64):
-    """Three-class scores of transactions over propagated features: ``(scored, validation, engine)``.
+def _class_index(label: Column) -> Column:
+    y = F.lit(float(CLASSES.index("unknown")))
+    for i, name in enumerate(CLASSES):
+        y = F.when(label == name, F.lit(float(i))).otherwise(y)
+    return y
 
-    Unlabelled rows are the third class and count as anomalous. Where the classes are too small for a
-    hold-out the rule score takes over."""
+
+def fit_graph_classifier(features: DataFrame, incidence: DataFrame, hops: int = 2, heavy_degree: int = 64) -> tuple[PipelineModel, DataFrame] | None:
+    """The fitted three-class model (assembling, scaling and classifying propagated features) and the rows it was fitted
+    and held out on: tx_id, y, is_holdout and the propagated features. None where the classes are too small for a hold-out."""
     if not metrics.split_feasible(features).head()["feasible"]:
-        zero = {"validation_size": 0.0, "validation_accuracy": 0.0}
-        return scoring.rule_score(features), zero, "rules"
+        return None
     columns = scoring.FEATURE_ORDER
     spread = gcn_propagate(incidence, features.select("tx_id", *columns), columns, hops, heavy_degree)
-    y = F.lit(float(CLASSES.index("unknown")))
-    for i, name in enumerate(CLASSES):
-        y = F.when(F.col("label") == name, F.lit(float(i))).otherwise(y)
-    labelled = spread.join(features.select("tx_id", y.alias("y")), "tx_id")
+    labelled = spread.join(features.select("tx_id", _class_index(F.col("label")).alias("y")), "tx_id")
     split = materialize(metrics.stratified_split(labelled, "y", 0.2, SEED), "split")
-    train, every = _scaled(split.filter("not is_holdout"), split, columns)
-    model = LogisticRegression(
-        featuresCol="__x", labelCol="y", family="multinomial", regParam=5e-4, maxIter=20
-    ).fit(train)
+    stages = [
+        VectorAssembler(inputCols=columns, outputCol="__raw", handleInvalid="keep"),
+        StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True),
+        LogisticRegression(featuresCol="__x", labelCol="y", family="multinomial", regParam=5e-4, maxIter=20),
+    ]
+    return Pipeline(stages=stages).fit(split.filter("not is_holdout")), split
+
+
+def class_shares(model: PipelineModel, spread: DataFrame) -> DataFrame:
+    """tx_id, predicted class, threat score and class shares of rows with propagated features."""
     p = vector_to_array("probability")
-    predicted = materialize(
-        model.transform(every).select("tx_id", "y", "is_holdout", "prediction", p.alias("p")), "predicted"
-    )
-    held = metrics.accuracy(predicted.filter("is_holdout"), "y").head().asDict()
-    at = lambda i: F.coalesce(F.get("p", F.lit(i)), F.lit(0.0))
-    shares = scoring.normalize_probabilities(at(0), at(1), at(2))
-    scored = features.join(predicted.select("tx_id", *[c.alias(n) for n, c in shares.items()]), "tx_id")
-    return scored, held, "graph_classifier"
+    predicted = model.transform(spread).select("tx_id", "prediction", p.alias("__p"))
+    at = lambda i: F.coalesce(F.get("__p", F.lit(i)), F.lit(0.0))
+    return predicted.select("tx_id", "prediction", *[c.alias(n) for n, c in scoring.normalize_probabilities(at(0), at(1), at(2)).items()])
+
+
+def score_transactions(model: PipelineModel, features: DataFrame, incidence: DataFrame, hops: int = 2, heavy_degree: int = 64) -> DataFrame:
+    """``features`` with the scores of a model, fitted just now or read with ``load_model``."""
+    columns = scoring.FEATURE_ORDER
+    spread = gcn_propagate(incidence, features.select("tx_id", *columns), columns, hops, heavy_degree)
+    return features.join(class_shares(model, spread).drop("prediction"), "tx_id")
+
+
+def graph_classifier(features: DataFrame, incidence: DataFrame, hops: int = 2, heavy_degree: int = 64):
+    """Three-class scores of transactions over propagated features: ``(scored, validation, engine)``.
+
+    Unlabelled rows are the third class and count as anomalous. Where the classes are too small for a
+    hold-out the rule score takes over."""
+    return classify(features, incidence, hops, heavy_degree)[:3]
+
+
+def classify(features: DataFrame, incidence: DataFrame, hops: int = 2, heavy_degree: int = 64, label_bonus: bool = True):
+    """``graph_classifier`` with the fitted model as the fourth part (None with the rules)."""
+    fitted = fit_graph_classifier(features, incidence, hops, heavy_degree)
+    if fitted is None:
+        return scoring.rule_score(features, label_bonus), {"validation_size": 0.0, "validation_accuracy": 0.0}, "rules", None
+    model, split = fitted
+    shares = materialize(class_shares(model, split), "predicted")
+    held = metrics.accuracy(split.filter("is_holdout").select("tx_id", "y").join(shares, "tx_id"), "y").head().asDict()
+    return features.join(shares.drop("prediction"), "tx_id"), held, "graph_classifier", model
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """Store a fitted model in a new folder."""
+    model.write().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def feature_weights(model: PipelineModel, above: str = "illicit", below: str = "licit") -> tuple[dict[str, float], float]:
+    """Weight of each unscaled feature and the constant of the log-odds of one class against another: the scaling is
+    folded in, so the log-odds are a plain sum over columns. A feature that does not vary weighs nothing."""
+    assembler, scaler, classifier = model.stages
+    names, means, spreads = assembler.getInputCols(), scaler.mean.toArray(), scaler.std.toArray()
+    coefficients, constants = classifier.coefficientMatrix.toArray(), classifier.interceptVector.toArray()
+    i, j = CLASSES.index(above), CLASSES.index(below)
+    if max(i, j) >= len(constants):
+        raise ValueError(f"the model knows no class {above if i > j else below}")
+    weights = {n: float((coefficients[i][k] - coefficients[j][k]) / spreads[k]) if spreads[k] else 0.0 for k, n in enumerate(names)}
+    return weights, float(constants[i] - constants[j] - sum(weights[n] * means[k] for k, n in enumerate(names)))
+
+
+def fitted_edge_attributions(
+    model: PipelineModel, incidence: DataFrame, features: DataFrame, roots: DataFrame, hops: int = 2, heavy_degree: int = 64,
+) -> DataFrame:
+    """``edge_attributions`` of the fitted model: its weights over the features as they are before the last step."""
+    columns, weights = scoring.FEATURE_ORDER, feature_weights(model)[0]
+    before = features.select("tx_id", *[F.col(c).cast("double").alias(c) for c in columns])
+    if hops > 1:
+        before = materialize(gcn_propagate(incidence, before, columns, hops - 1, heavy_degree), "before")
+    return edge_attributions(incidence, before, weights, roots, heavy_degree)
 
 
 def suspicion_classifier(nodes: DataFrame, edges: DataFrame, columns: list[str], hops: int = 2):

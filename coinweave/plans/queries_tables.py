@@ -753,6 +753,40 @@ def _(spark, d):
     return scored.select("tx_id", "threat_score", "p_licit", "p_illicit", "p_anomalous")
 
 
+@query("m5_stored_model")
+def _(spark, d):
+    """All transactions scored by the stored model after it was read back, beside the scores when it was fitted and
+    the log-odds of illicit against licit from its weights as plain columns."""
+    from coinweave.operators.neighbours import gcn_propagate, incidence
+
+    e, features = L.event_ledger(spark, d), L.event_features(spark, d)
+    paid, path = incidence(e.spends, e.receipts), scratch_path(spark, "model")
+    fitted, split = models.fit_graph_classifier(features, paid)
+    models.save_model(fitted, path)
+    model = models.load_model(path)
+    before = models.class_shares(fitted, split).select("tx_id", F.col("threat_score").alias("fitted_score"))
+    weights, constant = models.feature_weights(model)
+    odds = F.lit(constant)
+    for name, w in weights.items():
+        odds = odds + F.lit(w) * F.col(name)
+    spread = gcn_propagate(paid, features.select("tx_id", *weights), list(weights), 2)
+    again = models.class_shares(model, spread).select("tx_id", "threat_score", "p_licit", "p_illicit")
+    return again.join(before, "tx_id").join(spread.select("tx_id", F.round(odds, 4).alias("log_odds")), "tx_id")
+
+
+@query("m9_fitted_edges")
+def _(spark, d):
+    """The eight strongest edges into each alert by the weights of the fitted model."""
+    from coinweave.operators.graph import head_per_root
+    from coinweave.operators.neighbours import incidence
+
+    e, features = L.event_ledger(spark, d), L.event_features(spark, d)
+    paid = incidence(e.spends, e.receipts)
+    model, _ = models.fit_graph_classifier(features, paid)
+    w = models.fitted_edge_attributions(model, paid, features, Q.alerts(spark, d))
+    return head_per_root(w, [F.desc("weight"), F.col("src")], 8).select("root", "src", "dst", F.round("weight", 6).alias("weight"))
+
+
 @query("m6_suspicion_classifier")
 def _(spark, d):
     nodes, edges = L.order_graph(spark, d)
