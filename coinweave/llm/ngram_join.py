@@ -9,10 +9,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coinweave.llm.common import ID_LIMIT, map_arrow, mix, power_threshold, word_hashes
+from coinweave.llm.common import ID_LIMIT, map_arrow, mix, word_hashes
 from coinweave.llm.substring_dedup import kmer_hashes, words_of
 from coinweave.operators.components import connected_components
 from coinweave.session import broadcast_if_small, materialize
@@ -20,17 +20,17 @@ from coinweave.session import broadcast_if_small, materialize
 WIDTH = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Shingles that a task meets this often are counted over all tasks; those in more sets than HOT go last in
-#: the order of prefixes, at most HOT_LIMIT of them (the broadcast's bound: 16 bytes each). Any such order is exact.
-LOCAL, HOT, HOT_LIMIT = 3, 32, 1 << 20
+#: Tokens are dealt to slices by this many hashes at most; the second and later ones serve sets whose slices stay empty too often.
+SEEDS = 4
 #: Cost of a row of an inverted list, in rows of a subset: it is shuffled more often and may need a comparison.
 LIST_COST = 5
 #: Sizes up to this are candidates for enumeration.
 MOST_ENUMERATED = 24
 #: Rounds that compare each list with one of its sets; they end early when few pairs are left.
 ROUNDS = 6
-#: After so many rounds all pairs across components are compared if they are at most so many for each list row.
-LEAST_ROUNDS, PAIRS_PER_ROW = 2, 8
+#: After so many rounds all pairs across components are compared if they are at most so many for each list row, or if
+#: the last round left more than this share of them.
+LEAST_ROUNDS, PAIRS_PER_ROW, SHARE_LEFT = 2, 8, 0.75
 BITS = 512
 
 
@@ -55,8 +55,57 @@ def subset_sizes(n: int, percent: int = PERCENT) -> list[int]:
     return sorted({least_overlap(n + m, percent) for m in partners})
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1
+def size_class(n: int) -> tuple[int, int]:
+    """Number of the class of size ``n`` and the largest size in it; a class ends two fifths beyond its start."""
+    k, low = 0, 1
+    while (after := low + max(1, 2 * low // 5)) <= n:
+        k, low = k + 1, after
+    return k, after - 1
+
+
+def slice_numbers(largest: int, percent: int = PERCENT) -> tuple[int, int]:
+    """Slices of a class and how many of them may be empty. Linked sets of sizes up to ``largest`` differ in at most
+    ``far`` elements, so of far + 1 + spare slices more than ``spare`` are equal."""
+    far = 2 * largest * (100 - percent) // (100 + percent)
+    spare = (far + 1) // 12
+    return far + 1 + spare, spare
+
+
+def slice_keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Keys of a set's inverted lists: one for each slice of its tokens, in every class that a partner of at least
+    its size may have, so that linked sets meet in the class of the larger one.
+
+    Two linked sets have more equal slices than the class may have empty ones; a set with no more empty slices than
+    that shares a filled slice with every partner. A set with more takes part under the next hash too, where it meets
+    the partners that also have more; under the last hash its empty slices are keys as well."""
+    n, out = len(tokens), []
+    content = mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
+    size = n
+    while size <= 100 * n // percent:
+        k, largest = size_class(size)
+        g, spare = slice_numbers(largest, percent)
+        for seed in range(SEEDS):
+            with np.errstate(over="ignore"):
+                at = (mix(tokens + np.uint64(seed + 1) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(g)).astype(np.int64)
+                sums = np.zeros(g, np.uint64)
+                np.add.at(sums, at, content)
+            filled = np.bincount(at, minlength=g) > 0
+            enough = g - int(filled.sum()) <= spare
+            where = np.arange(g) if seed == SEEDS - 1 and not enough else np.flatnonzero(filled)
+            out.append(mix(sums[where] ^ mix(where.astype(np.uint64) + np.uint64((k * SEEDS + seed + 1) << 40))))
+            if enough:
+                break
+        size = largest + 1
+    return np.concatenate(out)
+
+
+def list_rows(n: int, percent: int = PERCENT) -> int:
+    """Keys that a set of ``n`` elements has, about."""
+    rows, size = 0, n
+    while size <= 100 * n // percent:
+        largest = size_class(size)[1]
+        rows, size = rows + min(n, slice_numbers(largest, percent)[0]), largest + 1
+    return rows
 
 
 def parity_map(tokens: np.ndarray, size: int) -> bytes:
@@ -80,7 +129,7 @@ def choose_boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
 
     def cost(b: int) -> int:
         small = sum(k * sum(comb(n, s) for s in subset_sizes(n, percent)) for n, k in sizes.items() if n <= b)
-        return small + LIST_COST * sum(k * prefix_length(n, percent) for n, k in sizes.items() if 100 * n >= percent * (b + 1))
+        return small + LIST_COST * sum(k * list_rows(n, percent) for n, k in sizes.items() if 100 * n >= percent * (b + 1))
 
     return min(range(MOST_ENUMERATED + 1), key=lambda b: (cost(b), b))
 
@@ -93,48 +142,35 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes | No
             yield {n: c[i] for n, c in zip(names, columns)}, text.as_py()
 
 
-def _statistics(width: int):
-    """Task: (token, sets) of what it meets often, and (-size, sets) of small sizes with no token."""
+def _sizes(width: int):
+    """Task: (size, sets) of small sizes, by shingles before equal ones are dropped: they choose the boundary alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, sizes = [], 0, np.zeros(MOST_ENUMERATED * 2, np.int64)
-
-        def often() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            keep = counts >= LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.nulls(int(keep.sum()), pa.int64()), pa.array(counts[keep])], names=["token", "size", "n"])
-
+        sizes = np.zeros(MOST_ENUMERATED * 2, np.int64)
         for _, text in _texts(batches):
-            s = shingle_set(text, width)
-            if len(s) < len(sizes):
-                sizes[len(s)] += 1
-            held.append(s)
-            size += len(s)
-            if size > 2_000_000:
-                yield often()
-                held, size = [], 0
-        if held:
-            yield often()
+            words = len(text.split()) if text else 0
+            n = min(words, max(1, words - width + 1))
+            if n < len(sizes):
+                sizes[n] += 1
         at = np.flatnonzero(sizes)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(at), pa.array(sizes[at])], names=["token", "size", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sizes[at])], names=["size", "n"])
 
     return run
 
 
-def _signatures(width: int, percent: int, boundary: int, hot):
-    """Task: set size, two hashes of the set, subset keys of small sets, rare prefix of large ones, parity bits."""
+def _signatures(width: int, percent: int, boundary: int):
+    """Task: set size, two hashes of the set, subset keys of small sets, slice keys of large ones, parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = hot.value
-        names = ["d", "t", "n", "c", "c2", "subsets", "prefix", "map", *[f"b{i}" for i in range(BITS // 64)]]
+        names = ["d", "t", "n", "c", "c2", "subsets", "slices", "map", *[f"b{i}" for i in range(BITS // 64)]]
         keys_type = pa.list_(pa.struct([("s", pa.int64()), ("h", pa.int64())]))
         out: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            d, t, n, c, c2, subsets, prefix, wide, bits = zip(*out)
+            d, t, n, c, c2, subsets, keys, wide, bits = zip(*out)
             bits = np.stack(bits)
             return pa.RecordBatch.from_arrays(
-                [*[pa.array(x, pa.int64()) for x in (d, t, n, c, c2)], pa.array(subsets, keys_type), pa.array(prefix, pa.list_(pa.int64())), pa.array(wide, pa.binary()),
+                [*[pa.array(x, pa.int64()) for x in (d, t, n, c, c2)], pa.array(subsets, keys_type), pa.array(keys, pa.list_(pa.int64())), pa.array(wide, pa.binary()),
                  *[pa.array(bits[:, i]) for i in range(BITS // 64)]],
                 names=names,
             )
@@ -144,7 +180,7 @@ def _signatures(width: int, percent: int, boundary: int, hot):
             n = len(s)
             with np.errstate(over="ignore"):
                 c, c2 = mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-            subsets, prefix = [], []
+            subsets, keys = [], []
             if 0 < n <= boundary:
                 own, total = [int(x) for x in mix(s)], int(c)
                 for size in subset_sizes(n, percent):
@@ -152,13 +188,10 @@ def _signatures(width: int, percent: int, boundary: int, hot):
                         key = (total - sum(gone)) % (1 << 64)
                         subsets.append({"s": size, "h": key - (1 << 64) if key >> 63 else key})
             if n and 100 * n >= percent * (boundary + 1):
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                    s = s[np.argsort(np.where(tokens[at] == s, counts[at], 0), kind="stable")]
-                prefix = s[: prefix_length(n, percent)].view(np.int64)
+                keys = slice_keys(s, percent).view(np.int64)
             bits = np.frombuffer(parity_map(s, BITS), np.int64)
-            wide = parity_map(s, max(BITS, 1 << n.bit_length())) if len(prefix) else b""
-            out.append((row["d"], row["t"], n, c.astype(np.int64), c2.astype(np.int64), subsets, prefix, wide, bits))
+            wide = parity_map(s, max(BITS, 1 << n.bit_length())) if len(keys) else b""
+            out.append((row["d"], row["t"], n, c.astype(np.int64), c2.astype(np.int64), subsets, keys, wide, bits))
             if len(out) >= 2000:
                 yield batch()
                 out = []
@@ -211,9 +244,19 @@ def _may_link(percent: int, a: str, b: str) -> Column:
     return (100 * n >= percent * m) & (100 * m >= percent * n) & (apart <= far)
 
 
-def _components(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(c, comp) of the classes that have a link."""
-    return materialize(connected_components(links).select(F.col("id").alias("c"), F.col("root").alias("comp")), "comps")
+def _components(links: DataFrame, comps: DataFrame | None = None) -> DataFrame:
+    """(c, comp) of the classes that have a link, from earlier ones and further links: only the components that a new
+    link touches are worked on, as one vertex each."""
+    if comps is None:
+        merged = connected_components(links).select(F.col("id").alias("c"), F.col("root").alias("comp"))
+        return materialize(merged, "comps")
+    for side in ("u", "v"):
+        of = comps.toDF(side, "comp")
+        links = links.join(of, side, "left").withColumn(side, F.coalesce("comp", side)).drop("comp")
+    joined = materialize(connected_components(links), "joined")
+    grown = comps.join(joined, comps["comp"] == joined["id"], "left").select("c", F.coalesce("root", "comp").alias("comp"))
+    fresh = joined.join(comps, joined["id"] == comps["c"], "left_anti").select(F.col("id").alias("c"), F.col("root").alias("comp"))
+    return materialize(grown.unionAll(fresh), "comps")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -228,24 +271,19 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     Equal sets become one class (told apart by 64 bits of hash, compared sets by their members). Small
     sets enumerate, for each size an overlap may need, all their subsets of that size: a shared subset
     proves the link, so each group of bearers is a star around its smallest set. Large sets enter inverted
-    lists with their rare prefix. Boundary: the size with the least cost by the sizes' histogram. In each
+    lists: a list's key is a slice of the token space with all tokens a set has there, and there are more slices
+    than linked sets have differences, so that these share a list; sets that merely share passages share few. Boundary: the size with the least cost by the sizes' histogram. In each
     round every list compares its sets with one of them, each set at most once, and linked components
     grow; lists whose sets are all in one component are done, so a large group of near copies costs a few
-    comparisons a member and not all pairs. When few pairs across components are left, or after ROUNDS
-    rounds, all of those are compared, so no link is lost."""
+    comparisons a member and not all pairs. When few pairs across components are left, or rounds no longer
+    settle many, or after ROUNDS of them, all of those are compared, so no link is lost."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(ID_LIMIT)).alias("d"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"), F.col("text").cast("string").alias("text"))
-    met = materialize(map_arrow(keyed.select("text"), _statistics(width), "token long, size long, n long"), "met")
-    sizes = {r["size"]: r["n"] for r in met.filter("size > 0").groupBy("size").agg(F.sum("n").alias("n")).collect()}
+    sizes = {r["size"]: r["n"] for r in map_arrow(keyed.select("text"), _sizes(width), "size long, n long").filter("size > 0").groupBy("size").agg(F.sum("n").alias("n")).collect()}
     boundary = choose_boundary(sizes, percent)
-    counts = materialize(met.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT), "hot")
-    hot = counts.filter(F.col("n") >= power_threshold(counts, "n", HOT_LIMIT, HOT)).toArrow()
-    tokens, number = hot.column("token").to_numpy().view(np.uint64), hot.column("n").to_numpy()
-    by = np.argsort(tokens)
-    shared = docs.sparkSession.sparkContext.broadcast((tokens[by], number[by]))
 
     bits = [f"b{i}" for i in range(BITS // 64)]
-    schema = "d long, t long, n long, c long, c2 long, subsets array<struct<s: long, h: long>>, prefix array<long>, map binary, " + ", ".join(f"{b} long" for b in bits)
-    rows = materialize(map_arrow(keyed, _signatures(width, percent, boundary, shared), schema), "rows")
+    schema = "d long, t long, n long, c long, c2 long, subsets array<struct<s: long, h: long>>, slices array<long>, map binary, " + ", ".join(f"{b} long" for b in bits)
+    rows = materialize(map_arrow(keyed, _signatures(width, percent, boundary), schema), "rows")
     first = rows.filter("n > 0").groupBy("c").agg(F.min(F.struct("d", "t")).alias("w"), F.max("n").alias("n"))
     classes = materialize(first.select("c", "n", F.col("w.d").alias("d"), F.col("w.t").alias("t")), "classes")
     # One row of each class stands for it in subsets and lists.
@@ -261,10 +299,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         "links",
     )
 
-    entries = bearers.select("c", F.explode("prefix").alias("token"))
+    entries = bearers.select("c", F.explode("slices").alias("token"))
     several = entries.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
     lists = materialize(entries.join(several, "token"), "lists")
-    marks = materialize(bearers.filter(F.size("prefix") > 0).select("c", "n", "d", "t", "map", *bits), "marks")
+    marks = materialize(bearers.filter(F.size("slices") > 0).select("c", "n", "d", "t", "map", *bits), "marks")
     mark = F.struct("n", *bits)
     sets = None
 
@@ -287,8 +325,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         )
         return materialize(map_arrow(with_sets.select("u", "v", "x", "y"), _compare(percent), "u long, v long"), "links")
 
-    found, done = links, None
-    comps = _components(classes, found)
+    done, comps = None, _components(links)
     for turn in range(ROUNDS):
         open_lists = lists.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
         lead = open_lists.groupBy("token").agg(
@@ -300,8 +337,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         left = spread.groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("inside")).agg(
             F.sum((F.col("all") * F.col("all") - F.col("inside")) / 2).alias("pairs"), F.sum("all").alias("rows")
         ).head()
-        if not left["rows"] or (turn >= LEAST_ROUNDS and left["pairs"] <= PAIRS_PER_ROW * left["rows"]):
+        if not left["rows"] or (turn >= LEAST_ROUNDS and (left["pairs"] <= PAIRS_PER_ROW * left["rows"] or left["pairs"] > SHARE_LEFT * before)):
             break
+        before = left["pairs"]
         pairs = open_lists.join(lead, "token").filter("comp <> ucomp").groupBy("u", F.col("c").alias("v")).agg(F.count("*").alias("common"))
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
@@ -311,17 +349,17 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
             .groupBy("v").agg(F.max_by("u", F.struct("common", "u")).alias("u")).select("u", "v")
         )
         asked = materialize(near, "asked")
-        links = verified(asked)
         done = asked if done is None else done.unionAll(asked)
-        found = found.unionAll(links)
-        comps = _components(classes, found)
+        comps = _components(verified(asked), comps)
     if left["rows"]:
-        ends = lists.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(marks.select("c", F.struct("n", *bits).alias("p")), "c")
-        ends = materialize(ends.select("token", "c", "comp", "p"), "ends")
-        x, y = ends.toDF("token", "u", "cu", "p"), ends.toDF("token", "v", "cv", "q")
-        pairs = x.join(y, (x["token"] == y["token"]) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & _may_link(percent, "p", "q"))
-        found = found.unionAll(verified(materialize(pairs.select("u", "v").distinct(), "asked")))
-        comps = _components(classes, found)
+        # A pair that has the key before this one in common too, as near copies mostly do, was met there.
+        ends = lists.withColumn("past", F.lag("token").over(Window.partitionBy("c").orderBy("token")))
+        ends = ends.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(marks.select("c", F.struct("n", *bits).alias("p")), "c")
+        ends = materialize(ends.select("token", "c", "comp", "past", "p"), "ends")
+        x, y = ends.toDF("token", "u", "cu", "pu", "p"), ends.toDF("token", "v", "cv", "pv", "q")
+        across = (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & F.coalesce(F.col("pu") != F.col("pv"), F.lit(True))
+        pairs = x.join(y, (x["token"] == y["token"]) & across & _may_link(percent, "p", "q"))
+        comps = _components(verified(materialize(pairs.select("u", "v").distinct(), "asked")), comps)
 
     named = classes.join(comps, "c", "left").select("c", "d", F.coalesce("comp", "c").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("d").alias("low"))

@@ -252,6 +252,67 @@ def test_subset_sizes_cover_every_linked_pair():
     assert 0 <= choose_boundary({5: 100, 9: 100, 20: 50}) <= 24
 
 
+def random_set(rng, n):
+    return np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+
+
+@pytest.mark.parametrize("seeds", [4, 1])
+@pytest.mark.parametrize("percent", [85, 80, 50])
+def test_linked_sets_share_a_slice_key(percent, seeds, monkeypatch):
+    from coinweave.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "SEEDS", seeds)
+    rng = np.random.default_rng(percent)
+    for n in [*range(1, 40), 90, 333, 1500]:
+        for gone in range(n):
+            x = random_set(rng, n)
+            more = max((k for k in range(2 * n) if 100 * (n - gone) >= percent * (n + k)), default=-1)
+            if more < 0:
+                break
+            for k in {0, more // 2, more}:
+                y = np.unique(np.concatenate([rng.permutation(x)[gone:], random_set(rng, k)]))
+                assert len(np.intersect1d(ngram_join.slice_keys(x, percent), ngram_join.slice_keys(y, percent)))
+
+
+def test_sets_that_share_passages_share_few_lists():
+    from coinweave.llm.ngram_join import slice_keys
+
+    rng = np.random.default_rng(5)
+    passages = [random_set(rng, 80) for _ in range(40)]
+    sets = [np.unique(np.concatenate([passages[i] for i in rng.choice(40, 12, replace=False)])) for _ in range(60)]
+    keys = [slice_keys(s) for s in sets]
+    pairs = [(a, b) for a in range(60) for b in range(a)]
+    common = sum(len(np.intersect1d(sets[a], sets[b])) for a, b in pairs)
+    assert 2 * sum(len(np.intersect1d(keys[a], keys[b])) for a, b in pairs) < len(pairs) < common / 100
+
+
+@pytest.mark.parametrize("rounds", [6, 1])
+def test_jaccard_components_of_long_texts(spark, rounds, monkeypatch):
+    """Chains of near copies at the bound, texts made of shared passages, lists that the rounds leave open."""
+    from coinweave.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    rng = np.random.default_rng(8)
+    passages = [" ".join(f"p{i}w{k}" for k in range(60)) for i in range(12)]
+    rows = []
+    for start in range(4):
+        words = [f"c{start}w{k}" for k in range(150 + 90 * start)]
+        for _ in range(14):
+            rows.append(" ".join(words))
+            for at in rng.choice(len(words), max(1, len(words) // 55), replace=False):
+                words[at] = f"n{rng.integers(0, 1 << 40)}"
+    rows += [" ".join(passages[i] for i in rng.choice(12, 7, replace=False)) for _ in range(25)]
+    sets = [shingles(x, 4) for x in rows]
+    low = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(a):
+                if low[a] != low[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    low[a] = low[b] = min(low[a], low[b])
+    got = jaccard_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == list(enumerate(low))
+
+
 @pytest.mark.parametrize("run", [lambda d: exact_dedup(d, F.col("doc_id") > 3), remove_common_lines, remove_repeats, jaccard_components])
 def test_empty_table(spark, run):
     assert run(frame(spark, [])).count() == 0
