@@ -138,3 +138,24 @@ def test_communities_by_regions_are_those_of_whole_rounds(spark, few, busy_links
             break
     got = dict(column(components.communities(nodes, spark.createDataFrame(sorted(pairs), "source long, target long"), few, busy_links), "txId", "label"))
     assert rounds > 4 and got == {v: min(label[v], before[v]) for v in links}
+
+
+def test_rounds_of_communities_move_no_links(spark, monkeypatch):
+    """Links lie dealt by source, so a round's join with the labels shuffles the labels alone."""
+    given, plans = components._winners, []
+
+    def winners(links, labels, busy):
+        plan = links.join(labels.withColumnRenamed("txId", "source"), "source")._jdf.queryExecution().executedPlan()
+        plans.append(plan.toString().split("InMemoryRelation")[0].count("Exchange"))
+        return given(links, labels, busy)
+
+    monkeypatch.setattr(components, "_winners", winners)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes = spark.createDataFrame([(i, 1) for i in range(60)], "txId long, time_step int")
+        edges = spark.createDataFrame([(i, i + k) for i in range(57) for k in (1, 2, 3)], "source long, target long")
+        found = components.communities(nodes, edges)
+        assert found.count() == 60 and plans and max(plans[:1]) <= 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
