@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from coinweave.llm.common import ID_LIMIT, map_arrow, mix, word_hashes
 from coinweave.llm.substring_dedup import kmer_hashes, words_of
 from coinweave.operators.components import connected_components
-from coinweave.session import broadcast_if_small, materialize
+from coinweave.session import broadcast_if_small, discard, materialize
 
 WIDTH = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -32,6 +32,8 @@ ROUNDS = 6
 #: the last round left more than this share of them.
 LEAST_ROUNDS, PAIRS_PER_ROW, SHARE_LEFT = 2, 8, 0.75
 BITS = 512
+#: Sets a task remembers to give equal ones their keys once.
+MOST_MET = 1 << 20
 
 
 def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -159,18 +161,20 @@ def _sizes(width: int):
 
 
 def _signatures(width: int, percent: int, boundary: int):
-    """Task: set size, two hashes of the set, subset keys of small sets, slice keys of large ones, parity bits."""
+    """Task: set size, two hashes of the set, subset keys of small sets, slice keys of large ones, parity bits. Of equal sets
+    that a task meets one row has the keys and ``first``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["d", "t", "n", "c", "c2", "subsets", "slices", "map", *[f"b{i}" for i in range(BITS // 64)]]
+        met: set[int] = set()
+        names = ["d", "t", "n", "c", "c2", "first", "subsets", "slices", "map", *[f"b{i}" for i in range(BITS // 64)]]
         keys_type = pa.list_(pa.struct([("s", pa.int64()), ("h", pa.int64())]))
         out: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            d, t, n, c, c2, subsets, keys, wide, bits = zip(*out)
+            d, t, n, c, c2, first, subsets, keys, wide, bits = zip(*out)
             bits = np.stack(bits)
             return pa.RecordBatch.from_arrays(
-                [*[pa.array(x, pa.int64()) for x in (d, t, n, c, c2)], pa.array(subsets, keys_type), pa.array(keys, pa.list_(pa.int64())), pa.array(wide, pa.binary()),
+                [*[pa.array(x, pa.int64()) for x in (d, t, n, c, c2)], pa.array(first), pa.array(subsets, keys_type), pa.array(keys, pa.list_(pa.int64())), pa.array(wide, pa.binary()),
                  *[pa.array(bits[:, i]) for i in range(BITS // 64)]],
                 names=names,
             )
@@ -180,18 +184,21 @@ def _signatures(width: int, percent: int, boundary: int):
             n = len(s)
             with np.errstate(over="ignore"):
                 c, c2 = mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-            subsets, keys = [], []
-            if 0 < n <= boundary:
+            subsets, keys, first = [], [], n > 0 and int(c) not in met
+            if len(met) == MOST_MET:
+                met.clear()
+            met.add(int(c))
+            if first and n <= boundary:
                 own, total = [int(x) for x in mix(s)], int(c)
                 for size in subset_sizes(n, percent):
                     for gone in combinations(own, n - size):
                         key = (total - sum(gone)) % (1 << 64)
                         subsets.append({"s": size, "h": key - (1 << 64) if key >> 63 else key})
-            if n and 100 * n >= percent * (boundary + 1):
+            if first and 100 * n >= percent * (boundary + 1):
                 keys = slice_keys(s, percent).view(np.int64)
             bits = np.frombuffer(parity_map(s, BITS), np.int64)
             wide = parity_map(s, max(BITS, 1 << n.bit_length())) if len(keys) else b""
-            out.append((row["d"], row["t"], n, c.astype(np.int64), c2.astype(np.int64), subsets, keys, wide, bits))
+            out.append((row["d"], row["t"], n, c.astype(np.int64), c2.astype(np.int64), first, subsets, keys, wide, bits))
             if len(out) >= 2000:
                 yield batch()
                 out = []
@@ -282,15 +289,18 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     boundary = choose_boundary(sizes, percent)
 
     bits = [f"b{i}" for i in range(BITS // 64)]
-    schema = "d long, t long, n long, c long, c2 long, subsets array<struct<s: long, h: long>>, slices array<long>, map binary, " + ", ".join(f"{b} long" for b in bits)
-    rows = materialize(map_arrow(keyed, _signatures(width, percent, boundary), schema), "rows")
-    first = rows.filter("n > 0").groupBy("c").agg(F.min(F.struct("d", "t")).alias("w"), F.max("n").alias("n"))
-    classes = materialize(first.select("c", "n", F.col("w.d").alias("d"), F.col("w.t").alias("t")), "classes")
-    # One row of each class stands for it in subsets and lists.
-    bearers = rows.join(classes.select("c", "d", "t"), ["c", "d", "t"], "left_semi").dropDuplicates(["c"])
+    schema = "d long, t long, n long, c long, c2 long, first boolean, subsets array<struct<s: long, h: long>>, slices array<long>, map binary, " + ", ".join(f"{b} long" for b in bits)
+    signed = materialize(map_arrow(keyed, _signatures(width, percent, boundary), schema), "signed")
+    rows = materialize(signed.select("d", "t", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")), "rows")
+    lowest = rows.filter("n > 0").groupBy("c").agg(F.min("d").alias("d"))
+    classes = materialize(lowest, "classes")
+    # A class has its keys once a task that met it, so keys are told apart by their classes. One shuffle serves the count and the join.
+    bearers = signed.filter("first")
 
     subsets = bearers.select("c", "n", F.explode("subsets").alias("k")).select("c", "n", "k.s", "k.h")
-    smallest = subsets.groupBy("s", "h").agg(F.min(F.struct("n", "c")).alias("lead"), F.count("*").alias("m")).filter("m > 1")
+    subsets = subsets.dropna().repartition("s", "h")
+    bearer = F.struct("n", "c")
+    smallest = subsets.groupBy("s", "h").agg(F.min(bearer).alias("lead"), F.max(bearer).alias("last")).filter("lead <> last").select("s", "h", "lead")
     links = materialize(
         subsets.join(smallest, ["s", "h"])
         .filter((F.col("c") != F.col("lead.c")) & ((100 + percent) * F.col("s") >= percent * (F.col("n") + F.col("lead.n"))))
@@ -299,10 +309,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         "links",
     )
 
-    entries = bearers.select("c", F.explode("slices").alias("token"))
-    several = entries.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
-    lists = materialize(entries.join(several, "token"), "lists")
-    marks = materialize(bearers.filter(F.size("slices") > 0).select("c", "n", "d", "t", "map", *bits), "marks")
+    entries = bearers.select("c", F.explode("slices").alias("token")).dropna().repartition("token")
+    several = entries.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
+    lists = materialize(entries.join(several, "token").distinct(), "lists")
+    marks = materialize(bearers.filter(F.size("slices") > 0).select("c", "n", "d", "t", "map", *bits).dropDuplicates(["c"]), "marks")
+    discard(signed)
     mark = F.struct("n", *bits)
     sets = None
 
@@ -327,20 +338,23 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     done, comps = None, _components(links)
     for turn in range(ROUNDS):
-        open_lists = lists.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        lead = open_lists.groupBy("token").agg(
+        # Dealt by token once: the lead, the lists that stay open and their pairs all need the lists' rows together.
+        dealt = lists.join(comps, "c", "left").select("token", "c", F.coalesce("comp", "c").alias("comp")).repartition("token")
+        lead = dealt.groupBy("token").agg(
             F.min_by(F.struct(F.col("c").alias("u"), F.col("comp").alias("ucomp")), F.xxhash64(F.lit(turn), "token", "c")).alias("lead"),
             F.min("comp").alias("low"), F.max("comp").alias("high"),
         ).filter("low < high").select("token", "lead.u", "lead.ucomp")
-        lists = materialize(lists.join(lead.select("token"), "token", "left_semi"), "lists")
-        spread = lists.join(comps, "c", "left").groupBy("token", F.coalesce("comp", "c").alias("comp")).agg(F.count("*").alias("m"))
+        opened, closed = materialize(dealt.join(lead, "token"), "opened"), lists
+        lists = opened.select("token", "c")
+        discard(closed)
+        spread = opened.groupBy("token", "comp").agg(F.count("*").alias("m"))
         left = spread.groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("inside")).agg(
             F.sum((F.col("all") * F.col("all") - F.col("inside")) / 2).alias("pairs"), F.sum("all").alias("rows")
         ).head()
         if not left["rows"] or (turn >= LEAST_ROUNDS and (left["pairs"] <= PAIRS_PER_ROW * left["rows"] or left["pairs"] > SHARE_LEFT * before)):
             break
         before = left["pairs"]
-        pairs = open_lists.join(lead, "token").filter("comp <> ucomp").groupBy("u", F.col("c").alias("v")).agg(F.count("*").alias("common"))
+        pairs = opened.filter("comp <> ucomp").groupBy("u", F.col("c").alias("v")).agg(F.count("*").alias("common"))
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
         near = (
@@ -364,6 +378,6 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     named = classes.join(comps, "c", "left").select("c", "d", F.coalesce("comp", "c").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("d").alias("low"))
     component = named.join(smallest, "comp").select("c", "low")
-    return rows.select("d", "t", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(component, "c", "left").select(
+    return rows.join(component, "c", "left").select(
         F.nullif("d", F.lit(ID_LIMIT)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("low", "d"), F.lit(ID_LIMIT)).alias("component_id"), F.col("t").alias("text_hash")
     )

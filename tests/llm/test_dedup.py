@@ -326,3 +326,30 @@ def test_parity_maps_never_exceed_the_distance():
         x, y = (np.unique(rng.integers(0, 6000, k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in (n, m))
         assert apart(parity_map(x, size), parity_map(y, other)) <= len(np.setxor1d(x, y))
         assert apart(parity_map(x, size), parity_map(x, size)) == 0
+
+
+def test_equal_sets_have_their_keys_once_a_task():
+    import pyarrow as pa
+
+    from coinweave.llm.ngram_join import _signatures
+
+    long, short = " ".join(f"w{i}" for i in range(60)), "a b c d e f"
+    texts = [long, long.upper(), short, long, short, None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(range(7)), pa.array(texts)], names=["d", "t", "text"])
+    out = pa.Table.from_batches(_signatures(4, 85, 5)(iter([batch]))).to_pylist()
+    assert [len(r["slices"]) > 0 for r in out] == [True] + [False] * 6
+    assert [len(r["subsets"]) > 0 for r in out] == [False, False, True] + [False] * 4
+    assert len({r["c"] for r in out if r["n"]}) == 2
+
+
+def test_key_lists_do_not_stay_on_disk(spark):
+    from pathlib import Path
+
+    from coinweave.session import scratch_dir
+
+    folder = Path(f"{scratch_dir(spark)}/coinweave-{spark.sparkContext.applicationId}")
+    before = set(folder.iterdir()) if folder.exists() else set()
+    jaccard_components(frame(spark)).collect()
+    left = [spark.read.parquet(str(p)) for p in set(folder.iterdir()) - before]
+    assert left and not any("slices" in df.columns for df in left)
+    assert sum("token" in df.columns for df in left) <= 2
