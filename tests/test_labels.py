@@ -39,6 +39,9 @@ def test_labels_with_busy_nodes_against_a_search(spark, monkeypatch, links, most
         rows = lambda df: sorted(map(tuple, df.select("root", "rank", "document").collect()))
         args = nodes, edges, balls.both_ways(edges), alerts, 5
         assert rows(balls.leading_nodes(*args, reached=reached, numbered=numbered)) == rows(balls.leading_nodes(*args))
+        shown = lambda df: sorted(map(tuple, df.select("root", "rank", "id").collect()))
+        args = nodes, args[2], alerts, [F.desc(F.coalesce("threat_score", F.lit(0))), F.col("id")], 6
+        assert shown(balls.leading_transactions(*args, reached=reached, numbered=numbered)) == shown(balls.leading_transactions(*args))
 
 
 def test_a_hub_brings_no_row_for_each_pair(spark):
